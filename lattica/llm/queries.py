@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from lattica.llm import canonical_map, pieces
+from lattica.llm import canonical_map, mix, pieces, tokenize
 
 QUERIES = {
     "p1_found": canonical_map.p1_found,
     "p1_unmatched": canonical_map.p1_unmatched,
     "p2_found": pieces.p2_found,
     "p2_pieces": pieces.p2_pieces,
+    "p6_ids": tokenize.p6_ids,
+    "p7_selection": mix.p7_selection,
+    "p7_shares": mix.p7_shares,
 }
 
 SQL: dict[str, str] = {}
