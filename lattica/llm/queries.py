@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.llm import canonical_map, mix, pieces, tokenize
+from lattica.llm import canonical_map, mix, pieces, subjects, tokenize
 
 QUERIES = {
     "p1_found": canonical_map.p1_found,
@@ -12,6 +12,8 @@ QUERIES = {
     "p6_ids": tokenize.p6_ids,
     "p7_selection": mix.p7_selection,
     "p7_shares": mix.p7_shares,
+    "p8_found": subjects.p8_found,
+    "p8_composition": subjects.p8_composition,
 }
 
 SQL: dict[str, str] = {}
