@@ -34,7 +34,7 @@ def test_finder_against_scan():
 
 
 def test_shares_and_ties():
-    assert about("The field was wet. The harvest and the barn burnt. The goalkeeper left. The open points follow.") == pytest.approx({"farming": 2 / 3, "sport": 1 / 3})
+    assert about("The field was wet. The harvest was late. The barn burnt. The goalkeeper left. The open points follow.") == pytest.approx({"farming": 0.75, "sport": 0.25})
     assert about("Nothing else was decided.") == {} and about("") == {}
     assert set(about("The goalkeeper left. The field was wet.")) == {"sport"}
 
