@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from lattica.llm import canonical_map, mix, pieces, subjects, tokenize
+from lattica.llm import canonical_map, mix, neighbours, pieces, small_edits, subjects, tokenize
 
 QUERIES = {
     "p1_found": canonical_map.p1_found,
     "p1_unmatched": canonical_map.p1_unmatched,
     "p2_found": pieces.p2_found,
     "p2_pieces": pieces.p2_pieces,
+    "p3_found": neighbours.p3_found,
+    "p3_neighbours": neighbours.p3_neighbours,
+    "p5_found": small_edits.p5_found,
+    "p5_groups": small_edits.p5_groups,
     "p6_ids": tokenize.p6_ids,
     "p7_selection": mix.p7_selection,
     "p7_shares": mix.p7_shares,
