@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from lattica.operators import hierarchy
+from lattica.operators import closure, hierarchy, typed
+
+_MODULES = (typed, closure)
 
 QUERIES = {
     "p4_found": hierarchy.p4_found,
     "p4_nested": hierarchy.p4_nested,
     "p4_descendants": hierarchy.p4_descendants,
 }
-
 SQL: dict[str, str] = {}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    SQL |= _m.SQL
