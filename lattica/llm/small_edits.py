@@ -29,7 +29,7 @@ from lattica.session import cut, discard, table
 
 SEGMENTS, BITS, LEAST, SHORTEST = 8, 23, 0.6, 20
 #: Bits of the 64-bit sample of the fingerprint that the two of a candidate pair may differ in.
-SAMPLE_ERRORS = 21
+SAMPLE_ERRORS = 16
 #: Fixed value: generator polynomial of the [23, 12, 7] Golay code.
 GENERATOR = 0xAE3
 TYPES = ("claim", "evidence")
