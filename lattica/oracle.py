@@ -13,8 +13,16 @@ def rows(values, *names) -> str:
 
 FOLD = r"lower(regexp_replace({0}, '^\s+|\s+$', '', 'g'))"
 WS = T.WS.replace("\\t", "\\x{09}").replace("\\r", "\\x{0d}")
-STRIP = f"regexp_replace({{0}}, '^{WS}+|{WS}+$', '', 'g')"
-DAY = f"CASE WHEN regexp_matches({STRIP}, '^\\d{{{{4}}}}-\\d{{{{2}}}}-\\d{{{{2}}}}$') THEN try_cast({STRIP} AS DATE) END"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def day(x: str) -> str:
+    return f"CASE WHEN regexp_matches({strip(x)}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN try_cast({strip(x)} AS DATE) END"
+
+
 NODES = """
 n0 AS (SELECT *, prov.source_id AS psid, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC, walks DESC, build DESC) AS rn FROM nodes WHERE id IS NOT NULL),
 n AS (SELECT id, ord, node_type, label, attrs, rationale, retrieved_at, psid AS source_id, build, walks, coalesce(pruned, false) AS pruned, coalesce(invalidated, false) AS invalidated,
