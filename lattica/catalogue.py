@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lattica.operators import closure, hierarchy, typed
-
-_MODULES = (typed, closure)
+from lattica.operators import build, closure, hierarchy, telemetry, temporal, typed, walk
+from lattica.plans import evidence, ledger
+from lattica.streaming import intake
 
 QUERIES = {
     "p4_found": hierarchy.p4_found,
@@ -12,6 +12,6 @@ QUERIES = {
     "p4_descendants": hierarchy.p4_descendants,
 }
 SQL: dict[str, str] = {}
-for _m in _MODULES:
+for _m in (typed, closure, temporal, build, walk, telemetry, ledger, evidence, intake):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL
