@@ -23,7 +23,7 @@ CYCLE = "cycle"
 #: Siblings are put into blocks of about this many, so that no parent's children meet in one task.
 SIBLINGS = 50_000
 #: Doublings of the hop relation of a graph with several parents; a round then covers 2 ** STRIDE hops.
-STRIDE = 3
+STRIDE = 4
 
 
 def folded(c: Column | str) -> Column:
