@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.operators import build, closure, hierarchy, telemetry, temporal, typed, walk
+from lattica.operators import build, closure, hierarchy, mutations, telemetry, temporal, typed, walk
 from lattica.plans import evidence, ledger
 from lattica.streaming import intake
 
@@ -12,6 +12,6 @@ QUERIES = {
     "p4_descendants": hierarchy.p4_descendants,
 }
 SQL: dict[str, str] = {}
-for _m in (typed, closure, temporal, build, walk, telemetry, ledger, evidence, intake):
+for _m in (typed, closure, temporal, build, walk, mutations, telemetry, ledger, evidence, intake):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica import oracle as O
-from lattica.operators import closure, typed
+from lattica.operators import closure
 from lattica.session import cut
 from lattica.sources.graph import assumption_rows, dated_sources, edge_rows, node_rows
 

@@ -49,16 +49,18 @@ def seeds(questions: DataFrame, nodes: DataFrame, reg: Registry) -> tuple[DataFr
 def settle(start: DataFrame, steps: DataFrame, budget: int = BUDGET, most: int = MAX_EXPAND) -> DataFrame:
     """start: (walk_id, node, pos). (walk_id, node, rank, cost, hops, path, types): nodes in the order a queue settles them, at most `most`."""
     base = start.select("walk_id", "node", F.struct(F.lit(0.0).alias("cost"), F.array(F.lit(0.0)).alias("costs"), F.array(F.struct(F.lit(0).alias("side"), F.col("pos").cast("long").alias("ord"))).alias("trail"), F.array("node").alias("path"), F.array().cast("array<string>").alias("types")).alias("label"))
-    base = cut(base, "base")
-    order = Window.partitionBy("walk_id").orderBy("label")
+    base = cut(base.withColumn("bound", F.lit(float("inf"))), "base")
+    order, whole = Window.partitionBy("walk_id").orderBy("label"), Window.partitionBy("walk_id")
     state = base
     for _ in range(budget + 4):
-        go = state.filter(F.size("label.path") <= budget).join(steps, "node")
+        # a step that costs more than the last label kept can't bring a better one
+        go = state.filter(F.size("label.path") <= budget).join(steps, "node").filter(F.col("label.cost") + F.col("cost") <= F.col("bound"))
         far = go.filter(~F.array_contains("label.path", F.col("nxt"))).select("walk_id", F.col("nxt").alias("node"), F.struct(
             (F.col("label.cost") + F.col("cost")).alias("cost"), F.concat(F.array(F.col("label.cost") + F.col("cost")), "label.costs").alias("costs"), F.concat("label.trail", F.array("exp")).alias("trail"),
             F.concat("label.path", F.array("nxt")).alias("path"), F.concat("label.types", F.array("edge_type")).alias("types")).alias("label"))
-        new = base.unionByName(far).groupBy("walk_id", "node").agg(F.min("label").alias("label"))
-        new = new.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 2 * most).drop("r")
+        new = base.drop("bound").unionByName(far).groupBy("walk_id", "node").agg(F.min("label").alias("label"))
+        new = new.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 2 * most)
+        new = new.withColumn("bound", F.when(F.max("r").over(whole) == 2 * most, F.max("label.cost").over(whole)).otherwise(float("inf"))).drop("r")
         new = cut(new, "state")
         same = new.join(state.select("walk_id", "node", F.col("label.path").alias("was")), ["walk_id", "node"], "left").filter(~F.col("label.path").eqNullSafe(F.col("was"))).isEmpty()
         if state is not base:
