@@ -1,8 +1,8 @@
 """Encoding of a corpus with a public byte-level BPE vocabulary, by recursive DuckDB queries in each partition.
 
 A text is split into words by the vocabulary's pattern. The distinct words of a partition become token-position rows; a
-recursive query joins neighbours with the merge table and contracts, in each word, the leftmost pair of least rank (and
-its further occurrences that don't overlap it) until no pair merges. An ordered aggregation over the word positions
+recursive query joins neighbours with the merge table and contracts, in each word, the leftmost pair of least rank until no
+pair merges; in long words its further occurrences that don't overlap go at once. An ordered aggregation over the word positions
 of each text gives its ids. Words once encoded are kept for the rest of the partition.
 
 The vocabulary file is read on the driver from a path given as a parameter and sent as its merge table, whose size the
@@ -15,6 +15,7 @@ repeated doc_id is encoded; extra columns don't matter. Texts of any length are
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ from lattica.session import table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: how the byte_bpe_50k vocabulary splits a text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same for texts of ASCII letters only, which a simpler engine splits faster.
+ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
 #: Characters encoded by one query, words kept, and bytes from which a word is contracted round by round.
 CHUNK, KEPT, LONG = 1_000_000, 200_000, 2_000
 
@@ -69,7 +72,7 @@ class Encoder:
         import duckdb
         import regex
 
-        self.byte_ids, self.pattern = byte_ids, regex.compile(PATTERN)
+        self.byte_ids, self.pattern, self.ascii = byte_ids, regex.compile(PATTERN), re.compile(ASCII_PATTERN, re.ASCII)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self.con.register("given", pa.table({"l": merges[:, 0], "r": merges[:, 1], "rank": np.arange(len(merges), dtype=np.int32), "o": merges[:, 2]}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
@@ -101,32 +104,39 @@ class Encoder:
             self.con.execute("INSERT INTO known SELECT word, list(tok ORDER BY pos) FROM cur GROUP BY word")
         self.con.unregister("fresh")
 
-    def encode(self, texts: list[str | None]) -> pa.Array:
-        """The ids of each text."""
+    def _words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all words of all texts in order, how many each text has); new words are encoded."""
         if len(self.words) > KEPT:
             self.forget()
         words, fresh, long = self.words, [], []
-        row, at, start = array("i"), array("i"), 0
-        occurs = array("i")
+        occurs, counts = array("i"), np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if not text:
                 continue
-            found = self.pattern.findall(text) if len(text) < CHUNK else (m.group() for m in self.pattern.finditer(text))
-            for w in found:
-                k = words.get(w)
-                if k is None:
-                    k = words[w] = len(words)
-                    b = w.encode("utf-8", "surrogatepass")
-                    (fresh if len(b) <= LONG else long).append((k, b))
-                occurs.append(k)
-            n = len(occurs) - start
-            row.extend([i] * n)
-            at.extend(range(n))
-            start = len(occurs)
+            pattern = self.ascii if text.isascii() else self.pattern
+            before = len(occurs)
+            for found in [pattern.findall(text)] if len(text) < CHUNK else _slices(pattern, text):
+                numbers = list(map(words.get, found))
+                if None in numbers:
+                    for w in set(found):
+                        if w not in words:
+                            k = words[w] = len(words)
+                            b = w.encode("utf-8", "surrogatepass")
+                            (fresh if len(b) <= LONG else long).append((k, b))
+                    numbers = list(map(words.get, found))
+                occurs.fromlist(numbers)
+            counts[i] = len(occurs) - before
         self._learn(fresh)
         for one in long:
             self._learn([one])
-        self.con.register("occurs", pa.table({"i": np.frombuffer(row, np.int32), "pos": np.frombuffer(at, np.int32), "word": np.frombuffer(occurs, np.int32)}) if len(row) else pa.table({"i": np.zeros(0, np.int32), "pos": np.zeros(0, np.int32), "word": np.zeros(0, np.int32)}))
+        return np.frombuffer(occurs, np.int32) if len(occurs) else np.zeros(0, np.int32), counts
+
+    def encode(self, texts: list[str | None]) -> pa.Array:
+        """The ids of each text."""
+        word, counts = self._words(texts)
+        row = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+        pos = (np.arange(len(word)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+        self.con.register("occurs", pa.table({"i": row, "pos": pos, "word": word}))
         got = self.con.sql("SELECT i, flatten(list(ids ORDER BY pos)) AS ids FROM occurs JOIN known USING (word) GROUP BY i ORDER BY i").to_arrow_table().combine_chunks()
         self.con.unregister("occurs")
         sizes = np.zeros(len(texts), np.int64)
@@ -136,6 +146,27 @@ class Encoder:
             sizes[got.column("i").to_numpy()] = ids.value_lengths().to_numpy()
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), ids.flatten().cast(pa.int32()))
 
+    def count(self, texts: list[str | None]) -> np.ndarray:
+        """The number of ids of each text."""
+        word, counts = self._words(texts)
+        size = np.zeros(len(self.words), np.int64)
+        known = self.con.sql("SELECT word, len(ids) AS n FROM known").to_arrow_table()
+        size[known.column("word").to_numpy()] = known.column("n").to_numpy()
+        upto = np.append(0, np.cumsum(size[word]))
+        end = np.cumsum(counts)
+        return upto[end] - upto[end - counts]
+
+
+def _slices(pattern, text: str, most: int = 100_000) -> Iterator[list[str]]:
+    """The words of a very long text, some at a time."""
+    found = []
+    for m in pattern.finditer(text):
+        found.append(m.group())
+        if len(found) == most:
+            yield found
+            found = []
+    yield found
+
 
 def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     a = size = 0
@@ -158,8 +189,7 @@ def encode_documents(documents: DataFrame, carry: list[str], counts_only: bool =
         for b in batches:
             texts = b.column(len(carry)).to_pylist()
             for a, z in _chunks(texts):
-                ids = encoder.encode(texts[a:z])
-                out = ids.value_lengths().cast(pa.int64()) if counts_only else ids
+                out = pa.array(encoder.count(texts[a:z])) if counts_only else encoder.encode(texts[a:z])
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, z - a) for c in b.columns[:-1]), out], [*carry, "n_tokens" if counts_only else "ids"])
 
     rows = documents.select(*carry, "text")

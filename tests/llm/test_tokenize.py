@@ -8,7 +8,7 @@ from lattica.llm import tokenize as T
 pytestmark = pytest.mark.skipif(not os.path.exists(T.VOCABULARY), reason="no vocabulary file here")
 TEXTS = [
     None, "", " ", "Hello world, it's 12,345 o'clock", "<|endoftext|> stays text", "aaaaaaaaaaaaaaaaaaaaaaaaaaa", "日本語のテキスト。\r\n\t  mixed", "\x00\x07 ctrl ​", "x" * 5001, "🙂" * 700,
-    "".join(random.Random(3).choices("abcdefgh", k=6000)), "  trailing   ", "don't we'll I'D", "éàü ñandú", "Hello world",
+    "".join(random.Random(3).choices("abcdefgh", k=6000)), "  trailing   ", "don't we'll I'D", "éàü ñandú", "Hello world", "a\x1cb\x0b c\x85d\u2028 e\x1f\x1f  f", "tab\t\tend \x1c ",
 ]
 
 
@@ -24,6 +24,7 @@ def truth():
 def test_against_library(truth):
     enc = T.Encoder(*T.vocabulary())
     assert enc.encode(TEXTS).to_pylist() == [truth(x) for x in TEXTS]
+    assert enc.count(TEXTS).tolist() == [len(truth(x)) for x in TEXTS]
     assert enc.encode([]).to_pylist() == [] and enc.encode([None, ""]).to_pylist() == [[], []]
 
 
