@@ -31,9 +31,17 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: The same for texts of ASCII letters only, which a simpler engine splits faster.
 ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
 #: Characters encoded by one query, words kept, and bytes from which a word is contracted round by round.
-CHUNK, KEPT, LONG = 1_000_000, 200_000, 2_000
-
-#: One round of contraction of the rows {t} (word, pos, tok, it).
+CHUNK, KEPT, LONG = 1_000_000, 200_000, 300
+
+#: One contraction of each word's leftmost pair of least rank, from the rows t (word, pos, tok, it).
+_STEP = """
+  SELECT word, pos, CASE WHEN pos = best & 4294967295 THEN o ELSE tok END, it + 1 FROM (
+    SELECT p.word, p.pos, p.tok, p.it, p.before, m.o, min((m.rank::BIGINT << 32) | p.pos) OVER (PARTITION BY p.word) AS best
+    FROM (SELECT *, lead(tok) OVER w AS nxt, lag(pos) OVER w AS before FROM t WINDOW w AS (PARTITION BY word ORDER BY pos)) p
+    LEFT JOIN merges m ON m.l = p.tok AND m.r = p.nxt
+  ) WHERE best IS NOT NULL AND before IS DISTINCT FROM (best & 4294967295)
+"""
+#: The same for long words, with all occurrences of that pair that don't overlap at once.
 _ROUND = """
   SELECT word, pos, CASE WHEN chosen THEN o ELSE tok END AS tok, it + 1 AS it FROM (
     SELECT *, coalesce(lag(chosen) OVER (PARTITION BY word ORDER BY pos), false) AS gone FROM (
@@ -48,7 +56,7 @@ _ROUND = """
   ) WHERE NOT gone
 """
 _ENCODE = f"""
-WITH RECURSIVE t(word, pos, tok, it) AS (SELECT word, pos, tok, 0 FROM fresh UNION ALL {_ROUND.format(t="t")})
+WITH RECURSIVE t(word, pos, tok, it) AS (SELECT word, pos, tok, 0 FROM fresh UNION ALL {_STEP})
 INSERT INTO known SELECT word, list(tok ORDER BY pos) FROM (SELECT *, max(it) OVER (PARTITION BY word) AS last FROM t) WHERE it = last GROUP BY word
 """
 
