@@ -10,6 +10,8 @@ QUERIES = {
     "p4_found": hierarchy.p4_found,
     "p4_nested": hierarchy.p4_nested,
     "p4_descendants": hierarchy.p4_descendants,
+    "p4_task_paths": hierarchy.p4_task_paths,
+    "p4_task_descendants": hierarchy.p4_task_descendants,
 }
 SQL: dict[str, str] = {}
 for _m in (typed, closure, temporal, build, walk, mutations, telemetry, ledger, evidence, intake):

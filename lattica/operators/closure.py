@@ -196,4 +196,10 @@ UNION ALL SELECT 'task', t.node_id, r.node_id, br.depth::BIGINT FROM br JOIN t O
     "p4_nested": O.with_(DLINKS, DWALK, "up AS (SELECT dw.key, string_agg(anc, ' > ' ORDER BY dw.depth DESC) AS path FROM dw JOIN dm USING (key) WHERE dm.depth < 300 GROUP BY dw.key)", "below AS (SELECT anc AS key, count(*) - 1 AS n FROM dw JOIN dm USING (key) WHERE dm.depth < 300 GROUP BY anc)", recursive=True)
     + "SELECT node_id, CASE WHEN dm.depth >= 300 THEN 'cycle' ELSE dm.root END AS root, CASE WHEN dm.depth >= 300 THEN -1 ELSE dm.depth END::BIGINT AS depth, path, below.n AS n_descendants FROM dl JOIN dm USING (key) LEFT JOIN up USING (key) LEFT JOIN below USING (key)",
     "p4_descendants": O.with_(DLINKS, DWALK, recursive=True) + "SELECT dl.node_id, dw.key AS descendant, dw.depth::BIGINT AS steps FROM dw JOIN dm USING (key) JOIN dl ON dl.key = dw.anc WHERE dm.depth < 300 AND dw.depth > 0",
+    "p4_task_paths": O.with_(TASKS, "lw(key, anc, depth) AS (SELECT key, key, 0 FROM t UNION SELECT lw.key, needs.parent, depth + 1 FROM lw JOIN needs ON needs.key = lw.anc WHERE depth < 300)", "lm AS (SELECT key, max(depth) AS m FROM lw GROUP BY key)",
+        "br AS (SELECT key, anc AS root, min(depth) AS depth FROM lw WHERE key IN (SELECT key FROM lm WHERE m < 300) AND anc NOT IN (SELECT key FROM needs) GROUP BY key, anc)",
+        "nx AS (SELECT br.key, br.root, min(p.key) AS parent FROM br JOIN needs ON needs.key = br.key JOIN br p ON p.key = needs.parent AND p.root = br.root AND p.depth = br.depth - 1 GROUP BY br.key, br.root)",
+        "pw(key, root, cur, path) AS (SELECT key, root, key, key FROM br UNION ALL SELECT pw.key, pw.root, nx.parent, nx.parent || ' > ' || path FROM pw JOIN nx ON nx.key = pw.cur AND nx.root = pw.root)", recursive=True)
+    + "SELECT node_id, br.root, br.depth::BIGINT AS depth, path FROM br JOIN t USING (key) JOIN pw ON pw.key = br.key AND pw.root = br.root AND pw.cur = br.root UNION ALL SELECT node_id, 'cycle', -1, NULL FROM lm JOIN t USING (key) WHERE m >= 300",
+    "p4_task_descendants": O.with_(TASKS, "lw(key, anc, depth) AS (SELECT key, key, 0 FROM t UNION SELECT lw.key, needs.parent, depth + 1 FROM lw JOIN needs ON needs.key = lw.anc WHERE depth < 300)", recursive=True) + "SELECT node_id, lw.key AS descendant, min(depth)::BIGINT AS steps FROM lw JOIN t ON t.key = lw.anc WHERE lw.key <> lw.anc GROUP BY ALL",
 }

@@ -138,6 +138,47 @@ def reached_roots(keys: DataFrame, needs: DataFrame) -> DataFrame:
     return seen.unionByName(looped.select("key", F.lit(CYCLE).alias("root"), F.lit(-1).cast("long").alias("depth")))
 
 
+def shortest_paths(found: DataFrame, needs: DataFrame) -> DataFrame:
+    """found: rows of reached_roots. Adds path (array of keys from the root down to the key): one with the fewest steps; at each step up the
+    least of the parents that lie on such a path. Rows on a cycle have no path. Strides double, so depth d takes about log2(d) rounds."""
+    free = cut(found.filter(F.col("depth") >= 0), "free")
+    above = free.select(F.col("key").alias("parent"), "root", (F.col("depth") + 1).alias("depth"))
+    up = free.join(needs.select("key", "parent").distinct(), "key").join(above, ["parent", "root", "depth"])
+    up = up.groupBy("key", "root").agg(F.min("parent").alias("anc"))
+    place = cut(free.join(up, ["key", "root"], "left").select("key", "root", "depth", "anc", F.array("key").alias("path")), "paths")
+    while not place.filter(F.col("anc").isNotNull()).isEmpty():
+        busy, done = place.filter(F.col("anc").isNotNull()), place.filter(F.col("anc").isNull())
+        above = place.select(F.col("key").alias("anc"), "root", F.col("anc").alias("next"), F.col("path").alias("path2"))
+        new = busy.join(above, ["anc", "root"]).select("key", "root", "depth", F.col("next").alias("anc"), F.concat("path2", "path").alias("path"))
+        new = cut(new.unionByName(done), "paths")
+        discard(place)
+        place = new
+    looped = found.filter(F.col("depth") < 0).select("key", "root", "depth", F.lit(None).cast("array<string>").alias("path"))
+    return place.select("key", "root", "depth", "path").unionByName(looped)
+
+
+def needs_descendants(needs: DataFrame) -> DataFrame:
+    """(key, descendant, steps): whatever reaches key by following needs, with the fewest steps; keys on a cycle have theirs too, but
+    none is its own. After the first rounds of doubling, each round goes on from the pairs farthest apart and covers 2 ** STRIDE more steps."""
+    hops = cut(needs.select("key", "parent", F.lit(1).cast("long").alias("d")).distinct(), "hops")
+    for _ in range(STRIDE):
+        far = hops.join(hops.select(F.col("key").alias("parent"), F.col("parent").alias("top"), F.col("d").alias("d2")), "parent")
+        far = far.select("key", F.col("top").alias("parent"), (F.col("d") + F.col("d2")).alias("d"))
+        new = cut(hops.unionByName(far).groupBy("key", "parent").agg(F.min("d").alias("d")), "hops")
+        discard(hops)
+        hops = new
+    reach, seen, front = 2**STRIDE, hops, hops.filter(F.col("d") == 2**STRIDE)
+    while True:
+        far = hops.join(front.select(F.col("key").alias("parent"), F.col("parent").alias("top"), F.col("d").alias("d2")), "parent")
+        far = far.groupBy("key", F.col("top").alias("parent")).agg(F.min(F.col("d") + F.col("d2")).alias("d"))
+        new = cut(far.join(seen.select("key", "parent"), ["key", "parent"], "left_anti"), "hops")
+        if new.isEmpty():
+            break
+        reach += 2**STRIDE
+        seen, front = seen.unionByName(new), new.filter(F.col("d") == reach)
+    return seen.filter(F.col("key") != F.col("parent")).select(F.col("parent").alias("key"), F.col("key").alias("descendant"), F.col("d").alias("steps"))
+
+
 def decision_links(log: DataFrame) -> DataFrame:
     """(key, parent, node_id) of decision_log: of several rows of one id the one loaded last counts (a tie goes to the
     greater supersedes); null ids are left out, blank supersedes or one naming no decision is no parent."""
@@ -190,3 +231,17 @@ def p4_descendants(spark, sf_dir: str) -> DataFrame:
     links = cut(decision_links(table(spark, sf_dir, "decision_log")), "links")
     nested = cut(forest(links), "nested")
     return descendants(nested, links).select(F.col("key").alias("node_id"), "descendant", "steps")
+
+
+def p4_task_paths(spark, sf_dir: str) -> DataFrame:
+    """(node_id, root, depth, path) of every task and root it reaches: the keys of one path with the fewest steps, from the root down."""
+    keys, needs = task_needs(table(spark, sf_dir, "tasks"))
+    needs = cut(needs, "needs")
+    out = shortest_paths(cut(reached_roots(keys, needs), "roots"), needs).join(keys.select("key", "node_id"), "key")
+    return out.select("node_id", "root", "depth", F.array_join("path", " > ").alias("path"))
+
+
+def p4_task_descendants(spark, sf_dir: str) -> DataFrame:
+    """(node_id, descendant, steps) of every task: all that need it, directly or not, with the fewest steps."""
+    keys, needs = task_needs(table(spark, sf_dir, "tasks"))
+    return needs_descendants(needs).join(keys.select("key", "node_id"), "key").select("node_id", "descendant", "steps")

@@ -96,3 +96,40 @@ def test_task_needs_dirty(spark):
     keys, needs = H.task_needs(tasks)
     assert {tuple(r) for r in needs.select("key", "parent").collect()} == {("p/b", "p/a")}
     assert {r.node_id for r in keys.collect()} == {"p/A ", "p/b", "q/b", "p/c"}
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_task_paths_and_descendants(spark, seed):
+    rnd = random.Random(seed)
+    needs = {f"t{i:02}": {f"t{rnd.randrange(max(0, i - 3), i):02}" for _ in range(rnd.choice([0, 1, 2, 2]))} if i else set() for i in range(40)}
+    needs["t20"] |= {"t22"}
+    needs["t22"] |= {"t20"}
+    needs |= {f"u{i:02}": {f"u{i - 1:02}"} if i else set() for i in range(40)}  # longer than two strides
+    up = {}
+    for x in needs:
+        up[x], todo = {x: 0}, [x]
+        for y in todo:
+            for z in sorted(needs[y]):
+                if z not in up[x]:
+                    up[x][z] = up[x][y] + 1
+                    todo.append(z)
+    pairs = spark.createDataFrame([(k, p) for k, v in needs.items() for p in v], "key string, parent string")
+    got = [tuple(r) for r in H.needs_descendants(pairs).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(y, x, d) for x in up for y, d in up[x].items() if y != x}
+    keys = spark.createDataFrame([(k,) for k in needs], "key string")
+    looped = {x for x in needs if any(y in up[z] for y in up[x] for z in needs[y])}
+    want = {(x, "cycle", -1, None) for x in looped}
+    for x in set(needs) - looped:
+        for root in (y for y in up[x] if not needs[y]):
+            path = [x]
+            while path[-1] != root:
+                path.append(min(p for p in needs[path[-1]] if up[p].get(root) == up[path[-1]][root] - 1))
+            want.add((x, root, up[x][root], tuple(path[::-1])))
+    found = H.reached_roots(keys, pairs)
+    assert {(r.key, r.root, r.depth, r.path and tuple(r.path)) for r in H.shortest_paths(found, pairs).collect()} == want
+
+
+def test_task_queries_are_registered():
+    from lattica import catalogue
+
+    assert {"p4_task_paths", "p4_task_descendants"} <= set(catalogue.QUERIES)
