@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lattica import oracle as O
 from lattica.functions import text as T
 from lattica.functions import vectors
+from lattica.operators import typed
 from lattica.schema import EDGE_TYPES
 from lattica.session import cut, table
 from lattica.sources.graph import document_rows, node_rows
@@ -69,13 +70,15 @@ def declared(docs: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame, canonical: DataFrame) -> dict[str, DataFrame]:
-    """All stages: spans, claims, names, mentions (of claims, resolved), links (observed edges), report."""
+    """All stages: spans, claims, names, mentions (of claims, resolved), hints (declared relations), links (observed edges), report."""
     reg = Registry(canonical)
     s = cut(spans(docs), "spans")
     c = cut(claims(s), "claims")
     names = cut(declared(docs), "declared")
     said = cut(c.select("key", "claim_id", "pos", F.explode(T.mentions("sentence")).alias("mention")).withColumn("norm", T.normalise("mention")), "said")
-    all_norms = names.select("norm").unionByName(said.select("norm")).distinct()
+    wanted = cut(hint_rows(docs), "hints")
+    hint_norms = wanted.select(F.explode(F.array("subject", "object")).alias("hint")).filter("hint is not null").select(T.normalise("hint").alias("norm"))
+    all_norms = names.select("norm").unionByName(said.select("norm")).unionByName(hint_norms).distinct()
     found = cut(reg.resolve(all_norms), "resolved")
     own = names.join(found, "norm")
     fresh = own.filter("entity_id is null and norm != ''").groupBy("norm").agg(F.min(F.struct("doc_id", "pos", "name")).alias("f")).select("norm", T.slug("f.name", "entity").alias("fresh"))
@@ -86,29 +89,70 @@ def build(docs: DataFrame, canonical: DataFrame) -> dict[str, DataFrame]:
     nh, sh = name_hits.filter("entity_id is not null"), said_hits.filter("entity_id is not null")
     links = edge(nh, "key", "mentions", "entity_id").unionByName(edge(nh, "entity_id", "derived_from", "key")).unionByName(edge(c, "claim_id", "derived_from", "key"))
     links = links.unionByName(edge(sh, "claim_id", "mentions", "entity_id")).unionByName(edge(sh, "key", "mentions", "entity_id")).unionByName(edge(sh, "entity_id", "derived_from", "key"))
+    claim_nodes = c.groupBy("claim_id").agg(F.min(F.struct("doc_id", "pos", F.col("key").alias("home"), F.col("sentence").alias("label"))).alias("f")).select("claim_id", "f.*")
+    claim_nodes = cut(claim_nodes, "claims")
+    entities = canonical.select("entity_id").unionByName(fresh.select(F.col("fresh").alias("entity_id"))).filter("entity_id is not null").distinct()
+    kinds = ((docs, "key", "source"), (claim_nodes, "claim_id", "claim"), (entities, "entity_id", "entity"))
+    ids = [df.select(F.col(k).alias("id"), F.lit(t).alias("node_type")) for df, k, t in kinds]
+    ids = cut(ids[0].unionByName(ids[1]).unionByName(ids[2]).groupBy("id").agg(F.max("node_type").alias("node_type")), "ids")
+    related = cut(hints(wanted, ids, claim_nodes, said_hits, known), "hints")
+    links = links.unionByName(related.filter("legal").select("src", F.col("relation").alias("edge_type"), "dst"))
     links = cut(links.groupBy("src", "edge_type", "dst").agg(F.count("*").alias("weight")), "links")
+    lone = ids.filter("node_type != 'source'").join(links.select(F.explode(F.array("src", "dst")).alias("id")), "id", "left_anti")
     both = name_hits.select("entity_id").unionByName(said_hits.select("entity_id"))
     tally = lambda df, stage, kind, sign=1, n=F.count("*"): df.agg((sign * F.coalesce(n, F.lit(0))).alias("n")).select(F.lit(stage).alias("stage"), F.lit(kind).alias("kind"), "n")
     parts = [
         tally(docs, "CHUNK", "admitted"), tally(c, "EXTRACT", "admitted"), tally(s, "EXTRACT", "dropped"), tally(c, "EXTRACT", "dropped", -1),
         tally(both.filter("entity_id is not null"), "RESOLVE", "admitted"), tally(both.filter("entity_id is null"), "RESOLVE", "dropped"),
-        tally(links, "LINK", "admitted", n=F.sum("weight")), tally(both.filter("entity_id is null"), "LINK", "dropped"),
+        tally(links, "LINK", "admitted", n=F.sum("weight")), tally(both.filter("entity_id is null"), "LINK", "dropped"), tally(related.filter("not legal"), "LINK", "dropped"),
+        tally(ids, "EMBED", "admitted"), tally(ids, "PRUNE", "admitted"), tally(lone, "PRUNE", "admitted", -1), tally(lone, "PRUNE", "dropped"),
     ]
     tallies = parts[0]
     for p in parts[1:]:
         tallies = tallies.unionByName(p)
     report = tallies.groupBy("stage").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("admitted", "dropped")))
-    return {"spans": s, "claims": c, "names": name_hits, "mentions": said_hits, "links": links, "report": report}
-
-
-def hints(docs: DataFrame, canonical: DataFrame) -> DataFrame:
-    """Declared relations whose two ends resolve to canonical entities: (key, src, relation, dst, legal). Hints of unknown relations stay, as illegal."""
-    reg = Registry(canonical)
-    r = docs.select("key", F.explode("relations").alias("r")).select("key", T.normalise("r.subject").alias("ns"), F.lower(F.trim("r.relation")).alias("relation"), T.normalise("r.object").alias("no"))
-    r = cut(r.filter("ns is not null and no is not null"), "hints")
-    found = cut(reg.resolve(r.select("ns").union(r.select("no")).distinct().toDF("norm")), "hints").filter("entity_id is not null")
-    ends = r.join(found.select(F.col("norm").alias("ns"), F.col("entity_id").alias("src")), "ns").join(found.select(F.col("norm").alias("no"), F.col("entity_id").alias("dst")), "no")
-    return ends.filter("src != dst").select("key", "src", "relation", "dst", F.col("relation").isin("resolves_to").alias("legal"), F.col("relation").isin(*EDGE_TYPES).alias("known"))
+    return {"spans": s, "claims": c, "names": name_hits, "mentions": said_hits, "hints": related, "links": links, "report": report}
+
+
+def hint_rows(docs: DataFrame) -> DataFrame:
+    """(key, nth, subject, relation, object): declared relations of documents."""
+    r = docs.select("key", F.posexplode("relations").alias("nth", "r")).filter("r is not null")
+    return r.select("key", "nth", "r.subject", F.lower(F.trim("r.relation")).alias("relation"), "r.object")
+
+
+def fragment_hits(needles: DataFrame, claim_nodes: DataFrame) -> DataFrame:
+    """needles: (needle), distinct. (needle, claim_id, home, doc_id, pos) of every claim that contains the needle, letter case aside. A needle is
+    looked up by the rarest of its three-character pieces (one of up to three characters by itself) and compared in full only there."""
+    low = claim_nodes.select("claim_id", "home", "doc_id", "pos", F.lower("label").alias("low"))
+    cut_at = lambda x, k: F.when(F.length(x) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - k + 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    pieces = F.when(F.length("needle") <= 3, F.array("needle")).otherwise(cut_at(F.col("needle"), 3))
+    own = cut(needles.select("needle", F.explode(F.array_distinct(pieces)).alias("gram")), "needles")
+    every = F.array_distinct(F.concat(F.array(F.lit("")), *(cut_at(F.col("low"), k) for k in (1, 2, 3))))
+    grams = cut(low.select("claim_id", F.explode(every).alias("gram")).join(own.select("gram").distinct(), "gram", "left_semi"), "grams")
+    rarest = own.join(grams.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m"))
+    near = rarest.filter("m.n > 0").select("needle", F.col("m.gram").alias("gram")).join(grams, "gram")
+    return near.join(low, "claim_id").filter(F.contains("low", "needle")).select("needle", "claim_id", "home", "doc_id", "pos")
+
+
+def hints(rows: DataFrame, ids: DataFrame, claim_nodes: DataFrame, said: DataFrame, known: DataFrame) -> DataFrame:
+    """rows: hint_rows; ids: (id, node_type) of all nodes; claim_nodes: (claim_id, doc_id, pos, home, label); said: resolved mentions of claims; known: (norm,
+    entity_id), the hints' norms among them. Every hint as (key, nth, src, relation, dst, legal, known). An end is the node of that id, else the first claim
+    that contains it (of the same document if one does), else the document's first claim that mentions the entity of that name, else that entity; null if none."""
+    ends = rows.select("key", F.explode(F.array("subject", "object")).alias("hint")).filter("hint is not null").distinct()
+    ends = cut(ends.select("key", "hint", F.lower("hint").alias("needle"), T.normalise("hint").alias("norm")), "ends")
+    hits = cut(fragment_hits(ends.select("needle").distinct(), claim_nodes), "fragments")
+    first = hits.groupBy("needle").agg(F.min(F.struct("doc_id", "pos", "claim_id")).alias("f")).select("needle", F.col("f.claim_id").alias("quoted"))
+    same = hits.groupBy("needle", F.col("home").alias("key")).agg(F.min(F.struct("pos", "claim_id")).alias("f")).select("needle", "key", F.col("f.claim_id").alias("quoted_here"))
+    here = said.filter("entity_id is not null").join(claim_nodes.select("claim_id", F.col("home").alias("key")), ["claim_id", "key"])
+    here = here.groupBy("key", "entity_id").agg(F.min(F.struct("pos", "claim_id")).alias("f")).select("key", "entity_id", F.col("f.claim_id").alias("mentioning"))
+    out = ends.join(ids.select(F.col("id").alias("hint"), F.col("id").alias("own")), "hint", "left")
+    out = out.join(same, ["needle", "key"], "left").join(first, "needle", "left").join(known.filter("entity_id is not null").select("norm", "entity_id"), "norm", "left").join(here, ["key", "entity_id"], "left")
+    out = out.select("key", "hint", F.coalesce("own", "quoted_here", "quoted", "mentioning", "entity_id").alias("id")).join(ids, "id", "left")
+    out = cut(out, "ends")
+    end = lambda hint, to, kind: out.select("key", F.col("hint").alias(hint), F.col("id").alias(to), F.col("node_type").alias(kind))
+    both = rows.join(end("subject", "src", "st"), ["key", "subject"], "left").join(end("object", "dst", "dt"), ["key", "object"], "left")
+    legal = F.coalesce(typed.legal("relation", "st", "dt") & (F.col("src") != F.col("dst")), F.lit(False))
+    return both.select("key", "nth", "src", "relation", "dst", legal.alias("legal"), F.coalesce(F.col("relation").isin(*EDGE_TYPES), F.lit(False)).alias("known"))
 
 
 def _docs(spark, d):
@@ -184,7 +228,7 @@ def stage_report(spark, d):
 
 
 def relation_hints(spark, d):
-    return hints(_docs(spark, d), table(spark, d, "canonical"))
+    return build(_docs(spark, d), table(spark, d, "canonical"))["hints"]
 
 
 _CL = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"

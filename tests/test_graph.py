@@ -133,3 +133,31 @@ def test_upper_median(spark):
     for values, want in (([], 0), ([5], 5), ([1, 2, 3, 4], 3), ([2, 2, 9], 2)):
         df = spark.createDataFrame([(v,) for v in [*values, None]], "v long")
         assert telemetry.upper_median(df, "v").first()[0] == want
+
+
+def test_hints_become_links(spark):
+    said = ["Alpha Engine requires a daily rebuild of shards.", "Nothing shows that the rebuild of shards is slow.", "The Omega Store shows stale rows every day."]
+    schema = "key string, doc_id long, text string, entities array<string>, relations array<struct<subject: string, relation: string, object: string>>"
+    rel = [("nothing shows", "contradicts", "alpha engine requires"), ("source:1", "mentions", "e1"), ("omega", " Supports ", "nobody at all"), ("omega store", "cites", "stale ROWS"), ("Omega St.", "cites", "nothing shows"), ("e1", "likes", "e2"), ("rebuild of shards", "supersedes", "Omega St."), (None, "cites", "e1"), ("source:1", "cites", "e1")]
+    docs = spark.createDataFrame([("source:1", 1, " ".join(said[:2]), [], rel[:4] + rel[5:]), ("source:2", 2, said[2] + " We showed that shards require a rebuild of shards.", [], [rel[4], rel[6]])], schema)
+    canonical = spark.createDataFrame([("e1", 0, "Alpha Engine", None), ("e2", 1, "Omega Store", ["Omega St."]), ("e3", 2, "Lonely Thing", None)], "entity_id string, ord long, label string, aliases array<string>")
+    got = build.build(docs, canonical)
+    ids = {r.sentence: r.claim_id for r in got["claims"].collect()}
+    alpha, nothing, omega = (ids[x] for x in said)
+    shards = ids["We showed that shards require a rebuild of shards."]
+    rows = {(r.key, r.nth): (r.src, r.relation, r.dst, r.legal, r.known) for r in got["hints"].collect()}
+    assert rows[("source:1", 0)] == (nothing, "contradicts", alpha, True, True)  # by fragments
+    assert rows[("source:1", 1)] == ("source:1", "mentions", "e1", True, True)  # by ids
+    assert rows[("source:1", 2)] == (omega, "supports", None, False, True)
+    assert rows[("source:1", 3)] == (omega, "cites", omega, False, True)  # to itself
+    assert rows[("source:2", 0)] == (omega, "cites", nothing, True, True)  # by the document's claim that mentions the entity
+    assert rows[("source:1", 4)] == ("e1", "likes", "e2", False, False)
+    assert rows[("source:2", 1)] == (shards, "supersedes", omega, True, True)  # a fragment in the same document first
+    assert rows[("source:1", 5)] == (alpha, "supersedes", "e2", False, True)  # no claim of the document mentions it: the entity, an illegal pair
+    assert rows[("source:1", 6)][0] is None and not rows[("source:1", 6)][3] and rows[("source:1", 7)] == ("source:1", "cites", "e1", False, True) and len(rows) == 10
+    links = {(r.src, r.edge_type, r.dst) for r in got["links"].collect()}
+    assert {(nothing, "contradicts", alpha), (omega, "cites", nothing), (shards, "supersedes", omega)} <= links
+    report = {r.stage: (r.admitted, r.dropped) for r in got["report"].collect()}
+    assert report["EMBED"] == (9, 0) and report["PRUNE"] == (8, 1)  # two sources, four claims, three entities, one of them alone
+    plain = {r.stage: (r.admitted, r.dropped) for r in build.build(docs.withColumn("relations", F.slice("relations", 1, 0)), canonical)["report"].collect()}
+    assert (report["LINK"][0] - plain["LINK"][0], report["LINK"][1] - plain["LINK"][1]) == (4, 6)
