@@ -15,7 +15,7 @@ from lattica.functions import text as T
 from lattica.functions import vectors
 from lattica.operators import typed
 from lattica.operators.build import Registry
-from lattica.schema import ANSWERING
+from lattica.schema import ANSWERING, FOLLOWED
 from lattica.session import cut, discard, table
 from lattica.sources.graph import edge_rows, node_rows
 
@@ -104,6 +104,12 @@ def justify(chosen: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return state
 
 
+def cut_off(settled: DataFrame, steps: DataFrame, edges: DataFrame, nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(walk_id) of walks that settled, within the budget, a node from which no step leads on though a followed edge, dead or live, leads to a dead node."""
+    dead = edges.filter(F.col("edge_type").isin(*FOLLOWED)).join(nodes.filter("not live").select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+    return settled.filter(F.col("hops") < budget).join(dead.join(steps, "node", "left_anti"), "node", "left_semi").select("walk_id").distinct()
+
+
 def ask(questions: DataFrame, nodes: DataFrame, edges: DataFrame, canonical: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(walks: walk_id, question, answer_id, candidate_id, score, cost, hops, visited, dead_end, path, types, tokens_walked, tokens_flat; visits: walk_id, node, rank)."""
     questions = cut(questions, "questions")
@@ -118,11 +124,11 @@ def ask(questions: DataFrame, nodes: DataFrame, edges: DataFrame, canonical: Dat
     kinds = full.select("walk_id", F.posexplode("path").alias("i", "id")).join(nodes.select("id", "node_type", "label"), "id")
     answer = kinds.groupBy("walk_id").agg(F.max(F.when(F.col("node_type").isin(*ANSWERING), F.struct("i", "id"))).alias("a"), F.sum(T.text_tokens("label")).alias("tokens_walked"))
     visited = settled.groupBy("walk_id").agg(F.count("*").alias("visited"))
-    n_seeds = start.groupBy("walk_id").agg(F.count("*").alias("n_seeds"))
+    pruned = cut_off(settled, steps, edges, nodes).withColumn("saw_pruned", F.lit(True))
     miss = scored.join(good.select("walk_id"), "walk_id", "left_anti").select("walk_id").distinct().withColumn("miss", F.lit(True))
-    out = questions.join(visited, "walk_id", "left").join(n_seeds, "walk_id", "left").join(full.select("walk_id", F.col("node").alias("candidate_id"), "score", "cost", "path", "types"), "walk_id", "left")
+    out = questions.join(visited, "walk_id", "left").join(pruned, "walk_id", "left").join(full.select("walk_id", F.col("node").alias("candidate_id"), "score", "cost", "path", "types"), "walk_id", "left")
     out = out.join(answer, "walk_id", "left").join(failed.withColumnRenamed("dead_end", "early"), "walk_id", "left").join(miss, "walk_id", "left").join(flat_costs(questions, nodes), "walk_id", "left")
-    dead = F.when(F.col("candidate_id").isNotNull(), None).when(F.col("early").isNotNull(), F.col("early")).when(F.coalesce("miss", F.lit(False)), "wrong_node_type").otherwise("no_typed_edge")
+    dead = F.when(F.col("candidate_id").isNotNull(), None).when(F.col("early").isNotNull(), F.col("early")).when(F.coalesce("saw_pruned", F.lit(False)), "pruned_too_early").when(F.coalesce("miss", F.lit(False)), "wrong_node_type").otherwise("no_typed_edge")
     zero = F.lit(0).cast("long")
     walks = out.select(
         "walk_id", "question", F.col("a.id").alias("answer_id"), "candidate_id", "score", "cost", (F.size("path") - 1).cast("long").alias("hops"), F.coalesce("visited", zero).alias("visited"), dead.alias("dead_end"),

@@ -161,3 +161,15 @@ def test_hints_become_links(spark):
     assert report["EMBED"] == (9, 0) and report["PRUNE"] == (8, 1)  # two sources, four claims, three entities, one of them alone
     plain = {r.stage: (r.admitted, r.dropped) for r in build.build(docs.withColumn("relations", F.slice("relations", 1, 0)), canonical)["report"].collect()}
     assert (report["LINK"][0] - plain["LINK"][0], report["LINK"][1] - plain["LINK"][1]) == (4, 6)
+
+
+def test_walks_cut_off_by_pruned_nodes(spark):
+    n = nodes(spark, [("x", "entity", None, True), ("y", "entity", None, True), ("z", "entity", None, True), ("w", "entity", None, True), ("c", "claim", None, True), ("c2", "claim", None, True), ("s", "source", None, False), ("gone", "claim", None, False)])
+    e = edges(spark, [("x", "derived_from", "s"), ("c", "mentions", "y"), ("c", "derived_from", "s"), ("gone", "mentions", "z"), ("c2", "mentions", "w")])
+    canonical = spark.createDataFrame([("x", 0, "Xanthic Quarry", None), ("y", 1, "Yonder Quill", None), ("z", 2, "Zephyr Lamp", None), ("w", 3, "Willow Forge", None)], "entity_id string, ord long, label string, aliases array<string>")
+    q = spark.createDataFrame(list(enumerate(("What about Xanthic Quarry?", "What about Yonder Quill?", "What about Zephyr Lamp?", "What about Willow Forge?"))), "walk_id long, question string")
+    # x has no way on but to a dead source; c has none but to y, from which it came, when its source is dead it still has that one; z is only pointed at
+    got = {r.walk_id: r.dead_end for r in walk.ask(q, n, e, canonical)[0].collect()}
+    assert got == {0: "pruned_too_early", 1: "wrong_node_type", 2: "no_typed_edge", 3: "wrong_node_type"}
+    back = e.filter("edge_type != 'mentions' or src != 'c'").unionByName(edges(spark, [("y", "cites", "c")]))  # an illegal pair, but a way in without a way back
+    assert {r.walk_id: r.dead_end for r in walk.ask(q, n, back, canonical)[0].collect()}[1] == "pruned_too_early"
