@@ -62,11 +62,9 @@ class Mesh:
     def reconstruct_decision(self, decision_id: str, depth: int = 3) -> dict:
         if self.nodes.filter((F.col("id") == decision_id) & (F.col("node_type") == "decision")).isEmpty():
             return {"error": f"no decision {decision_id!r}"}
-        an = temporal.anchors(self.nodes, self.edges)
-        own = an.filter(F.col("id") == decision_id).first().day
-        back = closure.walk_back(self.spark.createDataFrame([(decision_id,)], "root string"), self.edges, self.nodes, depth)
-        side = F.when(F.col("day").isNull(), "undated").otherwise("later" if own is None else F.when(F.col("day") <= F.lit(own), "stood_on").otherwise("later"))
-        return {"decision": decision_id, "day": str(own) if own else None, "nodes": _rows(back.join(an.select(F.col("id").alias("node"), "day"), "node").select("node", "hops", side.alias("side")).orderBy("hops", "node"))}
+        own = temporal.anchors(self.nodes, self.edges).filter(F.col("id") == decision_id).first().day
+        rows = temporal.decision_histories(self.spark.createDataFrame([(decision_id,)], "root string"), self.nodes, self.edges, depth)
+        return {"decision": decision_id, "day": str(own) if own else None, "nodes": [r.asDict() for r in rows.drop("root", "day").orderBy("hops", "node").collect()]}
 
     def health(self) -> list[dict]:
         return _rows(telemetry.health_signals(self.spark, self.folder))

@@ -142,6 +142,29 @@ def reconstruct_decisions(spark, d):
     return rows.groupBy("root", side.alias("side")).agg(F.count("*").alias("n"))
 
 
+def decision_histories(starts: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
+    """starts: (root), decisions. (root, node, hops, relation, through, day, side): what each decision stood on, and what supersedes or contradicts it or anything it
+    reached. Ground is filed by the decision's own date as stood_on, later or undated (nothing dated precedes an undated decision); what came for it is later or undated."""
+    day = cut(anchors(nodes, edges).select(F.col("id").alias("node"), "day"), "anchors")
+    back = cut(closure.walk_back(starts, edges, nodes, depth), "back")
+    reached = starts.select("root", F.col("root").alias("node"), F.lit(0).cast("long").alias("hops")).unionByName(back)
+    kinds = nodes.select(F.col("id").alias("through"), (F.col("node_type") == "decision").alias("decides"))
+    via = edges.filter(F.col("edge_type").isin(*closure.BACK[True])).select(F.col("src").alias("through"), F.col("dst").alias("node"), "edge_type", "ord").join(kinds, "through").filter(F.col("decides") | F.col("edge_type").isin(*closure.BACK[False]))
+    ways = reached.select("root", F.col("node").alias("through"), (F.col("hops") + 1).alias("hops")).join(via, "through")
+    first = lambda df: df.groupBy("root", "node").agg(F.min(F.struct("hops", "ord", F.col("edge_type").alias("relation"), "through")).alias("m")).select("root", "node", "m.hops", "m.relation", "m.through")
+    ground = first(back.join(ways, ["root", "node", "hops"])).withColumn("after", F.lit(False))
+    came = edges.filter(F.col("edge_type").isin("supersedes", "contradicts")).select(F.col("src").alias("node"), F.col("dst").alias("through"), "edge_type", "ord").join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
+    came = reached.select("root", F.col("node").alias("through"), (F.col("hops") + 1).alias("hops")).join(came, "through").join(reached.select("root", "node"), ["root", "node"], "left_anti")
+    rows = ground.unionByName(first(came).withColumn("after", F.lit(True))).join(day, "node").join(day.select(F.col("node").alias("root"), F.col("day").alias("made")), "root")
+    side = F.when(F.col("day").isNull(), "undated").when(~F.col("after") & (F.col("day") <= F.col("made")), "stood_on").otherwise("later")
+    return rows.select("root", "node", "hops", "relation", "through", "day", side.alias("side"))
+
+
+def decision_history_rows(spark, d):
+    n, e = _g(spark, d)
+    return decision_histories(n.filter("node_type = 'decision'").select(F.col("id").alias("root")), n, e).withColumn("day", F.col("day").cast("string"))
+
+
 N, E, A = O.NODES, O.EDGES, O.ASSUMPTIONS
 ANCH = f"""sd AS (SELECT id AS sid, {O.day('retrieved_at')} AS day FROM n WHERE node_type = 'source'),
 o AS (SELECT n.id, sd.sid AS source_id, CASE WHEN node_type = 'source' THEN 'self' ELSE 'provenance' END AS via, day FROM n JOIN sd ON sd.sid = CASE WHEN node_type = 'source' THEN n.id ELSE n.source_id END),
@@ -158,7 +181,7 @@ ASOFA = f"aa AS (SELECT a.id, CASE WHEN f.day IS NOT NULL THEN 'rejected' WHEN a
 
 QUERIES = {
     "anchors": q_anchors, "horizon": q_horizon, "dated_span": dated_span, "earliest_fall": earliest_fall, "as_of_nodes": q_as_of_nodes, "as_of_edges": q_as_of_edges, "as_of_assumptions": q_as_of_assumptions,
-    "as_of_invalidated": as_of_invalidated, "hindsight": hindsight, "reconstruct_decisions": reconstruct_decisions,
+    "as_of_invalidated": as_of_invalidated, "hindsight": hindsight, "reconstruct_decisions": reconstruct_decisions, "decision_history_rows": decision_history_rows,
 }
 SQL = {
     "anchors": O.with_(N, E, ANCH) + "SELECT id, source_id, via, day::VARCHAR AS day FROM an",

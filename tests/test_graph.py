@@ -173,3 +173,14 @@ def test_walks_cut_off_by_pruned_nodes(spark):
     assert got == {0: "pruned_too_early", 1: "wrong_node_type", 2: "no_typed_edge", 3: "wrong_node_type"}
     back = e.filter("edge_type != 'mentions' or src != 'c'").unionByName(edges(spark, [("y", "cites", "c")]))  # an illegal pair, but a way in without a way back
     assert {r.walk_id: r.dead_end for r in walk.ask(q, n, back, canonical)[0].collect()}[1] == "pruned_too_early"
+
+
+def test_decision_histories_have_what_came_afterwards(spark):
+    n, e = scenario(spark)
+    n = n.unionByName(nodes(spark, [("s3", "source", "2026-09-01", True), ("ev", "evidence", "s3", True), ("ev0", "evidence", None, True), ("d3", "decision", "s1", True)]))
+    e = e.unionByName(edges(spark, [("ev", "contradicts", "a"), ("ev0", "contradicts", "a"), ("d3", "supersedes", "d1"), ("a", "contradicts", "d1")]))
+    got = {(r.root, r.node, r.hops, r.relation, r.through, r.side) for r in temporal.decision_histories(spark.createDataFrame([("d1",), ("d2",)], "root string"), n, e).collect()}
+    assert got == {
+        ("d1", "s1", 1, "cites", "d1", "stood_on"), ("d1", "a", 1, "depends_on", "d1", "undated"), ("d1", "ev", 2, "contradicts", "a", "later"), ("d1", "ev0", 2, "contradicts", "a", "undated"),
+        ("d1", "d3", 1, "supersedes", "d1", "later"), ("d2", "s2", 1, "cites", "d2", "undated"),
+    }
