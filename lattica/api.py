@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.text import html_safe, iso_date
 from lattica.operators import closure, telemetry, temporal, typed, walk
-from lattica.session import table
+from lattica.session import cut, table
 from lattica.sources.graph import assumption_rows, edge_rows, node_rows
 
 LIMIT = 200
@@ -69,7 +67,10 @@ class Mesh:
     def health(self) -> list[dict]:
         return _rows(telemetry.health_signals(self.spark, self.folder))
 
-    def export(self) -> str:
-        """The display projection as JSON that is safe inside HTML."""
-        rows = typed.display_projection(self.spark, self.folder).withColumn("label", html_safe("label"))
-        return json.dumps({"nodes": _rows(rows.orderBy("idx"), 10_000)})
+    def export(self, folder: str) -> dict:
+        """Writes the whole display projection below folder, nodes and edges as JSON lines that are safe inside HTML, and gives the totals."""
+        shown = cut(typed.display_projection(self.spark, self.folder), "shown")
+        edges = cut(typed.shown_edges(shown.select("idx", "id"), self.edges), "shown")
+        for name, rows in (("nodes", shown), ("edges", edges)):
+            rows.select(html_safe(F.to_json(F.struct("*"))).alias("value")).write.text(f"{folder}/{name}")
+        return {"folder": folder, "nodes": shown.count(), "edges": edges.count()}

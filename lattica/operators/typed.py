@@ -85,7 +85,7 @@ def live_in_edges(spark, d):
 
 
 def node_inspect(spark, d):
-    """Every node with its degree and its edges both ways, dead ones too, as ordered text; hubs' lists are left as counts."""
+    """Every node with its degree and the counts of its edges both ways, dead ones too; node_edges has the edges."""
     n, e = node_rows(spark, d), edge_rows(spark, d)
     deg = degrees(e)
     out = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_out"), F.min("ord").alias("first_out"))
@@ -95,6 +95,40 @@ def node_inspect(spark, d):
         "id", "node_type", "label", "live", F.coalesce("degree", zero).alias("degree"), F.coalesce("n_out", zero).alias("n_out"), F.coalesce("n_in", zero).alias("n_in"), "first_out", "first_in")
 
 
+def edge_lists(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, side, ord, edge, edge_type, other, other_label, live): every node's edges both ways, dead ones too, one row each; ord orders a side."""
+    row = lambda own, other, side: edges.select(F.col(own).alias("id"), F.lit(side).alias("side"), "ord", F.col("id").alias("edge"), "edge_type", F.col(other).alias("other"), "live")
+    rows = row("src", "dst", "out").unionByName(row("dst", "src", "in")).join(nodes.select("id"), "id", "left_semi")
+    return rows.join(nodes.select(F.col("id").alias("other"), F.col("label").alias("other_label")), "other", "left").select("id", "side", "ord", "edge", "edge_type", "other", "other_label", "live")
+
+
+def node_edges(spark, d):
+    return edge_lists(node_rows(spark, d), edge_rows(spark, d))
+
+
+def evidence_lists(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, side, ord, edge, other): what justifies each node; live targets of derived_from, cites, justified_by (side 0), then live sources of supports (side 1), by ord."""
+    e = with_ends(edges.filter("live"), nodes)
+    out = e.filter(F.col("edge_type").isin("derived_from", "cites", "justified_by") & F.col("dlive")).select(F.col("src").alias("id"), F.lit(0).alias("side"), "ord", F.col("id").alias("edge"), F.col("dst").alias("other"))
+    into = e.filter((F.col("edge_type") == "supports") & F.col("slive")).select(F.col("dst").alias("id"), F.lit(1).alias("side"), "ord", F.col("id").alias("edge"), F.col("src").alias("other"))
+    return out.unionByName(into)
+
+
+def evidence_rows(spark, d):
+    return evidence_lists(node_rows(spark, d), edge_rows(spark, d))
+
+
+def shown_edges(shown: DataFrame, edges: DataFrame) -> DataFrame:
+    """shown: (idx, id). (src, edge_type, dst, weight): live edges between displayed nodes, ends by their numbers, weight to two places."""
+    end = lambda c: shown.select(F.col("id").alias(c), F.col("idx").alias(f"{c}_idx"))
+    e = edges.filter("live").join(end("src"), "src").join(end("dst"), "dst")
+    return e.select(F.col("src_idx").alias("src"), "edge_type", F.col("dst_idx").alias("dst"), F.round("weight", 2).alias("weight"))
+
+
+def displayed_edges(spark, d):
+    return shown_edges(display_projection(spark, d).select("idx", "id"), edge_rows(spark, d))
+
+
 def degree(spark, d):
     return degrees(edge_rows(spark, d))
 
@@ -221,7 +255,7 @@ _KEY = "list_contains(json_keys(n.attrs), '{1}')"
 
 QUERIES = {f.__name__: f for f in (
     nodes_by_type, edges_by_type, untyped_edges, edge_observations, illegal_edges, self_edges, must_carry_violations, live_out_edges, live_in_edges, node_inspect, degree, orphans, prune_build, prune_walked,
-    step_cost, expand, evidence_list, display_projection, snapshot_checks,
+    step_cost, expand, evidence_list, display_projection, snapshot_checks, node_edges, evidence_rows, displayed_edges,
 )}
 SQL = {
     "nodes_by_type": O.with_(N) + f"SELECT t AS node_type, count(n.id) AS total, count(n.id) FILTER (WHERE live) AS live_nodes FROM {O.NODE_TYPE_ROWS} LEFT JOIN n ON n.node_type = t GROUP BY t",

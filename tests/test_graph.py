@@ -184,3 +184,22 @@ def test_decision_histories_have_what_came_afterwards(spark):
         ("d1", "s1", 1, "cites", "d1", "stood_on"), ("d1", "a", 1, "depends_on", "d1", "undated"), ("d1", "ev", 2, "contradicts", "a", "later"), ("d1", "ev0", 2, "contradicts", "a", "undated"),
         ("d1", "d3", 1, "supersedes", "d1", "later"), ("d2", "s2", 1, "cites", "d2", "undated"),
     }
+
+
+def test_whole_export_and_edge_lists(spark, tmp_path, monkeypatch):
+    import json
+
+    from lattica import api
+
+    n, e = scenario(spark)
+    got = {(r.id, r.side, r.edge_type, r.other) for r in typed.edge_lists(n, e).collect()}
+    assert {("d1", "out", "cites", "s1"), ("d1", "in", "supports", "c1"), ("a", "in", "depends_on", "gone")} <= got and len(got) == 14
+    assert {(r.id, r.side, r.other) for r in typed.evidence_lists(n, e).collect()} == {("d1", 0, "s1"), ("d1", 1, "c1"), ("d2", 0, "s2")}
+    shown = spark.range(12_000).select(F.col("id").alias("idx"), F.concat(F.lit("k"), F.col("id")).alias("id"), F.lit("<b>").alias("label"))
+    mesh = api.Mesh.__new__(api.Mesh)
+    mesh.spark, mesh.folder, mesh.edges = spark, "", edges(spark, [("k11000", "cites", "k3"), ("k3", "cites", "hidden")]).withColumn("weight", F.lit(1.239))
+    monkeypatch.setattr(typed, "display_projection", lambda *_: shown)
+    assert mesh.export(f"{tmp_path}/out") == {"folder": f"{tmp_path}/out", "nodes": 12_000, "edges": 1}
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/out/nodes").collect()]
+    assert len(lines) == 12_000 and "<" not in lines[0] and json.loads(lines[0])["label"] == "<b>"
+    assert [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/out/edges").collect()] == [{"src": 11000, "edge_type": "cites", "dst": 3, "weight": 1.24}]
