@@ -1,12 +1,20 @@
 """The k most similar vectors of every vector, by multi-index hashing.
 
-Rotations learned on a bounded sample (ITQ: alternate between the signs and the rotation that fits them best) turn each vector
-into a binary code. The code is split into TABLES substrings of about log2(N) bits, each indexed: two codes that differ in
-fewer than TABLES bits share a substring (pigeonhole), so each substring's bucket retrieves every code within that radius, and most
-beyond it. A 64-bit sketch of further rotated bits thins the candidates, and their float vectors are reranked by cosine.
+Rotations learned on a bounded sample (ITQ: alternate between the signs and the rotation that fits them best) turn each vector into a binary
+code. The code is split into substrings of about log2(N) bits, each indexed in a table of its own, so buckets don't grow with the collection.
+Each substring probes all buckets within PROBE bits of its own. By pigeonhole every code within (PROBE + 1) x tables - 1 bits is met
+for certain; as vectors of cosine c differ in each bit with chance acos(c) / pi, `plan` gives as many tables as it takes to meet a pair at the
+floor in at least one of them but for MISS. What is retrieved and lies within the Hamming radius of the floor is reranked by float cosine.
 
-Equal vectors are one entry with its members, so copies, however many, cost one code. Every row is indexed; only the rotation is learned
-on a sample (SAMPLE rows of least hash share). Large buckets go block by block with exact top-k, see buckets.
+A task holds one table, or above ROWS rows one table's codes of one prefix; rows are sent to the prefixes they probe, so a task's size is bounded.
+
+Two kinds of vector are left over and are compared exactly with whole cells instead (`scan`): those that probe more than MOST rows or meet
+more than NEAR within the radius (a hot region; its all-pairs list is never made), and, where no floor is given, those with fewer than k
+neighbours above CLOSE. Cells are the nearest of at most CELLS centres learned on the same sample; a vector scans the SCANNED share of cells whose
+centres are most similar to it. Query blocks of one cell are units, each streams its cell once and keeps the k best.
+
+Equal vectors are one entry with its members, so copies, however many, cost one code. Every row is indexed; only rotations and centres are learned
+on a sample (SAMPLE rows of least hash).
 
 Defined results: rows without id, or whose embedding is null, of another length, all zero or with null, NaN or infinite elements, take no part; an id of
 several rows counts each of its embeddings (they agree in clean data); ties in cosine go to the smaller id.
@@ -14,21 +22,52 @@ several rows counts each of its embeddings (they agree in clean data); ties in c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm import buckets
 from lattica.session import cut, table
 
-DIM, K, LEAST = 128, 10, 0.85
-#: Substrings, three in each long of the code; bits a substring has at most and at least; bits of the sketch that may differ.
-TABLES, MOST_BITS, LEAST_BITS, SKETCH = 18, 21, 6, 22
-#: Rows the rotations are learned on, at most about.
+#: CLOSE: cosine down to which hashing finds neighbours where the caller names no floor.
+DIM, K, LEAST, CLOSE = 128, 10, 0.85, 0.85
+#: Bits a probed bucket may differ in; bits of the code the radius is measured on; chance to miss a pair at the floor; deviations the radius allows.
+PROBE, CODE, MISS, DEVIATIONS = 2, 128, 0.02, 4
+#: Rows a task holds of one table; rows a vector may probe in a table; of these within the radius.
+ROWS, MOST, NEAR = 1_000_000, 16_384, 256
+#: Rows the rotations and centres are learned on, at most about; rounds of learning.
 SAMPLE, ROUNDS = 8_000, 15
+#: Vectors a cell has on average, cells at most, share of the cells that is scanned; queries of a unit, rows compared at once.
+CELL_ROWS, CELLS, SCANNED, UNIT, STRIP = 8_192, 64, 1 / 16, 16_384, 1_024
+
+
+class Plan(NamedTuple):
+    bits: int
+    tables: int
+    radius: int
+    half: int
+    prefix: int
+    cells: int
+    probes: int
+    most: int
+    near: int
+
+
+def plan(n: int, floor: float) -> Plan:
+    """Bits of a substring, number of tables, radius over the code and over its first 64 bits, prefix bits, cells and cells scanned, for n distinct vectors."""
+    p = math.acos(min(1.0, max(0.0, floor))) / math.pi
+    bits = min(40, max(8, round(math.log2(max(n, 2)))))
+    met = sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(PROBE + 1))
+    tables = max(2, math.ceil(math.log(MISS) / math.log(max(1e-12, 1 - met)))) if met < 1 else 2
+    reach = lambda b: math.ceil(b * p + DEVIATIONS * math.sqrt(b * p * (1 - p)))
+    prefix = max(0, math.ceil(math.log2(max(1, n) / ROWS)))
+    cells = min(CELLS, max(1, n // CELL_ROWS))
+    return Plan(bits, tables, reach(CODE), reach(64), prefix, cells, min(cells, max(2, math.ceil(cells * SCANNED))), MOST, NEAR)
 
 
 def learn(x: np.ndarray, bits: int, dim: int = DIM, seed: int = 0) -> np.ndarray:
@@ -44,6 +83,21 @@ def learn(x: np.ndarray, bits: int, dim: int = DIM, seed: int = 0) -> np.ndarray
     return np.concatenate(parts, 1)[:, :bits].astype(np.float32)
 
 
+def centres(x: np.ndarray, n: int, dim: int = DIM, seed: int = 0) -> np.ndarray:
+    """At most n unit vectors that the sample x gathers around."""
+    rng = np.random.default_rng(seed)
+    if not len(x):
+        return np.eye(1, dim, dtype=np.float32)
+    c = x[rng.choice(len(x), min(n, len(x)), replace=False)].astype(np.float64)
+    for _ in range(ROUNDS):
+        near = (x @ c.T).argmax(1)
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        norm = np.linalg.norm(total, axis=1)
+        c = np.where(norm[:, None] > 0, total / np.maximum(norm, 1e-30)[:, None], c)
+    return c.astype(np.float32)
+
+
 def unit(column: pa.Array, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
     """(rows that can be used, their unit vectors) of a list column."""
     sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
@@ -62,73 +116,172 @@ def usable(nodes: DataFrame, dim: int = DIM) -> DataFrame:
     return nodes.filter((F.size("embedding") == dim) & F.col("id").isNotNull()).select("id", F.xxhash64("embedding").alias("v"), "embedding")
 
 
-def codes(nodes: DataFrame, bits: int, dim: int = DIM) -> DataFrame:
-    """id, v, c0..c5 (three substrings of `bits` bits each), s (the sketch)."""
-    longs, spark = TABLES // 3, nodes.sparkSession
-    n = max(1, nodes.count())
-    share = F.pmod(F.xxhash64("id", F.lit("itq")), F.lit(1 << 20)) < int(min(1.0, SAMPLE / n) * (1 << 20)) + 1
+def _ints(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64), pa.int64()) for c in columns], names)
+
+
+def codes(nodes: DataFrame, how: Plan, n: int, dim: int = DIM) -> DataFrame:
+    """id, v, t (one substring a table), w0, w1 (the code the radius is measured on), cells (nearest first)."""
+    spark = nodes.sparkSession
+    share = F.pmod(F.xxhash64("id", F.lit("itq")), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 20)) + 1
     sample = usable(nodes, dim).filter(share).select("embedding").toArrow().column(0).combine_chunks()
     _, x = unit(sample.chunk(0) if isinstance(sample, pa.ChunkedArray) else sample, dim)
-    sent = spark.sparkContext.broadcast(learn(x.astype(np.float64), TABLES * bits + 64, dim))
-    names = [*(f"c{i}" for i in range(longs)), "s"]
+    x = np.unique(x, axis=0)
+    sent = spark.sparkContext.broadcast((learn(x.astype(np.float64), max(CODE, how.tables * how.bits), dim), centres(x, how.cells, dim)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        proj, power = sent.value, np.uint64(1) << np.arange(64, dtype=np.uint64)
+        proj, middle = sent.value
+        power = np.uint64(1) << np.arange(64, dtype=np.uint64)
         for b in batches:
             at, u = unit(b.column("embedding"), dim)
             sign = (u @ proj >= 0).astype(np.uint64)
-            cols = [sign[:, i * 3 * bits : (i + 1) * 3 * bits] @ power[: 3 * bits] for i in range(longs)] + [sign[:, TABLES * bits :] @ power]
+            subs = np.stack([sign[:, i * how.bits : (i + 1) * how.bits] @ power[: how.bits] for i in range(how.tables)], 1)
+            words = [sign[:, i : i + 64] @ power for i in (0, 64)]
+            top = np.argsort(-(u @ middle.T), 1, kind="stable")[:, : how.probes]
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * z.shape[1], pa.int32()), pa.array(z.ravel().astype(np.int64))) for z in (subs, top)]
             take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("v").take(take), *(pa.array(c.view(np.int64)) for c in cols)], ["id", "v", *names])
-
-    return usable(nodes, dim).mapInArrow(run, "id string, v long, " + ", ".join(f"{c} long" for c in names))
-
-
-def bits_for(n: int) -> int:
-    return int(min(MOST_BITS, max(LEAST_BITS, round(np.log2(max(n, 2))))))
+            yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("v").take(take), lists[0], *(pa.array(w.view(np.int64)) for w in words), lists[1]], ["id", "v", "t", "w0", "w1", "cells"])
+
+    return usable(nodes, dim).mapInArrow(run, "id string, v long, t array<long>, w0 long, w1 long, cells array<long>")
+
+
+def masks(bits: int, most: int = PROBE) -> list[int]:
+    """All masks of at most `most` set bits, by number of bits."""
+    return [sum(1 << i for i in c) for k in range(most + 1) for c in combinations(range(bits), k)]
+
+
+def probed(key: np.ndarray, w0: np.ndarray, w1: np.ndarray, own: np.ndarray, reach: np.ndarray, how: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of one table and prefix; own rows are indexed, rows sent from other prefixes (reach < PROBE bits left) only probe. (i, j, hot): pairs of row
+    numbers within the radius, j always an own row; numbers of own or sent rows that are left to the scan."""
+    local = max(1, how.bits - how.prefix)
+    low = (key & ((1 << local) - 1)).astype(np.int64)
+    mine = np.flatnonzero(own)
+    order = mine[np.argsort(low[mine], kind="stable")]
+    start = np.zeros((1 << local) + 1, np.int64)
+    np.cumsum(np.bincount(low[mine], minlength=1 << local), out=start[1:])
+    deltas = masks(local)
+    weight = np.array([d.bit_count() for d in deltas])
+    total = np.zeros(len(key), np.int64)
+    for d, w in zip(deltas, weight):
+        x = low ^ d
+        total += np.where(reach >= w, start[x + 1] - start[x], 0)
+    hot = total > how.most
+    out_i, out_j = [], []
+    for d, w in zip(deltas, weight):
+        top = 1 << (d.bit_length() - 1) if d else 0
+        ask = np.flatnonzero(~hot & (reach >= w))
+        x = low[ask] ^ d
+        lo, n = start[x], start[x + 1] - start[x]
+        ask, lo, n = ask[n > 0], lo[n > 0], n[n > 0]
+        if not len(ask):
+            continue
+        stop = np.cumsum(n)
+        for a in range(0, int(stop[-1]), 1 << 22):  # a strip of candidates at a time
+            p, q = np.searchsorted(stop, [a, a + (1 << 22)], "right")
+            q = min(q + 1, len(ask))
+            first, many = stop[p:q] - n[p:q], n[p:q]
+            skip, end = np.maximum(a - first, 0), np.minimum(stop[p:q], a + (1 << 22)) - first
+            m = np.maximum(end - skip, 0)
+            i = np.repeat(ask[p:q], m)
+            at = np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo[p:q] + skip, m)
+            j = order[at]
+            # both ends would bring the pair: the end without the mask's top bit does, unless the other can't
+            both = own[i] & ~hot[j]
+            once = (low[i] & top) == 0 if d else i < j
+            ok = np.flatnonzero((once | ~both) & (i != j))
+            i, j = i[ok], j[ok]
+            ok = np.flatnonzero(np.bitwise_count(w0[i] ^ w0[j]) <= how.half)
+            i, j = i[ok], j[ok]
+            ok = np.bitwise_count(w0[i] ^ w0[j]).astype(np.int64) + np.bitwise_count(w1[i] ^ w1[j]) <= how.radius
+            out_i.append(i[ok])
+            out_j.append(j[ok])
+    none = np.zeros(0, np.int64)
+    i, j = np.concatenate(out_i or [none]), np.concatenate(out_j or [none])
+    hot |= np.bincount(np.concatenate([i, j]), minlength=len(key)) > how.near
+    ok = ~(hot[i] & hot[j])
+    return i[ok], j[ok], np.flatnonzero(hot)
+
+
+def probes(reps: DataFrame, how: Plan) -> DataFrame:
+    """reps: (v, t, w0, w1). Rows (a, b): a pair within the radius, a < b; or (a, null): a is left to the scan."""
+    local = max(1, how.bits - how.prefix)
+    rows = reps.select("v", "w0", "w1", F.posexplode("t").alias("table", "key"))
+    if how.prefix:
+        near = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(PROBE - m.bit_count()).alias("reach")) for m in masks(how.prefix)))
+        rows = rows.withColumn("n", F.explode(near)).withColumn("reach", F.col("n.reach")).withColumn("part", F.shiftright("key", local).cast("int").bitwiseXOR(F.col("n.m")))
+    else:
+        rows = rows.withColumn("reach", F.lit(PROBE)).withColumn("part", F.lit(0))
+    rows = rows.select((F.col("table") * (1 << how.prefix) + F.col("part")).cast("int").alias("part"), F.col("reach").cast("long").alias("reach"), "v", "key", "w0", "w1")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if not held:
+            return
+        part, reach, v, key, w0, w1 = (np.concatenate(c) for c in zip(*held))
+        for p in np.unique(part):
+            at = np.flatnonzero(part == p)
+            ids = v[at]
+            i, j, hot = probed(key[at], w0[at].view(np.uint64), w1[at].view(np.uint64), reach[at] == PROBE, reach[at], how)
+            pairs = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
+            if len(pairs):
+                yield _ints([pairs[:, 0], pairs[:, 1]], ["a", "b"])
+            if len(hot):
+                left = np.unique(ids[hot])
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.nulls(len(left), pa.int64())], ["a", "b"])
+
+    return rows.repartitionById(how.tables << how.prefix, F.col("part")).mapInArrow(run, "a long, b long").distinct()
+
+
+def scan(rest: DataFrame, reps: DataFrame, vectors: DataFrame, k: int, dim: int = DIM) -> DataFrame:
+    """rest: (v), vectors to compare with their cells; reps: (v, cells); vectors: (v, embedding). (a, b): the k best others of each a, by cosine."""
+    asks = rest.join(reps, "v").select("v", F.explode("cells").alias("cell"))
+    units = cut(asks.groupBy("cell").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("units")), "units")
+    spread = lambda r, n: F.pmod(F.xxhash64("v", F.lit(r)), n).cast("int")
+    asks = asks.join(F.broadcast(units), "cell").select("v", "cell", spread(3, F.col("units")).alias("u"), F.lit(0).alias("side"))
+    held = reps.select("v", F.col("cells")[0].alias("cell")).join(F.broadcast(units), "cell")
+    held = held.select("v", "cell", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("u"), F.lit(1).alias("side"))
+    rows = asks.unionByName(held).join(vectors, "v").select(F.xxhash64("cell", "u").alias("unit"), "side", "v", "embedding")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, q, u, ids, cos = None, None, None, None, None
+
+        def done() -> pa.RecordBatch:
+            r, c = np.nonzero(cos > -2)
+            return _ints([q[r], ids[r, c]], ["a", "b"])
 
-def _exact(vectors: DataFrame, k: int, dim: int):
-    """For buckets above the cap: the k best of each vector in each pair of blocks, by cosine."""
-
-    def over(rows: DataFrame) -> DataFrame:
-        units = buckets.block_units(rows).join(vectors, F.col("a") == F.col("v")).select("k2", "side", "same", "a", "embedding")
-
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[pa.RecordBatch] = []
-
-            def flush() -> pa.RecordBatch:
-                t = pa.Table.from_batches(held).combine_chunks()
-                side, a = t.column("side").to_numpy(), t.column("a").to_numpy()
-                _, u = unit(t.column("embedding").chunk(0), dim)
-                same = t.column("same")[0].as_py()
-                i = np.arange(len(a)) if same else np.flatnonzero(side == 0)
-                j = i if same else np.flatnonzero(side == 1)
-                out = [(a[:0], a[:0])]
-                for p, q in ((i, j),) if same else ((i, j), (j, i)):
-                    for z in range(0, len(p), 512):
-                        w = u[p[z : z + 512]] @ u[q].T
-                        w[a[p[z : z + 512], None] == a[None, q]] = -2
-                        top = np.argpartition(-w, min(k, w.shape[1] - 1), 1)[:, : k + 1] if w.shape[1] else np.zeros((len(w), 0), int)
-                        out.append((np.repeat(a[p[z : z + 512]], top.shape[1]), a[q][top].ravel()))
-                x, y = buckets.unique(np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out]))
-                return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
-
-            for b in batches:
-                key = b.column("k2").to_numpy()
-                cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
-                for p, q in zip(cuts, cuts[1:]):
-                    if held and q > p and held[-1].column("k2")[0].as_py() != key[p]:
-                        yield flush()
-                        held = []
-                    if q > p:
-                        held.append(b.slice(p, q - p))
-            if held:
-                yield flush()
-
-        return buckets.spread(units, "k2").sortWithinPartitions("k2").mapInArrow(best, "a long, b long")
-
-    return over
+        for b in batches:
+            unit_, side, v = (b.column(c).to_numpy() for c in ("unit", "side", "v"))
+            at, x = unit(b.column("embedding"), dim)
+            unit_, side, v = unit_[at], side[at], v[at]
+            cuts = [0, *(np.flatnonzero((unit_[1:] != unit_[:-1]) | (side[1:] != side[:-1])) + 1), len(v)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                if now != unit_[i]:
+                    if now is not None:
+                        yield done()
+                    now, q, u = unit_[i], np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
+                    ids, cos = np.zeros((0, k), np.int64), np.zeros((0, k), np.float32)
+                if side[i] == 0:
+                    q, u = np.concatenate([q, v[i:j]]), np.concatenate([u, x[i:j]])
+                    ids, cos = np.concatenate([ids, np.zeros((j - i, k), np.int64)]), np.concatenate([cos, np.full((j - i, k), -2, np.float32)])
+                    continue
+                for z in range(i, j, STRIP):
+                    w = u @ x[z : min(z + STRIP, j)].T
+                    w[q[:, None] == v[None, z : min(z + STRIP, j)]] = -2
+                    go = np.flatnonzero(w.max(1) > cos[:, -1])
+                    if not len(go):
+                        continue
+                    both, names = np.concatenate([cos[go], w[go]], 1), np.concatenate([ids[go], np.broadcast_to(v[z : min(z + STRIP, j)], (len(go), w.shape[1]))], 1)
+                    top = np.argpartition(-both, k - 1, 1)[:, :k]
+                    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(both, top, 1), 1, kind="stable"), 1)
+                    cos[go], ids[go] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
+        if now is not None:
+            yield done()
+
+    n = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(n, int(units.agg(F.sum("units")).first()[0] or 0))
+    return rows.repartition(n, "unit").sortWithinPartitions("unit", "side").mapInArrow(best, "a long, b long").distinct()
 
 
 def cosine(a: str, b: str):
@@ -136,29 +289,40 @@ def cosine(a: str, b: str):
     return F.least(F.lit(1.0), dot(F.col(a), F.col(b)) / F.sqrt(dot(F.col(a), F.col(a)) * dot(F.col(b), F.col(b))))
 
 
-def nearest(nodes: DataFrame, k: int = K, least: float = LEAST, dim: int = DIM) -> DataFrame:
-    """(id, other, cosine): for every usable node its k most similar other nodes with a cosine of at least `least`."""
-    bits = bits_for(nodes.count())
-    coded = cut(codes(nodes, bits, dim), "codes")
-    names = [c for c in coded.columns if c[0] == "c"]
-    reps = coded.groupBy("v").agg(*(F.first(c).alias(c) for c in [*names, "s"]))
-    mask = (1 << bits) - 1
-    keys = [F.shiftrightunsigned(c, j * bits).bitwiseAND(F.lit(mask).cast("long")).bitwiseOR(F.lit((3 * i + j) << (bits + 1)).cast("long")) for i, c in enumerate(names) for j in range(3)]
-    rows = reps.select(F.explode(F.array(*keys)).alias("k"), F.col("v").alias("a"), "s")
+def nearest(nodes: DataFrame, k: int = K, least: float | None = LEAST, dim: int = DIM) -> DataFrame:
+    """(id, other, cosine): for every usable node its k most similar other nodes, those with a cosine of at least `least` where it is given."""
+    n, floor = nodes.count(), CLOSE if least is None else least
+    how = plan(n, floor)
+    coded = cut(codes(nodes, how, n, dim), "codes")
+    reps = coded.groupBy("v").agg(*(F.first(c).alias(c) for c in ("t", "w0", "w1", "cells")))
+    met = cut(probes(reps, how), "met")
     vectors = usable(nodes, dim).select("v", "embedding")
-    pairs = cut(buckets.bucket_pairs(rows, SKETCH, _exact(vectors.dropDuplicates(["v"]), k, dim)), "cands")
 
-    ends = cut(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct(), "ends")
-    vectors = vectors.join(ends, "v", "left_semi").dropDuplicates(["v"])
-    both = pairs.join(vectors.select(F.col("v").alias("a"), F.col("embedding").alias("ea")), "a").join(vectors.select(F.col("v").alias("b"), F.col("embedding").alias("eb")), "b")
-    scored = cut(both.select("a", "b", cosine("ea", "eb").alias("cos")).filter(F.col("cos") >= least), "scored")
+    def rerank(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+        some = vectors.join(ends, "v", "left_semi").dropDuplicates(["v"])
+        both = pairs.join(some.select(F.col("v").alias("a"), F.col("embedding").alias("ea")), "a").join(some.select(F.col("v").alias("b"), F.col("embedding").alias("eb")), "b")
+        return cut(both.select("a", "b", cosine("ea", "eb").alias("cos")).filter(F.col("cos") >= (-1.0 if least is None else least)), "scored")
+
+    scored = rerank(met.filter("b is not null"))
+    links = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
+    rest = met.filter("b is null").select(F.col("a").alias("v")).distinct()
+    if least is None:  # whoever has fewer than k neighbours (members of equal vectors counted) above the floor of the hashing
+        sizes = coded.groupBy("v").agg(F.least(F.count_distinct("id"), F.lit(k + 1)).alias("n"))
+        near = links.filter(F.col("cos") >= floor).join(sizes.select(F.col("v").alias("b"), "n"), "b").groupBy(F.col("a").alias("v")).agg(F.sum("n").alias("near"))
+        short = sizes.join(near, "v", "left").filter(F.col("n") - 1 + F.coalesce("near", F.lit(0)) < k).select("v")
+        rest = rest.unionByName(short).distinct()
+    rest = cut(rest, "rest")
+    if not rest.isEmpty():
+        found = cut(scan(rest, reps.select("v", "cells"), vectors.dropDuplicates(["v"]), k, dim), "found")
+        more = rerank(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        links = links.unionByName(more).unionByName(more.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos")).dropDuplicates(["a", "b"])
 
     # Each vector's list: other vectors' members (the k + 1 of least id stand for all, since no one needs more), then its own.
     members = coded.select("v", "id").distinct()
     head = members.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("r") <= k + 1)
     shared = head.filter("r = 2").select(F.col("v").alias("a"), F.col("v").alias("b"), F.lit(1.0).alias("cos"))
-    links = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos")).unionByName(shared)
-    listed = links.join(head.select(F.col("v").alias("b"), F.col("id").alias("other")), "b")
+    listed = links.unionByName(shared).join(head.select(F.col("v").alias("b"), F.col("id").alias("other")), "b")
     listed = listed.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cos"), "other"))).filter(F.col("r") <= k + 1)
     full = listed.join(members.select(F.col("v").alias("a"), "id"), "a").filter("id != other")
     full = full.groupBy("id", "other").agg(F.max("cos").alias("cosine"))
@@ -171,6 +335,6 @@ def p3_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p3_neighbours(spark, sf_dir: str) -> DataFrame:
-    """Each node's list with its cosines, rounded to 4 places."""
-    found = nearest(table(spark, sf_dir, "nodes").select("id", "embedding"))
+    """The list of every usable node, whatever the cosine, rounded to 4 places."""
+    found = nearest(table(spark, sf_dir, "nodes").select("id", "embedding"), least=None)
     return found.select("id", "other", F.round("cosine", 4).alias("cosine"))

@@ -1,7 +1,6 @@
 import numpy as np
 import pytest
 
-from lattica.llm import buckets
 from lattica.llm import neighbours as N
 
 
@@ -35,7 +34,7 @@ def test_recall_against_brute_force(spark):
 
 
 def test_copies_and_hot_buckets(spark, monkeypatch):
-    monkeypatch.setattr(buckets, "CAP", 8)
+    monkeypatch.setattr(N, "NEAR", 8)
     rng = np.random.default_rng(4)
     c = rng.standard_normal(N.DIM)
     rows = [(f"c{i:02}", c.tolist()) for i in range(30)] + [(f"d{i:02}", (c + rng.standard_normal(N.DIM) * 0.05).tolist()) for i in range(30)]
@@ -45,6 +44,42 @@ def test_copies_and_hot_buckets(spark, monkeypatch):
     assert len(got & want) >= 0.98 * len(want) and {p for p in got if p[0][0] == "c"} == {p for p in want if p[0][0] == "c"}
 
 
+def test_hot_regions_are_scanned_whole(spark, monkeypatch):
+    monkeypatch.setattr(N, "MOST", 4)
+    monkeypatch.setattr(N, "UNIT", 16)
+    rng = np.random.default_rng(8)
+    c = rng.standard_normal(N.DIM)
+    rows = [(f"d{i:02}", (c + rng.standard_normal(N.DIM) * 0.05).tolist()) for i in range(60)] + data(3)
+    df = spark.createDataFrame(rows, "id string, embedding array<float>")
+    want, got = brute([(i, np.float32(x).astype(float).tolist()) for i, x in rows]), {(r.id, r.other) for r in N.nearest(df).collect()}
+    assert len(got & want) >= 0.98 * len(want)
+
+
+def test_every_vector_gets_its_list_where_no_floor_is_given(spark):
+    rows = data(5)
+    df = spark.createDataFrame(rows + rows[:5] + DIRTY, "id string, embedding array<float>")
+    want, got = brute(rows, least=-1), [(r.id, r.other) for r in N.nearest(df, least=None).collect()]
+    assert len(got) == len(want) == N.K * len(rows) and len(set(got) & want) >= 0.98 * len(want)
+
+
+def test_probing_meets_every_code_within_the_radius():
+    rng = np.random.default_rng(6)
+    n, how = 3000, N.plan(3000, 0.85)._replace(bits=12, radius=128, half=64, most=1 << 40, near=1 << 40)
+    key = rng.integers(0, 1 << 12, n)
+    w, none = np.zeros(n, np.uint64), np.full(n, N.PROBE)
+    i, j, hot = N.probed(key, w, w, np.ones(n, bool), none, how)
+    far = np.bitwise_count((key[:, None] ^ key[None]).astype(np.uint64))
+    a, b = np.nonzero(np.triu(far <= N.PROBE, 1))
+    assert not len(hot) and set(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist())) == set(zip(a.tolist(), b.tolist())) and len(i) == len(a)
+
+
+def test_prefixes_meet_the_same_pairs(spark, monkeypatch):
+    df = spark.createDataFrame(data(7, 200), "id string, embedding array<float>")
+    whole = {tuple(r) for r in N.nearest(df).select("id", "other").collect()}
+    monkeypatch.setattr(N, "ROWS", 60)
+    assert N.plan(500, 0.85).prefix == 4 and {tuple(r) for r in N.nearest(df).select("id", "other").collect()} == whole
+
+
 def test_empty(spark):
     assert N.nearest(spark.createDataFrame(DIRTY[:3], "id string, embedding array<float>")).count() == 0
 
