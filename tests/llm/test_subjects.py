@@ -52,6 +52,26 @@ def test_documents(spark):
     assert got == {(1, "sport"), (1, "farming"), (5, "farming")}
     assert S.subject_rows(docs.limit(0)).count() == 0
     labels = spark.createDataFrame([(1, " Sport", "x"), (5, "farming", "y"), (None, "law", "z")], "doc_id long, subject string, annotator string")
-    found = S.found_terms(docs)
-    floor, f1 = S.calibrate(found, labels, ONES)
-    assert 0 < f1[floor] <= 1
+    floors, f1 = S.calibrate(S.labelled(S.found_terms(docs), labels), ONES)
+    assert f1["sport"] == pytest.approx(2 / 3) and 0 < f1["farming"] <= 1 and set(floors.values()) <= set(S.FLOORS)
+
+
+def test_subjects_come_from_the_table(spark):
+    docs = spark.createDataFrame([(1, "The goalkeeper left. The harvest was late."), (2, "A telescope shows comets.")], "doc_id long, text string")
+    listed = spark.createDataFrame([("Farming", "Farming", None), ("astronomy", "Astronomy", "Telescope work and comets."), (None, "x", "y"), ("Farming", "Farming", None)], "subject string, title string, description string")
+    assert {tuple(r) for r in S.subject_rows(docs, listed).collect()} == {(1, "Farming"), (2, "astronomy")}
+    assert S.subject_rows(docs, listed.limit(0)).count() == 0
+
+
+def test_a_floor_silences_weak_sentences():
+    own = {s: [i for i, (_, x) in enumerate(VOC) if x == (s,)] for s in ("sport", "law")}
+    hits = [[own["sport"][0]]] * 3 + [[own["law"][0]]]
+    assert S.shares(hits, ONES, SUBJ) == {"sport": 0.75, "law": 0.25}
+    assert S.shares(hits, ONES, SUBJ, {"law": 1.5}) == {"sport": 1.0}
+
+
+def test_calibration_prefers_a_floor_that_labels_ask_for():
+    law, sport = (next(i for i, (_, x) in enumerate(VOC) if x == (s,)) for s in ("law", "sport"))
+    rows = [([[sport], [sport], [law]], {"sport": 1})] * 200 + [([[law, law, law]], {"law": 1})] * 200
+    floors, _ = S.calibrate([(h, S.Counter(w)) for h, w in rows], ONES)
+    assert 1.0 < floors["law"] <= 3.0 and floors["sport"] == 0.0
