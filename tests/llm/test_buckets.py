@@ -41,11 +41,26 @@ def test_runs_keep_whole_keys(size):
 @pytest.mark.parametrize("cap", [2000, 30])
 def test_pairs_against_brute_force(spark, monkeypatch, cap):
     monkeypatch.setattr(B, "CAP", cap)
+    monkeypatch.setattr(B, "BLOCK", cap)
     k, a, s = rows(3, 300, 6, hot=120)
     df = spark.createDataFrame([tuple(map(int, r)) for r in zip(k, a, s)], "k long, a long, s long")
     got = [tuple(r) for r in B.bucket_pairs(df, 4).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(k, a, s, 4)
 
 
+def test_large_buckets_are_keyed_anew(spark, monkeypatch):
+    monkeypatch.setattr(B, "CAP", 30)
+    k, a, s = rows(5, 100, 3, hot=90)
+    df = spark.createDataFrame([tuple(map(int, r)) for r in zip(k, a, s)], "k long, a long, s long")
+    asked = []
+
+    def refine(over):
+        asked.extend(r.a for r in over.collect())
+        return over
+
+    assert {tuple(r) for r in B.bucket_pairs(df, 4, refine).collect()} == brute(k, a, s, 4)
+    assert set(asked) == {x for q, x in zip(k, a) if (k == q).sum() > 30}
+
+
 def test_empty(spark):
     assert B.bucket_pairs(spark.createDataFrame([], "k long, a long, s long"), 4).count() == 0

@@ -65,3 +65,19 @@ def test_empty_and_very_long(spark):
     long = " ".join(random.Random(3).choices(WORDS, k=20_000))
     df = spark.createDataFrame([("a", long), ("b", long + " end of it")], "id string, label string")
     assert E.near_classes(df)[1].count() == 1
+
+
+def test_similarities_at_once():
+    rows = [x for _, x in labels(4, 30)]
+    norm = [" ".join(x.lower().strip(".").split()) for x in rows] + ["abc", "ab", ""]
+    left, right = norm, norm[1:] + norm[:1]
+    got = E.similarities(E.pa.array(left), E.pa.array(right))
+    assert got == pytest.approx([E.similarity(a, b) for a, b in zip(left, right)])
+
+
+def test_hot_buckets_lose_no_pair(spark, monkeypatch):
+    rows = [(f"n{i}", f"batch {i} of the amber basin verified beside the quiet orbit of the northern quarry") for i in range(60)] + labels(6, 10)
+    df = spark.createDataFrame(rows, "id string, label string")
+    whole = {tuple(r) for r in E.near_classes(df)[1].collect()}
+    monkeypatch.setattr(E.buckets, "CAP", 10)
+    assert {tuple(r) for r in E.near_classes(df)[1].collect()} == whole and len(whole) > 1700
