@@ -1,8 +1,9 @@
 """Splitting oversized texts at natural boundaries, by content-defined chunking.
 
 A gear hash rolls over the code points; where it is greatest between the least and the greatest size of a piece is a
-landmark, and the landmark snaps to the nearest natural boundary, coarse kinds first. Landmarks depend
-on nearby text alone, so an edit alters the pieces around it and the cuts fall into step again behind it.
+landmark, and the landmark snaps to the nearest natural boundary, coarse kinds first. Landmark and kind are chosen within that window
+and depend on nearby text alone, so an edit alters the pieces around it and the cuts fall into step again behind it. The cut level of the whole text is
+reported from the same boundaries.
 
 Every text is worked on whole. Lengths are counted in code points.
 
@@ -71,7 +72,7 @@ def split(text: str, max_chars: int, overlap: int) -> tuple[str, list[tuple[int,
     a, b, kinds = boundaries(text)
     level = cut_level(len(text), a, b, kinds, room)
     h = gear(text)
-    ends = [(a[kinds <= k], b[kinds <= k]) for k in range(min(level, 3) + 1)]
+    ends = [(a[kinds <= k], b[kinds <= k]) for k in range(len(LEVELS))]
     pieces, p, prev = [], 0, 0
     while p < len(text):
         hi = p + room

@@ -65,3 +65,23 @@ def test_documents(spark):
     assert [g[0] for g in got] == [1, 1, 4] and {g[1] for g in got} == {"word"}
     assert P.split_documents(docs.limit(0), lim).count() == 0
     assert P.split_documents(docs, lim.filter("source = 'none'")).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_edits_of_paragraph_texts_stay_local(seed):
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9)))
+    para = lambda: " ".join(" ".join(word() for _ in range(rnd.randint(3, 14))) + "." for _ in range(rnd.randint(1, 5)))
+    paras = [para() for _ in range(200)]
+    pieces = lambda ps: [t[b:e].strip() for t in ["\n\n".join(ps)] for _, b, e in P.split(t, 400, 60)[1]]
+    before = pieces(paras)
+    long = " ".join(word() for _ in range(120))  # has no sentence end, so the level of the whole text changes
+    for edited in (paras + [long], paras[:90] + [long] + paras[90:], paras[:90] + paras[91:], [long] + paras):
+        after = pieces(edited)
+        same = 0
+        while same < min(len(before), len(after)) and before[same] == after[same]:
+            same += 1
+        tail = 0
+        while tail < min(len(before), len(after)) - same and before[-1 - tail] == after[-1 - tail]:
+            tail += 1
+        assert len(before) - same - tail <= 8 and len(after) - same - tail <= 12
