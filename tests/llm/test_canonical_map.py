@@ -42,8 +42,8 @@ def test_edits_against_plain_recursion():
 def test_scores_are_cosines():
     index = M.Index([(f"e{i}", "".join(random.Random(i).choices(string.ascii_lowercase, k=9)), None) for i in range(30)])
     for entity, found in index.forms:
-        s = index.scores(found)
-        assert s.max() == pytest.approx(1) and index.forms[int(s.argmax())][0] == entity
+        at, s = index.scores(found)
+        assert s.max() == pytest.approx(1) and index.forms[int(at[s.argmax()])][0] == entity
 
 
 def test_documents(spark):
@@ -53,3 +53,21 @@ def test_documents(spark):
     assert got == [(1, 0, "e6"), (1, 2, M.UNMATCHED), (1, 3, "e6")]
     assert M.map_entities(docs.limit(0), canonical).count() == 0
     assert {r.entity_id for r in M.map_entities(docs, canonical.limit(0)).collect()} == {M.UNMATCHED}
+
+
+def test_a_list_too_long_to_broadcast_gives_the_same_answers(spark, monkeypatch):
+    rnd = random.Random(9)
+    parts = "amber basin cipher ditch ember funnel girder hangar inlet jetty".split()
+    entries = [(f"e{i:03}", f"{rnd.choice(parts)} {rnd.choice(parts)} {rnd.choice(['', 'v' + str(i % 9)])}".strip(), [f"{rnd.choice(parts)} unit {i}", None, f"q{i}"] if i % 3 else None) for i in range(80)] + [(None, "x", None), ("gap", None, None)]
+    values = [x for _, x, _ in entries if x] + [f"The {x.upper()}!" for _, x, _ in entries if x] + ["q7", "q8", "", "!!", "ambr basn", "nothing like it", "hangar unit 31", "inlet  jety"]
+    v = spark.createDataFrame([(x,) for x in dict.fromkeys(values)], "value string")
+    c = spark.createDataFrame(entries, "entity_id string, label string, aliases array<string>")
+    near = {tuple(r) for r in M.map_values(v, c).collect()}
+    monkeypatch.setattr(M, "MAX_LIST", 10)
+    assert {tuple(r) for r in M.map_values(v, c).collect()} == near and len({e for _, e in near}) > 20
+    assert {tuple(r) for r in M.map_values(v.limit(3), c.limit(0).union(c.filter("entity_id = 'gap'"))).collect()} == {(x, M.UNMATCHED) for x in list(dict.fromkeys(values))[:3]}
+
+
+def test_many_names_of_one_entry_hide_no_other(spark):
+    index = M.Index([("a", "amber girder hall", [f"amber girder hall {x}" for x in "qwertyuiop"]), ("b", "amber girder hale", None)])
+    assert index.find("amber girder hall") == "a" and index.find("amber girder hale") == "b"
