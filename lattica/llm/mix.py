@@ -3,7 +3,7 @@
 The size of a mix is fixed beforehand (the tokens of all documents), so each source has a budget of its own: its share of that size.
 Whole repeats of a source come first; the rest of the budget is filled by the documents whose hash lies below a threshold. The
 threshold comes from histograms of tokens by source and hash bucket: the bucket in which the running sum passes the budget is the
-boundary, and only boundary buckets are split further, until one holds a single document. Nothing is sorted, and
+boundary, and only the rows of boundary buckets are kept and split further, until one holds a single document. Nothing is sorted, and
 thresholds are nested: of two mixes the smaller budget of a source takes a subset of the greater one's documents.
 
 Only the histograms' boundaries, one a mix and source, reach the driver. Rows in mix_targets are few by contract (MAX_TARGETS).
@@ -57,12 +57,15 @@ def thresholds(docs: DataFrame, wanted: list[dict]) -> None:
     spark = docs.sparkSession
     for w in wanted:
         w |= {"below": 0, "left": w["rest"], "open": w["rest"] > 0}
-    shift = BITS
+    shift, pool = BITS, docs
     while shift and any(w["open"] for w in wanted):
         shift -= STEP
         # the open boundary buckets, by the hash bits above them
         edge = spark.createDataFrame(sorted({(w["source"], w["below"] >> (shift + STEP)) for w in wanted if w["open"]}), "source string, high long")
-        near = docs.withColumn("high", F.shiftright("h", shift + STEP) if shift + STEP < BITS else F.lit(0).cast("long")).join(F.broadcast(edge), ["source", "high"])
+        near = pool.withColumn("high", F.shiftright("h", shift + STEP) if shift + STEP < BITS else F.lit(0).cast("long")).join(F.broadcast(edge), ["source", "high"])
+        if shift + STEP < BITS:  # a thousandth of the documents or so
+            near = cut(near, "edge")
+            pool = near.drop("high")
         hist = near.groupBy("source", "high", F.shiftright("h", shift).alias("bucket")).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"))
         run = F.sum("tokens").over(Window.partitionBy("source", "high").orderBy("bucket"))
         hist = hist.withColumn("to", run)

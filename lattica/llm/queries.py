@@ -14,10 +14,39 @@ QUERIES = {
     "p5_found": small_edits.p5_found,
     "p5_groups": small_edits.p5_groups,
     "p6_ids": tokenize.p6_ids,
+    "p6_decoded": tokenize.p6_decoded,
     "p7_selection": mix.p7_selection,
     "p7_shares": mix.p7_shares,
     "p8_found": subjects.p8_found,
     "p8_composition": subjects.p8_composition,
 }
 
-SQL: dict[str, str] = {}
+
+
+def _fits(level: int) -> str:
+    """Whether the stretches between all boundaries of the level and the coarser ones are short enough. Stops stay with the stretch before them: each is put before a mark to split at."""
+    x = r"regexp_replace(text, '(\n[ \t\r\n]*\n)', chr(1), 'g')"
+    if level > 0:
+        x = rf"regexp_replace({x}, '\n', chr(1), 'g')"
+    if level > 1:
+        x = rf"regexp_replace(regexp_replace({x}, '([.!?])[ \t\r\n]', '\1' || chr(1), 'g'), '([。！？])', '\1' || chr(1), 'g')"
+    if level > 2:
+        x = rf"regexp_replace({x}, '[ \t\r\n]', chr(1), 'g')"
+    return rf"list_max(list_transform(string_split({x}, chr(1)), lambda s: length(regexp_replace(s, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')))) <= room"
+
+
+_TRIM = r"lower(regexp_replace({0}, '^\s+|\s+$', '', 'g'))"
+SQL: dict[str, str] = {
+    "p2_found": "WITH l AS (SELECT " + _TRIM.format("source") + " AS s, min(max_chars) AS m, arg_min(overlap_chars, max_chars) AS o FROM piece_limits GROUP BY 1), "
+    "d AS (SELECT doc_id, text, coalesce(a.m, b.m) AS m, coalesce(a.m, b.m) - coalesce(a.o, b.o) AS room FROM documents LEFT JOIN l a ON a.s = " + _TRIM.format("source") + " AND a.s <> '*' LEFT JOIN l b ON b.s = '*') "
+    "SELECT doc_id, CASE " + " ".join(f"WHEN {_fits(i)} THEN '{x}'" for i, x in enumerate(("paragraph", "line", "sentence", "word"))) + " ELSE 'none' END AS cut_level FROM d WHERE length(text) > m",
+    "p3_found": "WITH v AS (SELECT DISTINCT id, embedding::DOUBLE[128] AS e FROM (SELECT id, embedding FROM nodes WHERE id IS NOT NULL AND len(embedding) = 128) WHERE list_sum(list_transform(embedding, lambda x: x * x)) > 0), "
+    "s AS (SELECT a.id AS x, b.id AS y, array_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.id <> b.id), "
+    "k AS (SELECT x, y, c, row_number() OVER (PARTITION BY x ORDER BY round(c, 9) DESC, y) AS r FROM s WHERE c >= 0.85) "
+    "SELECT DISTINCT least(x, y) AS node_a, greatest(x, y) AS node_b FROM k WHERE r <= 10",
+    "p5_found": "WITH l AS (SELECT id, max(trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g'))) AS s FROM nodes WHERE node_type IN ('claim', 'evidence') AND id IS NOT NULL AND label IS NOT NULL GROUP BY id), "
+    "g AS (SELECT DISTINCT id, substr(s, i, 3) AS g FROM (SELECT id, s, unnest(range(1, length(s) - 1)) AS i FROM l WHERE length(s) >= 20)), n AS (SELECT id, count(*) AS n FROM g GROUP BY id), "
+    "p AS (SELECT a.id AS x, b.id AS y, count(*) AS n FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2) "
+    "SELECT x AS node_a, y AS node_b FROM p JOIN n a ON a.id = x JOIN n b ON b.id = y WHERE p.n / (a.n + b.n - p.n) >= 0.6",
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}

@@ -3,13 +3,15 @@
 A text is split into words by the vocabulary's pattern. The distinct words of a partition become token-position rows; a
 recursive query joins neighbours with the merge table and contracts, in each word, the leftmost pair of least rank until no
 pair merges; in long words its further occurrences that don't overlap go at once. An ordered aggregation over the word positions
-of each text gives its ids. Words once encoded are kept for the rest of the partition.
+of each text gives its ids. Words once encoded are kept for the rest of the partition. Decoding joins ids with the bytes of the vocabulary's tokens and
+aggregates them in order.
 
 The vocabulary file is read on the driver from a path given as a parameter and sent as its merge table, whose size the
 vocabulary fixes (50,000 merges, 1 MB).
 
 Defined results: null and empty texts have an empty list; text that looks like a special token is plain text; each row of a
-repeated doc_id is encoded; extra columns don't matter. Texts of any length are encoded whole.
+repeated doc_id is encoded; extra columns don't matter. Texts of any length are encoded whole. Null and empty lists decode to an empty text, ids that the
+vocabulary doesn't have to nothing, bytes that aren't UTF-8 to U+FFFD.
 """
 
 from __future__ import annotations
@@ -89,6 +91,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.words: dict[str, int] = {}
+        self.sizes = np.zeros(0, np.int64)
         self.con.execute("CREATE OR REPLACE TABLE known(word INTEGER, ids INTEGER[])")
 
     def _learn(self, fresh: list[tuple[int, bytes]]) -> None:
@@ -157,10 +160,13 @@ class Encoder:
     def count(self, texts: list[str | None]) -> np.ndarray:
         """The number of ids of each text."""
         word, counts = self._words(texts)
-        size = np.zeros(len(self.words), np.int64)
-        known = self.con.sql("SELECT word, len(ids) AS n FROM known").to_arrow_table()
-        size[known.column("word").to_numpy()] = known.column("n").to_numpy()
-        upto = np.append(0, np.cumsum(size[word]))
+        if (old := len(self.sizes)) < len(self.words):
+            size = np.zeros(len(self.words), np.int64)
+            size[:old] = self.sizes
+            new = self.con.sql(f"SELECT word, len(ids) AS n FROM known WHERE word >= {old}").to_arrow_table()
+            size[new.column("word").to_numpy()] = new.column("n").to_numpy()
+            self.sizes = size
+        upto = np.append(0, np.cumsum(self.sizes[word]))
         end = np.cumsum(counts)
         return upto[end] - upto[end - counts]
 
@@ -205,5 +211,57 @@ def encode_documents(documents: DataFrame, carry: list[str], counts_only: bool =
     return rows.mapInArrow(run, f"{kept}, " + ("n_tokens long" if counts_only else "ids array<int>"))
 
 
+class Decoder:
+    """Decodes lists of ids; one lives as long as its partition."""
+
+    def __init__(self, byte_ids: np.ndarray, merges: np.ndarray):
+        import duckdb
+
+        found = {int(t): bytes([b]) for b, t in enumerate(byte_ids)}
+        for left, right, out in merges.tolist():
+            found.setdefault(out, found[left] + found[right])
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.con.register("given", pa.table({"tok": pa.array(list(found), pa.int32()), "hex": [b.hex() for b in found.values()]}))
+        self.con.execute("CREATE TABLE tokens AS SELECT * FROM given")
+        self.con.unregister("given")
+
+    def decode(self, ids: pa.Array) -> list[str]:
+        sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        pos = (np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        self.con.register("said", pa.table({"i": row, "pos": pos, "tok": ids.flatten().cast(pa.int32())}))
+        got = self.con.sql("SELECT i, string_agg(hex, '' ORDER BY pos) AS hex FROM said JOIN tokens USING (tok) GROUP BY i").fetchall()
+        self.con.unregister("said")
+        out = [""] * len(ids)
+        for i, h in got:
+            out[i] = bytes.fromhex(h).decode("utf-8", "replace")
+        return out
+
+
+def decode_documents(encoded: DataFrame, carry: list[str], path: str = VOCABULARY) -> DataFrame:
+    """The columns named in carry, with the text of ids array<int>."""
+    sent = encoded.sparkSession.sparkContext.broadcast(vocabulary(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(*sent.value)
+        for b in batches:
+            ids = b.column(len(carry))
+            cum = np.append(0, np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+            a = 0
+            while a < len(ids):
+                z = max(a + 1, int(np.searchsorted(cum, cum[a] + CHUNK, "right")) - 1)
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, z - a) for c in b.columns[:-1]), pa.array(decoder.decode(ids.slice(a, z - a)), pa.string())], [*carry, "text"])
+                a = z
+
+    rows = encoded.select(*carry, "ids")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{kept}, text string")
+
+
 def p6_ids(spark, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def p6_decoded(spark, sf_dir: str) -> DataFrame:
+    """Every text again, from its ids."""
+    return decode_documents(p6_ids(spark, sf_dir), ["doc_id"])

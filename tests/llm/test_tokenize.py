@@ -51,3 +51,18 @@ def test_documents(spark, truth, monkeypatch):
     assert T.encode_documents(docs.limit(0), ["doc_id"]).count() == 0
     counts = T.encode_documents(docs.filter("doc_id = 3"), ["doc_id"], counts_only=True).collect()
     assert [r.n_tokens for r in counts] == [len(truth(TEXTS[3]))]
+
+
+def test_decoding(spark):
+    rows = [(i, x) for i, x in enumerate(TEXTS)]
+    ids = T.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"])
+    assert sorted((r.doc_id, r.text) for r in T.decode_documents(ids, ["doc_id"]).collect()) == [(i, x or "") for i, x in rows]
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [-5, 10**9])], "doc_id long, ids array<int>")
+    assert {r.text for r in T.decode_documents(odd, ["doc_id"]).collect()} == {""}
+
+
+def test_words_of_any_length_across_the_limit(truth):
+    rnd, enc = random.Random(11), T.Encoder(*T.vocabulary())
+    for n in (T.LONG - 1, T.LONG, T.LONG + 1, 2 * T.LONG, 997):
+        texts = ["".join(rnd.choices(a, k=n)) for a in ("abcdefghijklmnopqrstuvwxyz", "ab", "etaoin", "éàüñß", "日本語文字") for _ in range(4)]
+        assert enc.encode(texts).to_pylist() == [truth(x) for x in texts]
