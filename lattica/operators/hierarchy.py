@@ -1,13 +1,14 @@
 """Parent-child links to full hierarchies.
 
-Forests (at most one parent a node) become nested sets: subtree sizes are summed upward, every node
-is given a preorder range below its parent by prefix sums over its siblings, and the ranges answer
-ancestor and descendant questions. Both passes double their stride each round (a node looks 1, 2, 4 ...
-steps up), so a tree of depth d takes about log2(d) rounds, not d. Nodes that no round
-finishes lie on a cycle or hang below one.
+Forests (at most one parent a node) become nested sets: subtree sizes are summed upward, every node is given a preorder range below its parent by
+prefix sums over its siblings, and the ranges answer all else: a node's depth is the number of ranges open at its place, its root the last one to open
+whose range is nobody's child, its descendants the places within its range, its path the ranges around its place. Both passes double their stride (a
+node looks 1, 2, 4 ... steps up), so a tree of depth d takes about log2(d) rounds. Nodes that no round finishes lie on a cycle or hang below one.
 
-Graphs with several parents a node (task needs) use strides of STRIDE hops: reachable roots with the
-fewest steps, and the nodes that an endless walk upward keeps alive.
+Graphs with several parents a node (task needs) are made of trees too: nodes with one parent hang below the first ancestor that has none or several, their head.
+The trees are nested as above; what is left are the heads with several parents, joined by weighted edges (steps up a tree to the next head). On them the
+fewest steps to each root are found, and heads from which an endless walk upward is possible: a group of heads that is known to be apart from the
+others and has at most GROUP edges in one pass within a task, all others in rounds over tables, whose strides double.
 
 No step collects rows; all state between rounds is a table in the shared folder.
 """
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 from lattica.session import cut, discard, table
 
 CYCLE = "cycle"
-#: Siblings are put into blocks of about this many, so that no parent's children meet in one task.
-SIBLINGS = 50_000
+#: Siblings are put into blocks of about this many, so that no parent's children meet in one task; places of a block of the preorder.
+SIBLINGS, PLACES = 50_000, 65_536
 #: Doublings of the hop relation of a graph with several parents; a round then covers 2 ** STRIDE hops.
 STRIDE = 4
+#: Edges between heads that are solved within a task; edges, as a multiple of the first, up to which they are joined with themselves.
+GROUP, GROWTH = 100_000, 8
 
 
 def folded(c: Column | str) -> Column:
@@ -31,111 +34,219 @@ def folded(c: Column | str) -> Column:
     return F.lower(F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"^\s+|\s+$", ""))
 
 
-def forest(links: DataFrame) -> DataFrame:
-    """links: (key string, parent string), key unique and not null, parent null for roots or naming a key.
-
-    Returns one row per key: key, parent, root, depth, size (of its subtree, itself included), pre (its
-    preorder number within its root's tree; siblings follow each other by block and key), path
-    (array of keys from the root down to it). Keys on a cycle, or below one, have root 'cycle', depth -1 and null
-    size, pre and path. An empty table gives an empty table. A parent that names no key counts as none.
-    """
-    known = links.select(F.col("key").alias("parent"), F.lit(True).alias("known"))
-    base = links.select("key", "parent").join(known, "parent", "left").select("key", F.when(F.col("known"), F.col("parent")).alias("parent"))
-    base = cut(base, "forest")
+def _sizes(base: DataFrame) -> DataFrame:
+    """(key, anc, n): n nodes in the subtree of key; anc is null but for nodes on or below a cycle."""
 
-    # Upward: after round k, n counts the descendants fewer than 2**k steps below, and anc is 2**k steps above.
-    # A finished node has no anc; the number of unfinished ones shrinks until only cycles are left.
-    state = cut(base.select("key", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("n")), "up")
-    left = state.filter(F.col("anc").isNotNull()).count()
-    while left:
+    def lift(state: DataFrame) -> DataFrame:
+        # n counts the descendants fewer than 2**k steps below, anc is 2**k steps above; a finished node has no anc
         busy, done = state.filter(F.col("anc").isNotNull()), state.filter(F.col("anc").isNull())
         below = busy.groupBy(F.col("anc").alias("key")).agg(F.sum("n").alias("more"))
         above = state.select(F.col("key").alias("anc"), F.col("anc").alias("next"))
         new = busy.join(above, "anc").select("key", F.col("next").alias("anc"), "n").unionByName(done)
-        new = new.join(below, "key", "left").select("key", "anc", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
-        new = cut(new, "up")
+        return new.join(below, "key", "left").select("key", "anc", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+
+    state = base.select("key", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("n"))
+    left = state.filter(F.col("anc").isNotNull()).count()
+    while left:
+        new = cut(lift(lift(state)), "up")
         discard(state)
         state, before = new, left
         left = state.filter(F.col("anc").isNotNull()).count()
-        if left == before:
+        if left == before:  # only cycles are left
             break
-    looped = state.filter(F.col("anc").isNotNull()).select("key", F.lit(True).alias("looped"))
-    sized = cut(base.join(state.select("key", "n"), "key").join(looped, "key", "left"), "sized")
-    discard(state)
-
-    # Sibling offsets: prefix sums within a block of siblings, plus those of the blocks before it.
-    tree = sized.filter(F.col("looped").isNull())
-    kids = tree.filter(F.col("parent").isNotNull())
-    fan = kids.groupBy("parent").agg(F.ceil(F.count("*") / SIBLINGS).alias("blocks"))
-    kids = kids.join(fan, "parent").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    blocks = kids.groupBy("parent", "block").agg(F.sum("n").alias("bn"))
-    w = Window.partitionBy("parent").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("parent", "block", F.coalesce(F.sum("bn").over(w), F.lit(0)).alias("skip"))
-    w = Window.partitionBy("parent", "block").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    return state
+
+
+def _offsets(tree: DataFrame) -> DataFrame:
+    """tree: (key, parent, n). (key, anc, pre): pre is the place below the parent's, or in all for roots; prefix sums within a block of siblings, plus those of the blocks before."""
+    kids = tree.select("key", F.col("parent").alias("anc"), "n", F.coalesce("parent", F.lit("")).alias("p"), F.col("parent").isNull().alias("top"))
+    fan = kids.groupBy("p", "top").agg(F.ceil(F.count("*") / SIBLINGS).alias("blocks"))
+    kids = kids.join(fan, ["p", "top"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    blocks = kids.groupBy("p", "top", "block").agg(F.sum("n").alias("bn"))
+    w = Window.partitionBy("p", "top").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("p", "top", "block", F.coalesce(F.sum("bn").over(w), F.lit(0)).alias("skip"))
+    w = Window.partitionBy("p", "top", "block").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     kids = kids.withColumn("off", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    kids = kids.join(blocks, ["parent", "block"]).select("key", (F.col("off") + F.col("skip") + 1).alias("off"))
+    return kids.join(blocks, ["p", "top", "block"]).select("key", "anc", (F.col("off") + F.col("skip") + F.when(F.col("top"), 0).otherwise(1)).alias("pre"))
 
-    # Downward: offsets and ids summed over strides that double, until every stride has ended at a root.
-    place = tree.join(kids, "key", "left").select("key", F.col("parent").alias("anc"), F.coalesce("off", F.lit(0)).cast("long").alias("pre"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.array("key").alias("path"))
-    place = cut(place, "down")
+
+def _places(tree: DataFrame) -> DataFrame:
+    """(key, pre): places in the preorder of all trees, offsets summed over strides that double until each has ended at a root."""
+    place = cut(_offsets(tree), "down")
     while not place.filter(F.col("anc").isNotNull()).isEmpty():
-        busy, done = place.filter(F.col("anc").isNotNull()), place.filter(F.col("anc").isNull())
-        above = place.select(F.col("key").alias("anc"), F.col("anc").alias("next"), F.col("pre").alias("pre2"), F.col("depth").alias("depth2"), F.col("path").alias("path2"))
-        new = busy.join(above, "anc").select("key", F.col("next").alias("anc"), (F.col("pre") + F.col("pre2")).alias("pre"), (F.col("depth") + F.col("depth2")).alias("depth"), F.concat("path2", "path").alias("path"))
-        new = new.unionByName(done)
+        new = place
+        for _ in range(2):
+            busy, done = new.filter(F.col("anc").isNotNull()), new.filter(F.col("anc").isNull())
+            above = new.select(F.col("key").alias("anc"), F.col("anc").alias("next"), F.col("pre").alias("more"))
+            new = busy.join(above, "anc").select("key", F.col("next").alias("anc"), (F.col("pre") + F.col("more")).alias("pre")).unionByName(done)
         new = cut(new, "down")
         discard(place)
         place = new
-    return sized.join(place.drop("anc"), "key", "left").select(
-        "key", "parent", F.when(F.col("looped"), F.lit(CYCLE)).otherwise(F.col("path")[0]).alias("root"), F.when(F.col("looped"), F.lit(-1)).otherwise(F.col("depth")).cast("long").alias("depth"),
-        F.when(F.col("looped").isNull(), F.col("n")).alias("size"), "pre", "path",
-    )
+    return place.select("key", "pre")
+
+
+def _swept(ranges: DataFrame) -> DataFrame:
+    """ranges: (key, parent, n, pre). Adds depth and top, the place of the root: a sweep over the places in blocks, where a range adds one at its start and takes it off past its end. What
+    a block begins with comes from the sums of the blocks before, one row a block."""
+    starts = ranges.select(F.col("pre").alias("q"), F.lit(1).cast("long").alias("d"), F.when(F.col("parent").isNull(), F.col("pre")).alias("t"), "key", "parent", "n")
+    ends = ranges.groupBy((F.col("pre") + F.col("n")).alias("q")).agg((-F.count("*")).alias("d"))
+    rows = starts.unionByName(ends, allowMissingColumns=True).withColumn("b", F.floor(F.col("q") / PLACES))
+    by, upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("b").orderBy("q").rangeBetween(Window.unboundedPreceding, 0)
+    blocks = rows.groupBy("b").agg(F.sum("d").alias("bd"), F.max("t").alias("bt")).select("b", F.coalesce(F.sum("bd").over(by), F.lit(0)).alias("d0"), F.max("bt").over(by).alias("t0"))
+    rows = rows.withColumn("run", F.sum("d").over(upto)).withColumn("last", F.max("t").over(upto)).filter(F.col("key").isNotNull())
+    return rows.join(blocks, "b").select("key", "parent", "n", F.col("q").alias("pre"), (F.col("run") + F.col("d0") - 1).alias("depth"), F.coalesce("last", "t0").alias("top"))
+
+
+def forest(links: DataFrame) -> DataFrame:
+    """links: (key string, parent string), key unique and not null, parent null for roots or naming a key.
+
+    Returns one row per key: key, parent, root, depth, size (of its subtree, itself included), pre (its
+    preorder number within its root's tree; siblings follow each other by block and key). Keys on a cycle, or below one, have root 'cycle', depth -1 and null
+    size and pre. An empty table gives an empty table. A parent that names no key counts as none.
+    """
+    known = links.select(F.col("key").alias("parent"), F.lit(True).alias("known"))
+    base = links.select("key", "parent").join(known, "parent", "left").select("key", F.when(F.col("known"), F.col("parent")).alias("parent"))
+    base = cut(base, "forest")
+    sizes = _sizes(base)
+    sized = cut(base.join(sizes, "key").select("key", "parent", "n", F.col("anc").isNotNull().alias("looped")), "sized")
+    discard(sizes)
+    tree = sized.filter(~F.col("looped"))
+    swept = cut(_swept(tree.join(_places(tree), "key")), "swept")
+    names = swept.filter(F.col("parent").isNull()).select(F.col("pre").alias("top"), F.col("key").alias("root"))
+    done = swept.join(names, "top").select("key", "parent", "root", "depth", F.col("n").alias("size"), (F.col("pre") - F.col("top")).alias("pre"))
+    null = F.lit(None).cast("long")
+    looped = sized.filter("looped").select("key", "parent", F.lit(CYCLE).alias("root"), F.lit(-1).cast("long").alias("depth"), null.alias("size"), null.alias("pre"))
+    return done.unionByName(looped)
 
 
 def descendants(nested: DataFrame, of: DataFrame) -> DataFrame:
     """of: (key). Rows (key, descendant, steps) from the nested-set ranges: same root, pre within the key's range.
-    The range is looked up through blocks of the preorder, so a large tree isn't compared pairwise."""
-    width = 1024
-    top = nested.join(of.select("key").distinct(), "key").filter(F.col("size") > 1).select("root", F.col("key").alias("k"), (F.col("pre") + 1).alias("lo"), (F.col("pre") + F.col("size") - 1).alias("hi"), F.col("depth").alias("d0"))
-    top = top.withColumn("b", F.explode(F.sequence((F.col("lo") / width).cast("long"), (F.col("hi") / width).cast("long"))))
-    low = nested.filter(F.col("pre").isNotNull()).select("root", F.col("key").alias("descendant"), "pre", "depth", (F.col("pre") / width).cast("long").alias("b"))
-    hit = top.join(low, ["root", "b"]).filter(F.col("pre").between(F.col("lo"), F.col("hi")))
+    A range is looked up in blocks of its own order of size, a power of four, so that it is compared with few places outside it; the longest are looked up in several blocks."""
+    most = 8
+    level = F.least(F.lit(most), F.ceil(F.log2(F.col("size").cast("double")) / 2).cast("int"))
+    top = nested.join(of.select("key").distinct(), "key").filter(F.col("size") > 1).select("root", F.col("key").alias("k"), (F.col("pre") + 1).alias("lo"), (F.col("pre") + F.col("size") - 1).alias("hi"), F.col("depth").alias("d0"), level.alias("z"))
+    block = lambda c, z: F.floor(F.col(c) / F.pow(F.lit(4.0), z)).cast("long")
+    top = top.withColumn("b", F.explode(F.sequence(block("lo", F.col("z")), block("hi", F.col("z")))))
+    low = nested.filter(F.col("pre").isNotNull()).select("root", F.col("key").alias("descendant"), "pre", "depth", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("z")).withColumn("b", block("pre", F.col("z")))
+    hit = top.join(low, ["root", "z", "b"]).filter(F.col("pre").between(F.col("lo"), F.col("hi")))
     return hit.select(F.col("k").alias("key"), "descendant", (F.col("depth") - F.col("d0")).alias("steps"))
 
 
-def reached_roots(keys: DataFrame, needs: DataFrame) -> DataFrame:
-    """keys: (key) unique; needs: (key, parent) distinct pairs, parents among the keys, several a key.
+def paths(nested: DataFrame) -> DataFrame:
+    """(key, path): the keys from the root down to the key, whose ranges hold its place; null for keys on or below a cycle. A path is as long as the key is deep."""
+    above = descendants(nested, nested).select(F.col("descendant").alias("key"), F.struct((-F.col("steps")).alias("at"), F.col("key").alias("k")).alias("a"))
+    above = above.groupBy("key").agg(F.transform(F.array_sort(F.collect_list("a")), lambda a: a["k"]).alias("up"))
+    full = F.concat(F.coalesce("up", F.array().cast("array<string>")), F.array("key"))
+    return nested.join(above, "key", "left").select("key", F.when(F.col("depth") >= 0, full).alias("path"))
+
+
+def several(needs: DataFrame) -> DataFrame:
+    """(key, n, parent) of needs: how many parents a key has, and the least of them."""
+    return needs.groupBy("key").agg(F.count("*").alias("n"), F.min("parent").alias("parent"))
+
+
+def head_links(keys: DataFrame, parents: DataFrame) -> DataFrame:
+    """(key, parent) of the forest below the heads: keys with none or several parents are its roots."""
+    return keys.select("key").join(parents, "key", "left").select("key", F.when(F.col("n") == 1, F.col("parent")).alias("parent"))
+
+
+def _solve(edges: list[tuple[str, str, int]], inner: set[str]) -> list[tuple[str, str, int]]:
+    """(key, head, w) edges of one group; inner are the heads with several parents. (key, root, fewest steps) rows, and (key, 'cycle', -1) for heads that can reach a cycle."""
+    up: dict[str, list[tuple[str, int]]] = {}
+    down: dict[str, list[str]] = {}
+    for key, head, w in edges:
+        up.setdefault(key, []).append((head, w))
+        if head in inner:
+            down.setdefault(head, []).append(key)
+    open_ = {key: sum(h in inner or h == CYCLE for h, _ in ups) for key, ups in up.items()}
+    ready, best = [key for key, n in open_.items() if not n], {}
+    for key in ready:  # grows as heads above are done
+        got: dict[str, int] = {}
+        for head, w in up[key]:
+            for root, d in best[head].items() if head in inner else ((head, 0),):
+                got[root] = min(got.get(root, w + d), w + d)
+        best[key] = got
+        for below in down.get(key, ()):
+            open_[below] -= 1
+            if not open_[below]:
+                ready.append(below)
+    rows = [(key, root, d) for key, got in best.items() for root, d in got.items()]
+    return rows + [(key, CYCLE, -1) for key in up if key not in best]
+
+
+def _solved(edges: DataFrame) -> DataFrame:
+    """edges: (g, key, head, w, inner) of groups that fit a task. Rows of _solve, a group at a time."""
+
+    def run(batch):
+        rows = _solve(list(zip(batch["key"], batch["head"], batch["w"].tolist())), set(batch["head"][batch["inner"]]))
+        return type(batch)(rows, columns=["key", "root", "depth"])
+
+    return edges.groupBy("g").applyInPandas(run, "key string, root string, depth long")
+
+
+def _relaxed(edges: DataFrame, heads: DataFrame) -> DataFrame:
+    """The same for edges (key, head, w) of any number, in rounds over all of them: fewest steps are relaxed until nothing changes, and of the heads
+    those stay alive that have an edge to one alive or to a cycle. Strides double each round while the edges don't grow beyond GROWTH times."""
+    other = heads.select(F.col("key").alias("head"))
+    best = edges.filter(F.col("head") != CYCLE).join(other, "head", "left_anti").select("key", F.col("head").alias("root"), F.col("w").alias("depth"))
+    inner = edges.join(other, "head", "left_semi")
+    alive, walk = heads, edges.select("key", "head").join(other.union(other.sparkSession.createDataFrame([(CYCLE,)], "head string")), "head", "left_semi")
+    state, was, size, most = None, None, 0, GROWTH * edges.count()
+    while True:
+        for _ in range(3):
+            far = inner.join(best.select(F.col("key").alias("head"), "root", "depth"), "head").select("key", "root", (F.col("w") + F.col("depth")).alias("depth"))
+            best = best.unionByName(far).groupBy("key", "root").agg(F.min("depth").alias("depth"))
+            alive = walk.join(alive.select(F.col("key").alias("head")), "head", "left_semi").unionByName(walk.filter(F.col("head") == CYCLE)).select("key").distinct()
+        new = cut(best.unionByName(alive.select("key", F.lit(CYCLE).alias("root"), F.lit(-1).cast("long").alias("depth"))), "round")
+        if state is not None:
+            discard(state)
+        state = new
+        best, alive = state.filter(F.col("depth") >= 0), state.filter(F.col("depth") < 0).select("key")
+        now = state.agg(F.count("*"), F.sum("depth"), F.count_if(F.col("depth") < 0)).first()
+        if now == was:
+            break
+        was = now
+        if size <= most:
+            # edges of up to twice as many steps, walks of exactly twice as many; a walk stays on a cycle once there
+            step = inner.select(F.col("key").alias("head"), F.col("head").alias("to"), F.col("w").alias("w2"))
+            longer = inner.join(step, "head").select("key", F.col("to").alias("head"), (F.col("w") + F.col("w2")).alias("w"))
+            inner = cut(inner.unionByName(longer).groupBy("key", "head").agg(F.min("w").alias("w")), "inner")
+            twice = walk.join(walk.select(F.col("key").alias("head"), F.col("head").alias("to")), "head").select("key", F.col("to").alias("head"))
+            walk = cut(twice.unionByName(walk.filter(F.col("head") == CYCLE)).distinct(), "walk")
+            size = inner.count()
+    return best.join(alive, "key", "left_anti").unionByName(state.filter(F.col("depth") < 0))
+
+
+def reached_from(trees: DataFrame, parents: DataFrame, needs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """reached_roots, given parents (of several) and trees (key, root, depth: the forest of head_links)."""
+    heads = parents.filter("n > 1").select("key")
+    at = trees.select(F.col("key").alias("parent"), F.col("root").alias("head"), (F.col("depth") + 1).alias("w"))
+    edges = needs.join(heads, "key", "left_semi").join(at, "parent").groupBy("key", "head").agg(F.min("w").alias("w"))
+    edges = edges.join(groups.select("key", "g"), "key", "left") if groups is not None else edges.withColumn("g", F.lit(""))
+    edges = cut(edges.join(heads.select(F.col("key").alias("head"), F.lit(True).alias("inner")), "head", "left").select("g", "key", "head", "w", F.coalesce("inner", F.lit(False)).alias("inner")), "edges")
+    large = edges.groupBy("g").count().filter(F.col("count") > GROUP).select("g")
+    solved = _solved(edges.join(large, "g", "left_anti"))
+    if not large.isEmpty():
+        rest = cut(edges.join(large, "g", "left_semi").select("key", "head", "w"), "rest")
+        solved = solved.unionByName(_relaxed(rest, rest.select("key").distinct()))
+    solved = cut(solved, "solved")
+    up = solved.select(F.col("key").alias("head"), F.col("root").alias("far"), F.col("depth").alias("more"))
+    own = trees.filter(F.col("root") != CYCLE).select("key", F.col("root").alias("head"), "depth").join(up, "head", "left")
+    far, depth = F.coalesce("far", "head"), F.when(F.col("more") < 0, -1).otherwise(F.col("depth") + F.coalesce("more", F.lit(0)))
+    return own.select("key", far.alias("root"), depth.cast("long").alias("depth")).unionByName(trees.filter(F.col("root") == CYCLE).select("key", "root", "depth"))
+
+
+def reached_roots(keys: DataFrame, needs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """keys: (key) unique; needs: (key, parent) distinct pairs, parents among the keys, several a key; groups: (key, g), where the graph is known to fall
+    into groups without needs between them.
 
     Rows (key, root, depth): for each root that key reaches, the fewest steps to it; a key without
     parents is its own root at depth 0. Keys on a cycle or able to reach one: a single row 'cycle', -1.
     """
     needs = cut(needs.select("key", "parent").distinct(), "needs")
-    # hops: fewest steps up to 2**STRIDE; walk: pairs exactly 2**STRIDE steps apart.
-    hops, walk = needs.withColumn("d", F.lit(1).cast("long")), needs
-    for _ in range(STRIDE):
-        far = hops.join(hops.select(F.col("key").alias("parent"), F.col("parent").alias("top"), F.col("d").alias("d2")), "parent")
-        far = far.select("key", F.col("top").alias("parent"), (F.col("d") + F.col("d2")).alias("d"))
-        hops = cut(hops.unionByName(far).groupBy("key", "parent").agg(F.min("d").alias("d")), "hops")
-        walk = cut(walk.join(walk.select(F.col("key").alias("parent"), F.col("parent").alias("top")), "parent").select("key", F.col("top").alias("parent")).distinct(), "walk")
-    alive = walk.select("key").distinct()
-    before, n = -1, alive.count()
-    while n not in (before, 0):
-        before = n
-        alive = cut(walk.join(alive.select(F.col("key").alias("parent")), "parent", "left_semi").select("key").distinct(), "alive")
-        n = alive.count()
-    looped = alive
-    free = keys.join(looped, "key", "left_anti").select("key")
-    roots = free.join(needs.select("key").distinct(), "key", "left_anti")
-    seen = front = cut(roots.select("key", F.col("key").alias("root"), F.lit(0).cast("long").alias("depth")), "front")
-    up = hops.join(looped, "key", "left_anti")
-    while True:
-        step = up.join(front.select(F.col("key").alias("parent"), "root", "depth"), "parent")
-        step = step.groupBy("key", "root").agg(F.min(F.col("d") + F.col("depth")).alias("depth"))
-        front = cut(step.join(seen.select("key", "root"), ["key", "root"], "left_anti"), "front")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen.unionByName(looped.select("key", F.lit(CYCLE).alias("root"), F.lit(-1).cast("long").alias("depth")))
+    parents = cut(several(needs), "parents")
+    trees = cut(forest(head_links(keys, parents)).select("key", "root", "depth"), "trees")
+    return reached_from(trees, parents, needs, groups)
 
 
 def shortest_paths(found: DataFrame, needs: DataFrame) -> DataFrame:
@@ -192,12 +303,12 @@ def task_key(plan: str, name: Column) -> Column:
 
 
 def task_needs(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(keys with node_id, needs pairs) of tasks. A repeated task's needs are those of the row loaded last (a tie goes to the
+    """(keys with node_id and plan, needs pairs) of tasks. A repeated task's needs are those of the row loaded last (a tie goes to the
     higher attempt); null and empty elements and names of no task of the plan don't count."""
     rows = tasks.filter(F.col("plan").isNotNull() & F.col("task_name").isNotNull()).groupBy(task_key("plan", F.col("task_name")).alias("key")).agg(
         F.max(F.struct("loaded_at", "attempt", F.coalesce("needs", F.array().cast("array<string>")).alias("needs"), "plan", "task_name")).alias("r"))
     rows = cut(rows, "tasks")
-    keys = rows.select("key", F.concat("r.plan", F.lit("/"), "r.task_name").alias("node_id"))
+    keys = rows.select("key", F.concat("r.plan", F.lit("/"), "r.task_name").alias("node_id"), F.col("r.plan").alias("plan"))
     named = rows.select("key", F.col("r.plan").alias("plan"), F.explode("r.needs").alias("need")).filter(F.col("need").isNotNull())
     needs = named.select("key", task_key("plan", F.col("need")).alias("parent")).distinct()
     return keys, needs.join(keys.select(F.col("key").alias("parent")), "parent", "left_semi")
@@ -211,18 +322,27 @@ def _named(found: DataFrame, keys: DataFrame, hierarchy: str) -> DataFrame:
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
-    """hierarchy, node_id, root_id, depth of every decision and task."""
+    """hierarchy, node_id, root_id, depth of every decision and task. Both forests, of decisions and of tasks below their heads, are nested together."""
     links = cut(decision_links(table(spark, sf_dir, "decision_log")), "links")
     keys, needs = task_needs(table(spark, sf_dir, "tasks"))
-    decisions = _named(forest(links).select("key", "root", "depth"), links, "decision")
-    return decisions.unionByName(_named(reached_roots(keys, needs), keys, "task"))
+    needs = cut(needs, "needs")
+    parents = cut(several(needs), "parents")
+    mark = lambda df, m: df.select(F.concat(F.lit(m), "key").alias("key"), F.concat(F.lit(m), "parent").alias("parent"))
+    both = cut(forest(mark(links, "d").unionByName(mark(head_links(keys, parents), "t"))).select("key", "root", "depth"), "both")
+
+    def part(m: str) -> DataFrame:
+        own = both.filter(F.col("key").startswith(m))
+        return own.select(F.expr("substring(key, 2)").alias("key"), F.when(F.col("depth") < 0, F.lit(CYCLE)).otherwise(F.expr("substring(root, 2)")).alias("root"), "depth")
+
+    return _named(part("d"), links, "decision").unionByName(_named(reached_from(part("t"), parents, needs, keys.select("key", F.col("plan").alias("g"))), keys, "task"))
 
 
 def p4_nested(spark, sf_dir: str) -> DataFrame:
     """Every decision with its full path and its nested-set range: descendants are the rows of the same root whose pre
     lies in [pre + 1, pre + size - 1]."""
     links = cut(decision_links(table(spark, sf_dir, "decision_log")), "links")
-    out = forest(links).join(links.select("key", "node_id"), "key")
+    nested = cut(forest(links), "nested")
+    out = nested.join(links.select("key", "node_id"), "key").join(paths(nested), "key")
     return out.select("node_id", "root", "depth", F.array_join("path", " > ").alias("path"), (F.col("size") - 1).alias("n_descendants"))
 
 
@@ -237,7 +357,7 @@ def p4_task_paths(spark, sf_dir: str) -> DataFrame:
     """(node_id, root, depth, path) of every task and root it reaches: the keys of one path with the fewest steps, from the root down."""
     keys, needs = task_needs(table(spark, sf_dir, "tasks"))
     needs = cut(needs, "needs")
-    out = shortest_paths(cut(reached_roots(keys, needs), "roots"), needs).join(keys.select("key", "node_id"), "key")
+    out = shortest_paths(cut(reached_roots(keys, needs, keys.select("key", F.col("plan").alias("g"))), "roots"), needs).join(keys.select("key", "node_id"), "key")
     return out.select("node_id", "root", "depth", F.array_join("path", " > ").alias("path"))
 
 

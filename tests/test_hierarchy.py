@@ -23,8 +23,10 @@ def test_forest_against_brute_force(spark, seed):
     par = {f"k{i}": (None if rnd.random() < 0.1 else f"k{max(0, i - rnd.randint(1, 4))}" if rnd.random() < 0.9 else f"k{rnd.randrange(n + 5)}") for i in range(n)}
     par["self"] = "self"
     got = {r.key: r for r in H.forest(spark.createDataFrame(list(par.items()), "key string, parent string")).collect()}
+    nested = spark.createDataFrame(list(got.values()), "key string, parent string, root string, depth long, size long, pre long")
+    path = {r.key: r.path for r in H.paths(nested).collect()}
     want = brute_forest(par)
-    assert {k: (r.root, r.depth, r.path) for k, r in got.items()} == want
+    assert {k: (r.root, r.depth, path[k]) for k, r in got.items()} == want
     good = {k: w[2] for k, w in want.items() if w[1] >= 0}
     for k, r in got.items():
         if k in good:
@@ -35,11 +37,29 @@ def test_forest_against_brute_force(spark, seed):
     for r in got.values():
         spans.setdefault(r.root, []).append(r.pre)
     assert all(sorted(v) == list(range(len(v))) for k, v in spans.items() if k != "cycle")
-    nested = spark.createDataFrame(list(got.values()), "key string, parent string, root string, depth long, size long, pre long, path array<string>")
     desc = {(r.key, r.descendant, r.steps) for r in H.descendants(nested, nested).collect()}
     assert desc == {(a, x, len(p) - 1 - p.index(a)) for x, p in good.items() for a in p[:-1]}
 
 
+def test_sweep_over_blocks_of_places(spark, monkeypatch):
+    monkeypatch.setattr(H, "PLACES", 4)
+    par = {f"k{i:02}": None if i % 13 == 0 else f"k{i - 1 - i % 3 * (i % 13 > 3):02}" for i in range(60)}
+    got = {r.key: (r.root, r.depth) for r in H.forest(spark.createDataFrame(list(par.items()), "key string, parent string")).collect()}
+    assert got == {k: w[:2] for k, w in brute_forest(par).items()}
+
+
+@pytest.mark.parametrize("group", [1, 1000])
+def test_deep_ladders_and_cycles_between_heads(spark, monkeypatch, group):
+    monkeypatch.setattr(H, "GROUP", group)
+    monkeypatch.setattr(H, "GROWTH", 10)
+    needs = {f"t{i:03}": {f"t{i - 1:03}", f"t{max(0, i - 2):03}"} if i else set() for i in range(60)}
+    needs |= {"a": {"b", "t005"}, "b": {"a", "t001"}, "c": {"a", "t002"}, "d": {"c"}, "e": {"d", "t003"}}
+    keys = spark.createDataFrame([(k,) for k in needs], "key string")
+    pairs = spark.createDataFrame([(k, p) for k, v in needs.items() for p in v], "key string, parent string")
+    want = {(f"t{i:03}", "t000", (i + 1) // 2) for i in range(60)} | {(x, "cycle", -1) for x in "abcde"}
+    assert {tuple(r) for r in H.reached_roots(keys, pairs).collect()} == want
+
+
 def test_sibling_blocks(spark, monkeypatch):
     monkeypatch.setattr(H, "SIBLINGS", 3)
     rows = [("r", None)] + [(f"c{i}", "r") for i in range(20)]
@@ -52,7 +72,8 @@ def test_forest_empty(spark):
 
 
 @pytest.mark.parametrize("seed", [3, 4])
-def test_reached_roots(spark, seed):
+def test_reached_roots(spark, seed, monkeypatch):
+    monkeypatch.setattr(H, "GROUP", 1 if seed == 3 else 1000)
     rnd = random.Random(seed)
     n = 50
     needs = {f"t{i}": {f"t{rnd.randrange(max(0, i - 3), i)}" for _ in range(rnd.choice([0, 1, 1, 1, 2]))} if i else set() for i in range(n)}
