@@ -37,7 +37,8 @@ from lattica.session import cut, table
 #: CLOSE: cosine down to which hashing finds neighbours where the caller names no floor.
 DIM, K, LEAST, CLOSE = 128, 10, 0.85, 0.85
 #: Bits a probed bucket may differ in; bits of the code the radius is measured on; chance to miss a pair at the floor; deviations the radius allows.
-PROBE, CODE, MISS, DEVIATIONS = 2, 128, 0.02, 4
+PROBE, CODE, MISS, DEVIATIONS = 2, 256, 0.02, 4
+WORDS = tuple(f"w{i}" for i in range(CODE // 64))
 #: Rows a task holds of one table; rows a vector may probe in a table; of these within the radius.
 ROWS, MOST, NEAR = 1_000_000, 16_384, 256
 #: Rows the rotations and centres are learned on, at most about; rounds of learning.
@@ -49,8 +50,7 @@ CELL_ROWS, CELLS, SCANNED, UNIT, STRIP = 8_192, 64, 1 / 16, 16_384, 1_024
 class Plan(NamedTuple):
     bits: int
     tables: int
-    radius: int
-    half: int
+    radii: tuple[int, ...]
     prefix: int
     cells: int
     probes: int
@@ -59,7 +59,7 @@ class Plan(NamedTuple):
 
 
 def plan(n: int, floor: float) -> Plan:
-    """Bits of a substring, number of tables, radius over the code and over its first 64 bits, prefix bits, cells and cells scanned, for n distinct vectors."""
+    """Bits of a substring, number of tables, radius over the first word of the code, the first two and so on, prefix bits, cells and cells scanned, for n distinct vectors."""
     p = math.acos(min(1.0, max(0.0, floor))) / math.pi
     bits = min(40, max(8, round(math.log2(max(n, 2)))))
     met = sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(PROBE + 1))
@@ -67,7 +67,7 @@ def plan(n: int, floor: float) -> Plan:
     reach = lambda b: math.ceil(b * p + DEVIATIONS * math.sqrt(b * p * (1 - p)))
     prefix = max(0, math.ceil(math.log2(max(1, n) / ROWS)))
     cells = min(CELLS, max(1, n // CELL_ROWS))
-    return Plan(bits, tables, reach(CODE), reach(64), prefix, cells, min(cells, max(2, math.ceil(cells * SCANNED))), MOST, NEAR)
+    return Plan(bits, tables, tuple(reach(64 * (i + 1)) for i in range(len(WORDS))), prefix, cells, min(cells, max(2, math.ceil(cells * SCANNED))), MOST, NEAR)
 
 
 def learn(x: np.ndarray, bits: int, dim: int = DIM, seed: int = 0) -> np.ndarray:
@@ -121,7 +121,7 @@ def _ints(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
 
 
 def codes(nodes: DataFrame, how: Plan, n: int, dim: int = DIM) -> DataFrame:
-    """id, v, t (one substring a table), w0, w1 (the code the radius is measured on), cells (nearest first)."""
+    """id, v, t (one substring a table), WORDS (the code the radius is measured on), cells (nearest first)."""
     spark = nodes.sparkSession
     share = F.pmod(F.xxhash64("id", F.lit("itq")), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 20)) + 1
     sample = usable(nodes, dim).filter(share).select("embedding").toArrow().column(0).combine_chunks()
@@ -136,13 +136,13 @@ def codes(nodes: DataFrame, how: Plan, n: int, dim: int = DIM) -> DataFrame:
             at, u = unit(b.column("embedding"), dim)
             sign = (u @ proj >= 0).astype(np.uint64)
             subs = np.stack([sign[:, i * how.bits : (i + 1) * how.bits] @ power[: how.bits] for i in range(how.tables)], 1)
-            words = [sign[:, i : i + 64] @ power for i in (0, 64)]
+            words = [sign[:, i : i + 64] @ power for i in range(0, CODE, 64)]
             top = np.argsort(-(u @ middle.T), 1, kind="stable")[:, : how.probes]
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * z.shape[1], pa.int32()), pa.array(z.ravel().astype(np.int64))) for z in (subs, top)]
             take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("v").take(take), lists[0], *(pa.array(w.view(np.int64)) for w in words), lists[1]], ["id", "v", "t", "w0", "w1", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("v").take(take), lists[0], *(pa.array(w.view(np.int64)) for w in words), lists[1]], ["id", "v", "t", *WORDS, "cells"])
 
-    return usable(nodes, dim).mapInArrow(run, "id string, v long, t array<long>, w0 long, w1 long, cells array<long>")
+    return usable(nodes, dim).mapInArrow(run, "id string, v long, t array<long>, " + "".join(f"{w} long, " for w in WORDS) + "cells array<long>")
 
 
 def masks(bits: int, most: int = PROBE) -> list[int]:
@@ -150,7 +150,7 @@ def masks(bits: int, most: int = PROBE) -> list[int]:
     return [sum(1 << i for i in c) for k in range(most + 1) for c in combinations(range(bits), k)]
 
 
-def probed(key: np.ndarray, w0: np.ndarray, w1: np.ndarray, own: np.ndarray, reach: np.ndarray, how: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def probed(key: np.ndarray, words: list[np.ndarray], own: np.ndarray, reach: np.ndarray, how: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of one table and prefix; own rows are indexed, rows sent from other prefixes (reach < PROBE bits left) only probe. (i, j, hot): pairs of row
     numbers within the radius, j always an own row; numbers of own or sent rows that are left to the scan."""
     local = max(1, how.bits - how.prefix)
@@ -190,11 +190,13 @@ def probed(key: np.ndarray, w0: np.ndarray, w1: np.ndarray, own: np.ndarray, rea
             once = (low[i] & top) == 0 if d else i < j
             ok = np.flatnonzero((once | ~both) & (i != j))
             i, j = i[ok], j[ok]
-            ok = np.flatnonzero(np.bitwise_count(w0[i] ^ w0[j]) <= how.half)
-            i, j = i[ok], j[ok]
-            ok = np.bitwise_count(w0[i] ^ w0[j]).astype(np.int64) + np.bitwise_count(w1[i] ^ w1[j]) <= how.radius
-            out_i.append(i[ok])
-            out_j.append(j[ok])
+            far = np.zeros(len(i), np.int64)
+            for word, radius in zip(words, how.radii):
+                far = far + np.bitwise_count(word[i] ^ word[j])
+                ok = np.flatnonzero(far <= radius)
+                i, j, far = i[ok], j[ok], far[ok]
+            out_i.append(i)
+            out_j.append(j)
     none = np.zeros(0, np.int64)
     i, j = np.concatenate(out_i or [none]), np.concatenate(out_j or [none])
     hot |= np.bincount(np.concatenate([i, j]), minlength=len(key)) > how.near
@@ -203,25 +205,25 @@ def probed(key: np.ndarray, w0: np.ndarray, w1: np.ndarray, own: np.ndarray, rea
 
 
 def probes(reps: DataFrame, how: Plan) -> DataFrame:
-    """reps: (v, t, w0, w1). Rows (a, b): a pair within the radius, a < b; or (a, null): a is left to the scan."""
+    """reps: (v, t, WORDS). Rows (a, b): a pair within the radius, a < b; or (a, null): a is left to the scan."""
     local = max(1, how.bits - how.prefix)
-    rows = reps.select("v", "w0", "w1", F.posexplode("t").alias("table", "key"))
+    rows = reps.select("v", *WORDS, F.posexplode("t").alias("table", "key"))
     if how.prefix:
         near = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(PROBE - m.bit_count()).alias("reach")) for m in masks(how.prefix)))
         rows = rows.withColumn("n", F.explode(near)).withColumn("reach", F.col("n.reach")).withColumn("part", F.shiftright("key", local).cast("int").bitwiseXOR(F.col("n.m")))
     else:
         rows = rows.withColumn("reach", F.lit(PROBE)).withColumn("part", F.lit(0))
-    rows = rows.select((F.col("table") * (1 << how.prefix) + F.col("part")).cast("int").alias("part"), F.col("reach").cast("long").alias("reach"), "v", "key", "w0", "w1")
+    rows = rows.select((F.col("table") * (1 << how.prefix) + F.col("part")).cast("int").alias("part"), F.col("reach").cast("long").alias("reach"), "v", "key", *WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if not held:
             return
-        part, reach, v, key, w0, w1 = (np.concatenate(c) for c in zip(*held))
+        part, reach, v, key, *words = (np.concatenate(c) for c in zip(*held))
         for p in np.unique(part):
             at = np.flatnonzero(part == p)
             ids = v[at]
-            i, j, hot = probed(key[at], w0[at].view(np.uint64), w1[at].view(np.uint64), reach[at] == PROBE, reach[at], how)
+            i, j, hot = probed(key[at], [w[at].view(np.uint64) for w in words], reach[at] == PROBE, reach[at], how)
             pairs = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
             if len(pairs):
                 yield _ints([pairs[:, 0], pairs[:, 1]], ["a", "b"])
@@ -294,7 +296,7 @@ def nearest(nodes: DataFrame, k: int = K, least: float | None = LEAST, dim: int
     n, floor = nodes.count(), CLOSE if least is None else least
     how = plan(n, floor)
     coded = cut(codes(nodes, how, n, dim), "codes")
-    reps = coded.groupBy("v").agg(*(F.first(c).alias(c) for c in ("t", "w0", "w1", "cells")))
+    reps = coded.groupBy("v").agg(*(F.first(c).alias(c) for c in ("t", *WORDS, "cells")))
     met = cut(probes(reps, how), "met")
     vectors = usable(nodes, dim).select("v", "embedding")
 

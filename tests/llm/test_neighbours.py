@@ -64,10 +64,10 @@ def test_every_vector_gets_its_list_where_no_floor_is_given(spark):
 
 def test_probing_meets_every_code_within_the_radius():
     rng = np.random.default_rng(6)
-    n, how = 3000, N.plan(3000, 0.85)._replace(bits=12, radius=128, half=64, most=1 << 40, near=1 << 40)
+    n, how = 3000, N.plan(3000, 0.85)._replace(bits=12, radii=(64,), most=1 << 40, near=1 << 40)
     key = rng.integers(0, 1 << 12, n)
     w, none = np.zeros(n, np.uint64), np.full(n, N.PROBE)
-    i, j, hot = N.probed(key, w, w, np.ones(n, bool), none, how)
+    i, j, hot = N.probed(key, [w], np.ones(n, bool), none, how)
     far = np.bitwise_count((key[:, None] ^ key[None]).astype(np.uint64))
     a, b = np.nonzero(np.triu(far <= N.PROBE, 1))
     assert not len(hot) and set(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist())) == set(zip(a.tolist(), b.tolist())) and len(i) == len(a)
