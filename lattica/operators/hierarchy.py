@@ -175,13 +175,24 @@ def _solve(edges: list[tuple[str, str, int]], inner: set[str]) -> list[tuple[str
 
 
 def _solved(edges: DataFrame) -> DataFrame:
-    """edges: (g, key, head, w, inner) of groups that fit a task. Rows of _solve, a group at a time."""
-
-    def run(batch):
-        rows = _solve(list(zip(batch["key"], batch["head"], batch["w"].tolist())), set(batch["head"][batch["inner"]]))
-        return type(batch)(rows, columns=["key", "root", "depth"])
-
-    return edges.groupBy("g").applyInPandas(run, "key string, root string, depth long")
+    """edges: (g, key, head, w, inner) of groups that fit a task. Rows of _solve; the groups of a batch are solved together, the last one with the next batch."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            held = batch if held is None else held._append(batch, ignore_index=True)
+            last = held["g"].iloc[-1] if len(held) else None
+            whole = held["g"] != last
+            yield rows(held[whole])
+            held = held[~whole]
+        if held is not None:
+            yield rows(held)
+
+    def rows(part):
+        return type(part)(_solve(list(zip(part["key"], part["head"], part["w"].tolist())), set(part["head"][part["inner"]])), columns=["key", "root", "depth"])
+
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return edges.withColumn("g", F.coalesce("g", F.lit(""))).repartition(n, "g").sortWithinPartitions("g").mapInPandas(run, "key string, root string, depth long")
 
 
 def _relaxed(edges: DataFrame, heads: DataFrame) -> DataFrame:
