@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica import oracle as O
@@ -33,11 +33,28 @@ def edge_id(src, edge_type, dst):
     return T.slug(F.concat_ws("|", src, edge_type, dst))
 
 
+def merged_attrs(old: Column | str, new: Column | str) -> Column:
+    """JSON objects merged key by key, the new value first; values keep their kind, nested ones too. What is no object counts as empty."""
+    as_map = lambda c: F.coalesce(F.from_json(c, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
+    return F.to_json(F.map_concat(F.map_filter(as_map(old), lambda k, _: ~F.array_contains(F.map_keys(as_map(new)), k)), as_map(new)))
+
+
+def once_each(new: DataFrame) -> DataFrame:
+    """The batch with one row an id. Its rows count in the order of build, date, attrs and rationale: the first rationale, date and source there are, the earliest build, and of
+    each key of attrs the last value."""
+    order = F.struct(*(F.coalesce(F.col(c).cast("string" if c != "build" else "long"), F.lit("") if c != "build" else F.lit(0)).alias(c) for c in ("build", "retrieved_at", "attrs", "rationale")))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
+    rows = new.groupBy("id").agg(F.min("node_type").alias("node_type"), F.min("label").alias("label"), first("rationale"), first("retrieved_at"), first("source_id"), F.min("build").alias("build"), F.count_distinct("node_type", "label").alias("k"))
+    keys = new.select("id", order.alias("o"), F.explode(F.from_json("attrs", "map<string,variant>")).alias("key", "value")).groupBy("id", "key").agg(F.max_by(F.to_json("value"), "o").alias("value"))
+    pair = F.concat(F.to_json(F.struct("key")).substr(F.lit(8), F.length(F.to_json(F.struct("key"))) - 8), F.lit(":"), "value")
+    attrs = keys.groupBy("id").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(pair)), ","), F.lit("}")).alias("attrs"))
+    return rows.join(attrs, "id", "left").withColumn("attrs", F.coalesce("attrs", F.lit("{}")))
+
+
 def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
     """new: (id, node_type, label, attrs, rationale, retrieved_at, source_id, build). A known id keeps its label and order, fills what it lacks and takes the new
     keys of attrs; an id that comes with another type or label is refused, not merged."""
-    once = new.groupBy("id").agg(*(F.first(c).alias(c) for c in ("node_type", "label", "attrs", "rationale", "retrieved_at", "source_id", "build")), F.count_distinct("node_type", "label").alias("k"))
-    once = cut(once, "new")
+    once = cut(once_each(new), "new")
     _none(once.filter("k > 1").select("id"), "an id stands for two things")
     met = nodes.select("id", F.col("node_type").alias("t0"), F.col("label").alias("l0"))
     _none(once.join(met, "id").filter("node_type != t0 or label != l0").select("id"), "the id belongs to another node")
@@ -45,25 +62,31 @@ def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
     fresh = typed.dense_index(once.join(met, "id", "left_anti"), "id").withColumn("ord", F.col("idx") + F.lit(top + 1))
     fresh = fresh.select("id", "ord", "node_type", "label", "attrs", "rationale", "retrieved_at", "source_id", "build", F.lit(0).cast("long").alias("walks"), F.lit(False).alias("pruned"), F.lit(False).alias("invalidated"), F.lit(True).alias("live"))
     add = once.select("id", F.col("attrs").alias("a1"), F.col("rationale").alias("r1"), F.col("source_id").alias("s1"))
-    as_map = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    merged = F.to_json(F.map_concat(F.map_filter(as_map("attrs"), lambda k, _: ~F.array_contains(F.map_keys(as_map("a1")), k)), as_map("a1")))
-    kept = nodes.join(add, "id", "left").withColumn("attrs", F.when(F.col("a1").isNull(), F.col("attrs")).otherwise(merged))
+    kept = nodes.join(add, "id", "left").withColumn("attrs", F.when(F.col("a1").isNull(), F.col("attrs")).otherwise(merged_attrs("attrs", "a1")))
     kept = kept.withColumn("rationale", F.coalesce("rationale", "r1")).withColumn("source_id", F.coalesce("source_id", "s1"))
     return kept.select(*fresh.columns).unionByName(fresh)
 
 
 def upsert_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame, build: int) -> DataFrame:
-    """new: (src, edge_type, dst, weight) observations. Illegal, dangling and self edges are refused; a known relationship gains the weight."""
-    seen = cut(new.groupBy("src", "edge_type", "dst").agg(F.sum("weight").alias("w")), "new")
-    ends = typed.with_ends(seen, nodes)
+    """new: (src, edge_type, dst, weight and, where there is any, evidence_ids) observations. Illegal, dangling and self edges are refused, and an edge whose id already names another
+    relationship; a known relationship gains the weight and the evidence it didn't have."""
+    ids = F.array().cast("array<string>")
+    new = new if "evidence_ids" in new.columns else new.withColumn("evidence_ids", ids)
+    seen = cut(new.groupBy("src", "edge_type", "dst").agg(F.sum("weight").alias("w"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("evidence_ids", ids))))).alias("ev")), "new")
+    ends = typed.with_ends(seen.drop("ev"), nodes)
     _none(ends.filter("src = dst").select("src", "edge_type"), "an edge to itself")
     _none(ends.filter(F.col("st").isNull() | F.col("dt").isNull() | ~typed.legal("edge_type", "st", "dt")).select("src", "edge_type", "dst"), "not a legal edge")
     top = edges.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("top")).first().top
-    key = ["src", "edge_type", "dst"]
-    kept = edges.join(seen, key, "left").withColumn("weight", F.col("weight") + F.coalesce("w", F.lit(0.0))).select(*edges.columns)
+    key, have = ["src", "edge_type", "dst"], "evidence_ids" in edges.columns
+    kept = edges.join(seen, key, "left").withColumn("weight", F.col("weight") + F.coalesce("w", F.lit(0.0)))
+    if have:
+        kept = kept.withColumn("evidence_ids", F.when(F.col("ev").isNull(), F.col("evidence_ids")).otherwise(F.array_union(F.coalesce("evidence_ids", ids), "ev")))
     fresh = typed.dense_index(seen.join(edges.select(*key), key, "left_anti"), *key).select(
-        edge_id("src", "edge_type", "dst").alias("id"), (F.col("idx") + F.lit(top + 1)).alias("ord"), *key, F.lit(None).cast("string").alias("assumption_id"), F.col("w").alias("weight"), F.lit(build).cast("long").alias("build"), F.lit(0).cast("long").alias("traversals"), F.lit(True).alias("live"))
-    return kept.unionByName(fresh.select(*edges.columns))
+        edge_id("src", "edge_type", "dst").alias("id"), (F.col("idx") + F.lit(top + 1)).alias("ord"), *key, F.lit(None).cast("string").alias("assumption_id"), F.col("w").alias("weight"), F.lit(build).cast("long").alias("build"), F.lit(0).cast("long").alias("traversals"), F.lit(True).alias("live"), F.col("ev").alias("evidence_ids"))
+    _none(fresh.join(edges.select("id"), "id", "left_semi").select("id"), "the edge id names another relationship")
+    for c in set(edges.columns) - set(fresh.columns):
+        fresh = fresh.withColumn(c, F.lit(None).cast(edges.schema[c].dataType))
+    return kept.select(*edges.columns).unionByName(fresh.select(*edges.columns))
 
 
 def assume(assumptions: DataFrame, statement: str, build: int, by: str = "planner") -> tuple[DataFrame, str]:

@@ -52,7 +52,7 @@ def settle(start: DataFrame, steps: DataFrame, budget: int = BUDGET, most: int =
     base = cut(base.withColumn("bound", F.lit(float("inf"))), "base")
     order, whole = Window.partitionBy("walk_id").orderBy("label"), Window.partitionBy("walk_id")
     state = base
-    for _ in range(budget + 4):
+    for _ in range(4 * budget):
         # a step that costs more than the last label kept can't bring a better one
         go = state.filter(F.size("label.path") <= budget).join(steps, "node").filter(F.col("label.cost") + F.col("cost") <= F.col("bound"))
         far = go.filter(~F.array_contains("label.path", F.col("nxt"))).select("walk_id", F.col("nxt").alias("node"), F.struct(
@@ -68,6 +68,8 @@ def settle(start: DataFrame, steps: DataFrame, budget: int = BUDGET, most: int =
         state = new
         if same:
             break
+    else:
+        raise RuntimeError(f"labels still change after {4 * budget} rounds")
     out = state.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
     return out.select("walk_id", "node", "rank", F.col("label.cost").alias("cost"), (F.size("label.path") - 1).alias("hops"), F.col("label.path").alias("path"), F.col("label.types").alias("types"))
 

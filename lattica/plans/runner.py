@@ -90,7 +90,7 @@ class Runner:
     def record(self, event: str, task: str, detail: str = "") -> None:
         last = self.ledger[-1]["digest"] if self.ledger else GENESIS
         seq = len(self.ledger) + 1
-        self.ledger.append({"chain": "run", "seq": seq, "event": event, "task": task, "detail": detail, "digest": digest(last, seq, event, task, detail)})
+        self.ledger.append({"chain": "run", "seq": seq, "event": event, "task": task, "detail": detail, "digest": digest(last, seq, None, event, task, detail, None, None, None)})
 
     def head(self) -> str:
         return self.ledger[-1]["digest"] if self.ledger else GENESIS

@@ -32,15 +32,25 @@ def run_once(spark, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def accept(spark, stream: DataFrame, store: str) -> None:
-    """Evidence intake: each micro-batch adds the payloads that the store doesn't have; replays of a batch add nothing."""
+    """Evidence intake: each micro-batch adds the payloads that the store doesn't have; replays of a batch add nothing. A store that is there but can't be read
+    fails the stream. The store is kept in folders by the first two digits of the digest, of which a batch reads those it needs."""
 
     def batch(new: DataFrame, _: int) -> None:
+        rows = submissions(new).persist()
         try:
-            known = spark.read.parquet(store).select(F.substring("evidence_id", 10, 64).alias("digest"))
-        except Exception:  # no store yet
             known = None
-        intake(submissions(new), known).write.mode("append").parquet(store)
+            if exists(spark, store + "/_SUCCESS"):
+                folds = [r.fold for r in rows.select(F.substring("digest", 1, 2).alias("fold")).distinct().collect()]
+                known = spark.read.parquet(store).filter(F.col("fold").isin(folds)).select(F.substring("evidence_id", 10, 64).alias("digest"))
+            intake(rows, known).withColumn("fold", F.substring("evidence_id", 10, 2)).write.mode("append").partitionBy("fold").parquet(store)
+        finally:
+            rows.unpersist()
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", store + "-state").trigger(availableNow=True).start().awaitTermination()
 

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +25,24 @@ def test_upserts(spark):
             M.upsert_edges(e, obs(bad), n, 2)
 
 
+def test_attrs_keep_nested_values_and_rows_of_one_id_merge(spark):
+    n, _ = scenario(spark)
+    schema = "id string, node_type string, label string, attrs string, rationale string, retrieved_at string, source_id string, build long"
+    rows = [("c1", "claim", "c1", '{"aliases": ["x", "y"], "n": 3, "o": {"p": 1.5}}', None, None, "s1", 2), ("c1", "claim", "c1", '{"n": 4, "q\\"": null}', "why", None, None, 3), ("c1", "claim", "c1", "no json", "later", None, None, 4)]
+    for order in (rows, rows[::-1]):
+        got = {r.id: r for r in M.upsert_nodes(n, spark.createDataFrame(order, schema)).collect()}["c1"]
+        attrs = json.loads(got.attrs)
+        assert attrs["aliases"] == ["x", "y"] and attrs["n"] == 4 and attrs["o"] == {"p": 1.5} and attrs['q"'] is None and got.rationale == "why" and got.source_id == "s1"
+
+
+def test_evidence_of_a_relationship_is_united(spark):
+    n, e = scenario(spark)
+    e = e.withColumn("evidence_ids", F.array(F.lit("ev1")))
+    obs = spark.createDataFrame([("c2", "mentions", "x", 1.0, ["ev2", "ev1"]), ("c2", "mentions", "x", 1.0, None), ("c1", "mentions", "x", 1.0, ["b", "a", "a"])], "src string, edge_type string, dst string, weight double, evidence_ids array<string>")
+    out = {(r.src, r.dst): r.evidence_ids for r in M.upsert_edges(e, obs, n, 2).filter("edge_type = 'mentions'").collect()}
+    assert out[("c2", "x")] == ["ev1", "ev2"] and out[("c1", "x")] == ["a", "b"]
+
+
 def test_assumption_life(spark):
     n, e = scenario(spark)
     ev = n.filter("id = 'c1'").withColumn("id", F.lit("ev")).withColumn("node_type", F.lit("evidence")).withColumn("ord", F.lit(50).cast("long"))

@@ -15,20 +15,37 @@ def chain(spark, n=6):
 
 def test_ledger_chain_and_tampering(spark):
     rows = [tuple(r) for r in chain(spark).collect()]
-    schema = "chain string, seq long, event string, task string, detail string, digest string"
+    schema = "chain string, seq long, round long, event string, task string, detail string, node_id string, assumption_id string, data string, digest string"
     broken = lambda r: {(x.chain, x.seq, x.why) for x in L.verify(spark.createDataFrame(r, schema)).collect()}
     last = L.GENESIS
     for r in sorted(r for r in rows if r[0] == "x"):
-        last = L.digest(last, *r[1:5])
-        assert r[5] == last
+        last = L.digest(last, *r[1:9])
+        assert r[9] == last
     assert broken(rows) == set()
-    edited = [r if (r[0], r[1]) != ("x", 3) else (*r[:4], "changed", r[5]) for r in rows]
+    edited = [r if (r[0], r[1]) != ("x", 3) else (*r[:5], "changed", *r[6:]) for r in rows]
     assert broken(edited) == {("x", 3, "digest")}
     assert broken([r for r in rows if (r[0], r[1]) != ("y", 4)]) == {("y", 5, "gap")}
     assert {w for _, _, w in broken([r for r in rows if r[1] != 1])} == {"starts late"}
     assert ("x", 2, "repeated") in broken([*rows, next(r for r in rows if r[:2] == ("x", 2))])
 
 
+def test_ledger_bytes_are_unambiguous_and_cover_all_fields(spark):
+    assert L.digest("p", "a|b", "c") != L.digest("p", "a", "b|c") and L.digest("p", None) != L.digest("p", "") and L.digest("p", "1:a;") != L.digest("p", "a", "")
+    one = spark.createDataFrame([("x", 1, "executed", "t", "d", "n", "a", "{}", 1)], "chain string, seq long, event string, task string, detail string, node_id string, assumption_id string, data string, round long")
+    sealed = L.chained(one)
+    assert L.verify(sealed).count() == 0
+    for field, value in (("node_id", "m"), ("assumption_id", None), ("data", "[]"), ("round", 2), ("detail", "e")):
+        assert [r.why for r in L.verify(sealed.withColumn(field, L.F.lit(value).cast(sealed.schema[field].dataType))).collect()] == ["digest"]
+
+
+def test_a_pinned_head_tells_a_cut_tail(spark):
+    rows = chain(spark)
+    head = L.heads(rows)
+    assert L.verify(rows, head).count() == 0 and L.verify(rows.filter("seq < 6")).count() == 0
+    assert {tuple(r) for r in L.verify(rows.filter("seq < 6 or chain = 'y'"), head).collect()} == {("x", 5, "head")}
+    assert {tuple(r) for r in L.verify(rows.filter("chain = 'y'"), head).collect()} == {("x", 0, "head")}
+
+
 def test_runner_scenario():
     reg, outside = Registry(), set()
     reg.add("worker", "work", lambda c: {"attempt": c.attempt, "inputs": sorted(c.inputs)})
@@ -51,7 +68,7 @@ def test_runner_scenario():
     assert third.executed == ["hashing", "routes", "docs"] and set(third.cached) == {"base", "tokens"}
     last = L.GENESIS
     for e in r.ledger:
-        last = L.digest(last, e["seq"], e["event"], e["task"], e["detail"])
+        last = L.digest(last, *(e.get(f) for f in L.FIELDS))
         assert e["digest"] == last
     for bad in ([Task("a", ("b",))], [Task("a", ("b",)), Task("b", ("a",))], [Task("a"), Task("a")]):
         with pytest.raises(PlanError):
