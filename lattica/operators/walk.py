@@ -47,11 +47,13 @@ def seeds(questions: DataFrame, nodes: DataFrame, reg: Registry) -> tuple[DataFr
 
 
 def settle(start: DataFrame, steps: DataFrame, budget: int = BUDGET, most: int = MAX_EXPAND) -> DataFrame:
-    """start: (walk_id, node, pos). (walk_id, node, rank, cost, hops, path, types): nodes in the order a queue settles them, at most `most`."""
+    """start: (walk_id, node, pos). (walk_id, node, rank, cost, hops, path, types, sides): nodes in the order a queue settles them, at most `most`; sides has 1 where a step of the path goes
+    against its edge. Rounds end when the labels' checksum stays; if it never does the walk fails."""
     base = start.select("walk_id", "node", F.struct(F.lit(0.0).alias("cost"), F.array(F.lit(0.0)).alias("costs"), F.array(F.struct(F.lit(0).alias("side"), F.col("pos").cast("long").alias("ord"))).alias("trail"), F.array("node").alias("path"), F.array().cast("array<string>").alias("types")).alias("label"))
+    mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("walk_id", "node", "label.path"))).first()
     base = cut(base.withColumn("bound", F.lit(float("inf"))), "base")
     order, whole = Window.partitionBy("walk_id").orderBy("label"), Window.partitionBy("walk_id")
-    state = base
+    state, was = base, None
     for _ in range(4 * budget):
         # a step that costs more than the last label kept can't bring a better one
         go = state.filter(F.size("label.path") <= budget).join(steps, "node").filter(F.col("label.cost") + F.col("cost") <= F.col("bound"))
@@ -62,16 +64,16 @@ def settle(start: DataFrame, steps: DataFrame, budget: int = BUDGET, most: int =
         new = new.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 2 * most)
         new = new.withColumn("bound", F.when(F.max("r").over(whole) == 2 * most, F.max("label.cost").over(whole)).otherwise(float("inf"))).drop("r")
         new = cut(new, "state")
-        same = new.join(state.select("walk_id", "node", F.col("label.path").alias("was")), ["walk_id", "node"], "left").filter(~F.col("label.path").eqNullSafe(F.col("was"))).isEmpty()
         if state is not base:
             discard(state)
-        state = new
-        if same:
+        state, now = new, mark(new)
+        if now == was:
             break
+        was = now
     else:
         raise RuntimeError(f"labels still change after {4 * budget} rounds")
     out = state.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
-    return out.select("walk_id", "node", "rank", F.col("label.cost").alias("cost"), (F.size("label.path") - 1).alias("hops"), F.col("label.path").alias("path"), F.col("label.types").alias("types"))
+    return out.select("walk_id", "node", "rank", F.col("label.cost").alias("cost"), (F.size("label.path") - 1).alias("hops"), F.col("label.path").alias("path"), F.col("label.types").alias("types"), F.transform(F.slice("label.trail", F.lit(2), F.size("label.trail")), lambda x: x["side"]).alias("sides"))
 
 
 def relevance(settled: DataFrame, questions: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -84,7 +86,7 @@ def relevance(settled: DataFrame, questions: DataFrame, nodes: DataFrame) -> Dat
     q = questions.select("walk_id", F.array_distinct(T.tokens("question")).alias("qt"))
     lexical = F.when(F.size("qt") > 0, F.size(F.array_intersect("qt", T.tokens("label"))) / F.size("qt")).otherwise(0.0)
     full = cand.join(cos, ["walk_id", "node"], "left").join(q, "walk_id")
-    return full.select("walk_id", "node", "rank", "cost", "hops", "path", "types", (0.45 * F.coalesce("cosine", F.lit(0.0)) + 0.55 * lexical + F.when(F.col("node_type") == "decision", 0.05).otherwise(0.0)).alias("score"))
+    return full.select("walk_id", "node", "rank", "cost", "hops", "path", "types", "sides", (0.45 * F.coalesce("cosine", F.lit(0.0)) + 0.55 * lexical + F.when(F.col("node_type") == "decision", 0.05).otherwise(0.0)).alias("score"))
 
 
 def justify(chosen: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -95,12 +97,13 @@ def justify(chosen: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     prov = e.filter("edge_type in ('derived_from', 'cites') and dlive").select(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit(2).alias("k"), "ord", "edge_type", F.col("dt").alias("to_type"))
     moves = cut(sup.unionByName(dep).unionByName(prov), "moves")
     state = chosen.withColumn("at", F.element_at("path", -1)).withColumn("done", F.lit(False))
-    cols = ["walk_id", "node", "score", "cost", "path", "types", "at", "done"]
+    cols = ["walk_id", "node", "score", "cost", "path", "types", "sides", "at", "done"]
     state = state.select(*cols)
     for _ in range(TAIL):
         nxt = state.filter("not done").join(moves, "at").filter(~F.array_contains("path", F.col("to"))).groupBy("walk_id").agg(F.min(F.struct("k", "ord", "to", "edge_type", "to_type")).alias("m"))
         state = state.join(nxt, "walk_id", "left").select(
             "walk_id", "node", "score", "cost", F.when(F.col("m").isNull(), F.col("path")).otherwise(F.concat("path", F.array("m.to"))).alias("path"), F.when(F.col("m").isNull(), F.col("types")).otherwise(F.concat("types", F.array("m.edge_type"))).alias("types"),
+            F.when(F.col("m").isNull(), F.col("sides")).otherwise(F.concat("sides", F.array((F.col("m.k") == 0).cast("int")))).alias("sides"),
             F.coalesce("m.to", "at").alias("at"), (F.col("m").isNull() | (F.col("m.to_type") == "source")).alias("done"))
         state = cut(state, "tail")
     return state
@@ -112,8 +115,34 @@ def cut_off(settled: DataFrame, steps: DataFrame, edges: DataFrame, nodes: DataF
     return settled.filter(F.col("hops") < budget).join(dead.join(steps, "node", "left_anti"), "node", "left_semi").select("walk_id").distinct()
 
 
+def rendered(paths: DataFrame, nodes: DataFrame, width: int = 74) -> DataFrame:
+    """paths: (walk_id, path, types, sides). (walk_id, rendered): a line a step, each further in than the one before, with the edge and its direction, the node's type and its label, cut to the width."""
+    steps = paths.select("walk_id", F.posexplode("path").alias("i", "id"), F.concat(F.array(F.lit(None).cast("string")), "types").alias("types"), F.concat(F.array(F.lit(0)), "sides").alias("sides"))
+    steps = steps.select("walk_id", "i", "id", F.col("types")[F.col("i")].alias("t"), F.col("sides")[F.col("i")].alias("against")).join(nodes.select("id", "node_type", "label"), "id")
+    arrow = F.when(F.col("t").isNull(), "").when(F.col("against") == 1, F.concat(F.lit("<-["), "t", F.lit("]- "))).otherwise(F.concat(F.lit("-["), "t", F.lit("]-> ")))
+    label = F.coalesce("label", F.lit(""))
+    label = F.when(F.length(label) > width, F.concat(F.substring(label, 1, width - 1), F.lit("…"))).otherwise(label)
+    line = F.concat(F.repeat(F.lit("  "), F.col("i")), arrow, F.lit("("), "node_type", F.lit(") "), label)
+    return steps.groupBy("walk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))), lambda x: x["line"]), "\n").alias("rendered"))
+
+
+def crossings(walks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(edge_id, n): how often the answered walks crossed each edge, both ways counted."""
+    steps = walks.filter("candidate_id is not null").select(F.explode(F.transform(F.sequence(F.lit(0), F.size("types") - 1), lambda i: F.struct(
+        F.when(F.get("sides", i) == 1, F.get("path", i + 1)).otherwise(F.get("path", i)).alias("src"), F.get("types", i).alias("edge_type"), F.when(F.get("sides", i) == 1, F.get("path", i)).otherwise(F.get("path", i + 1)).alias("dst")))).alias("s")).select("s.*")
+    return steps.join(edges.filter("live").select(F.col("id").alias("edge_id"), "src", "edge_type", "dst"), ["src", "edge_type", "dst"]).groupBy("edge_id").agg(F.count("*").alias("n"))
+
+
+def credited(nodes: DataFrame, edges: DataFrame, walks: DataFrame, visits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) after a batch: walks of every node settled go up, failed walks included, and traversals of every edge that an answer's path crossed."""
+    seen, crossed = visits.groupBy(F.col("node").alias("id")).agg(F.count("*").alias("more")), crossings(walks, edges).select(F.col("edge_id").alias("id"), F.col("n").alias("more"))
+    up = lambda df, by, c: df.join(by, "id", "left").withColumn(c, F.coalesce(c, F.lit(0)) + F.coalesce("more", F.lit(0))).select(*df.columns)
+    return up(nodes, seen, "walks"), up(edges, crossed, "traversals")
+
+
 def ask(questions: DataFrame, nodes: DataFrame, edges: DataFrame, canonical: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(walks: walk_id, question, answer_id, candidate_id, score, cost, hops, visited, dead_end, path, types, tokens_walked, tokens_flat; visits: walk_id, node, rank)."""
+    """(walks: walk_id, question, answer_id, candidate_id, score, cost, hops, visited, dead_end, path, types, sides, rendered, tokens_walked, tokens_flat; visits: walk_id, node, rank).
+    A walk that met only nodes which don't answer has the path to the first of them."""
     questions = cut(questions, "questions")
     nodes, edges = cut(nodes, "nodes"), cut(edges, "edges")
     steps = cut(typed.step_costs(edges, nodes), "steps")
@@ -121,20 +150,25 @@ def ask(questions: DataFrame, nodes: DataFrame, edges: DataFrame, canonical: Dat
     settled = cut(settle(start, steps), "settled")
     scored = cut(relevance(settled, questions, nodes), "scored")
     good = scored.filter(F.col("score") >= ANSWER_FLOOR)
-    pick = good.groupBy("walk_id").agg(F.max(F.struct(F.round("score", 2).alias("s"), F.size(F.array_distinct("types")).alias("n"), (-F.col("cost")).alias("c"), (-F.col("rank")).alias("r"), "node", "score", "cost", "path", "types")).alias("m")).select("walk_id", "m.node", "m.score", "m.cost", "m.path", "m.types")
-    full = justify(pick, edges, nodes)
+    pick = good.groupBy("walk_id").agg(F.max(F.struct(F.round("score", 2).alias("s"), F.size(F.array_distinct("types")).alias("n"), (-F.col("cost")).alias("c"), (-F.col("rank")).alias("r"), "node", "score", "cost", "path", "types", "sides")).alias("m")).select("walk_id", "m.node", "m.score", "m.cost", "m.path", "m.types", "m.sides")
+    full = cut(justify(pick, edges, nodes), "full")
     kinds = full.select("walk_id", F.posexplode("path").alias("i", "id")).join(nodes.select("id", "node_type", "label"), "id")
     answer = kinds.groupBy("walk_id").agg(F.max(F.when(F.col("node_type").isin(*ANSWERING), F.struct("i", "id"))).alias("a"), F.sum(T.text_tokens("label")).alias("tokens_walked"))
     visited = settled.groupBy("walk_id").agg(F.count("*").alias("visited"))
     pruned = cut_off(settled, steps, edges, nodes).withColumn("saw_pruned", F.lit(True))
-    miss = scored.join(good.select("walk_id"), "walk_id", "left_anti").select("walk_id").distinct().withColumn("miss", F.lit(True))
-    out = questions.join(visited, "walk_id", "left").join(pruned, "walk_id", "left").join(full.select("walk_id", F.col("node").alias("candidate_id"), "score", "cost", "path", "types"), "walk_id", "left")
+    miss = scored.join(good.select("walk_id"), "walk_id", "left_anti").groupBy("walk_id").agg(F.min_by(F.struct("path", "types", "sides"), "rank").alias("near"))
+    out = questions.join(visited, "walk_id", "left").join(pruned, "walk_id", "left").join(full.select("walk_id", F.col("node").alias("candidate_id"), "score", "cost", "path", "types", "sides"), "walk_id", "left")
     out = out.join(answer, "walk_id", "left").join(failed.withColumnRenamed("dead_end", "early"), "walk_id", "left").join(miss, "walk_id", "left").join(flat_costs(questions, nodes), "walk_id", "left")
-    dead = F.when(F.col("candidate_id").isNotNull(), None).when(F.col("early").isNotNull(), F.col("early")).when(F.coalesce("saw_pruned", F.lit(False)), "pruned_too_early").when(F.coalesce("miss", F.lit(False)), "wrong_node_type").otherwise("no_typed_edge")
+    dead = F.when(F.col("candidate_id").isNotNull(), None).when(F.col("early").isNotNull(), F.col("early")).when(F.coalesce("saw_pruned", F.lit(False)), "pruned_too_early").when(F.col("near").isNotNull(), "wrong_node_type").otherwise("no_typed_edge")
+    out = out.withColumn("dead_end", dead)
+    shown = lambda c: F.when(F.col("candidate_id").isNotNull(), F.col(c)).when(F.col("dead_end") == "wrong_node_type", F.col(f"near.{c}")).alias(c)
+    out = out.select("*", *(shown(c).alias(f"{c}_") for c in ("path", "types", "sides"))).drop("path", "types", "sides").withColumnsRenamed({f"{c}_": c for c in ("path", "types", "sides")})
+    out = cut(out, "out")
+    out = out.join(rendered(out.filter("path is not null"), nodes), "walk_id", "left")
     zero = F.lit(0).cast("long")
     walks = out.select(
-        "walk_id", "question", F.col("a.id").alias("answer_id"), "candidate_id", "score", "cost", (F.size("path") - 1).cast("long").alias("hops"), F.coalesce("visited", zero).alias("visited"), dead.alias("dead_end"),
-        "path", "types", F.coalesce("tokens_walked", zero).alias("tokens_walked"), F.coalesce("tokens_flat", zero).alias("tokens_flat"))
+        "walk_id", "question", F.col("a.id").alias("answer_id"), "candidate_id", "score", "cost", (F.size("path") - 1).cast("long").alias("hops"), F.coalesce("visited", zero).alias("visited"), "dead_end",
+        "path", "types", "sides", "rendered", F.coalesce("tokens_walked", zero).alias("tokens_walked"), F.coalesce("tokens_flat", zero).alias("tokens_flat"))
     return cut(walks, "walks"), settled.select("walk_id", "node", "rank")
 
 
@@ -169,6 +203,16 @@ def walk_visits(spark, d):
     return _walks(spark, d)[1].groupBy("node").agg(F.count("*").alias("n"))
 
 
+def walk_paths(spark, d):
+    """The path of each walk as it is read: answers with what justifies them, near misses up to the node that didn't answer."""
+    return _walks(spark, d)[0].filter("path is not null").select("walk_id", "dead_end", "hops", "rendered")
+
+
+def walk_credit(spark, d):
+    """How often the answers' paths crossed each edge."""
+    return crossings(_walks(spark, d)[0], edge_rows(spark, d))
+
+
 def question_seeds(spark, d):
     s, failed = seeds(cut(entity_questions(spark, d), "q"), node_rows(spark, d), Registry(table(spark, d, "canonical")))
     return s.select("walk_id", F.col("node").alias("seed"), F.lit(None).cast("string").alias("dead_end")).unionByName(failed.select("walk_id", F.lit(None).cast("string").alias("seed"), "dead_end"))
@@ -182,7 +226,7 @@ from lattica import oracle as O  # noqa: E402
 
 _N, _E = O.NODES, O.EDGES
 _LEN = f"(floor(len(list_filter(string_split_regex(label, '{O.WS}+'), lambda w: w <> '')) * 1.3) + 8 + 160)::BIGINT"
-QUERIES = {"question_seeds": question_seeds, "batch_walk": batch_walk, "walk_visits": walk_visits, "flat_cost": flat_cost}
+QUERIES = {"question_seeds": question_seeds, "batch_walk": batch_walk, "walk_visits": walk_visits, "walk_paths": walk_paths, "walk_credit": walk_credit, "flat_cost": flat_cost}
 SQL = {
     "flat_cost": O.with_(_N, f"c AS (SELECT row_number() OVER (ORDER BY ord, id) - 1 AS idx, {_LEN} AS t FROM n WHERE live AND node_type = 'claim')", "k AS (SELECT count(*) AS n FROM c)",
         "q AS (SELECT ord AS walk_id, ('0x' || substring(md5('What is known about ' || label || '?'), 1, 8))::BIGINT AS h FROM canonical)", "w AS (SELECT walk_id, (h % n + unnest(range(least(40, n)))) % n AS idx FROM q, k)")

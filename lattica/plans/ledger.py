@@ -123,8 +123,8 @@ def ledger_counts(spark, d):
     return task_entries(spark, d).groupBy("event").agg(F.count("*").alias("n"))
 
 
-_T = TASKS.replace("SELECT key, plan || '/' || task_name AS node_id, plan, needs, state, assumes", "SELECT key, plan || '/' || task_name AS node_id, plan, needs, state, assumes, ord, task_name, title, attempt, node_id, output_json")
-_ROWS = f"""le AS (SELECT plan AS chain, row_number() OVER (PARTITION BY plan ORDER BY ord, key) AS seq, CASE state {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in BY_STATE.items())} END AS event, task_name AS task, title AS detail, attempt AS round, node_id, assumes AS assumption_id, output_json AS data FROM t)"""
+_T = TASKS.replace("SELECT key, plan || '/' || task_name AS node_id, plan, needs, state, assumes", "SELECT key, plan || '/' || task_name AS node_id, plan, needs, state, assumes, ord, task_name, title, attempt, t0.node_id AS made, output_json")
+_ROWS = f"""le AS (SELECT plan AS chain, row_number() OVER (PARTITION BY plan ORDER BY ord, key) AS seq, CASE state {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in BY_STATE.items())} END AS event, task_name AS task, title AS detail, attempt AS round, made AS node_id, assumes AS assumption_id, output_json AS data FROM t)"""
 _STEP = "sha256({0} || " + " || ".join(f"CASE WHEN le.{f} IS NULL THEN '-;' ELSE strlen(le.{f}::VARCHAR) || ':' || le.{f} || ';' END" for f in FIELDS) + ")"
 _CHAIN = f"ch(chain, seq, digest) AS (SELECT chain, seq, {_STEP.format(chr(39) + GENESIS + chr(39))} FROM le WHERE seq = 1 UNION ALL SELECT le.chain, le.seq, {_STEP.format('ch.digest')} FROM ch JOIN le ON le.chain = ch.chain AND le.seq = ch.seq + 1)"
 QUERIES = {f.__name__: f for f in (task_ledger, ledger_heads, ledger_verify, ledger_counts)}

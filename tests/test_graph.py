@@ -120,6 +120,24 @@ def test_ask(spark):
     assert by[0].candidate_id == "d1" and by[0].dead_end is None and by[0].path[:2] == ["x", "d1"] and by[0].answer_id == "c1"
     assert by[1].dead_end == "entity_unresolved" and visits.filter("walk_id = 1").count() == 0
     assert by[0].tokens_flat == sum(math.floor(len(x.split()) * 1.3) + 8 + 160 for x in ["c1", "c2"])
+    labels = {r.id: (r.node_type, r.label) for r in n.collect()}
+    lines = by[0].rendered.split("\n")
+    assert lines[0] == "(entity) Partitioned Rebuild" and lines[1] == "  <-[produces]- (decision) Partitioned rebuild chosen for shards" and len(lines) == by[0].hops + 1
+    assert lines[2] == "    <-[supports]- (%s) %s" % labels[by[0].path[2]]
+    n2, e2 = walk.credited(n, e, walks, visits)
+    crossed = {r.edge_id: r.n for r in walk.crossings(walks, e).collect()}
+    assert len(crossed) == by[0].hops and {r.id: r.traversals for r in e2.collect()} == {r.id: r.traversals + crossed.get(r.id, 0) for r in e.collect()}
+    seen = {r.node for r in visits.collect()}
+    assert {r.id for r in n2.collect() if r.walks} == {r.id for r in n.collect() if r.walks} | seen
+
+
+def test_near_misses_keep_their_path_and_long_labels_are_cut(spark):
+    n = nodes(spark, [("x", "entity", None, True), ("c", "claim", None, True)]).withColumn("label", F.when(F.col("id") == "c", F.repeat(F.lit("é"), 80)).otherwise(F.col("id")))
+    canonical = spark.createDataFrame([("x", 0, "Xanthic Quarry", None)], "entity_id string, ord long, label string, aliases array<string>")
+    q = spark.createDataFrame([(0, "What about Xanthic Quarry?")], "walk_id long, question string")
+    got = walk.ask(q, n, edges(spark, [("c", "mentions", "x")]), canonical)[0].first()
+    assert got.dead_end == "wrong_node_type" and got.path == ["x", "c"] and got.hops == 1 and got.candidate_id is None
+    assert got.rendered == "(entity) x\n  <-[mentions]- (claim) " + "é" * 73 + "…"
 
 
 def test_resolver_ties_and_aliases(spark):
