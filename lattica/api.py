@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.text import html_safe, iso_date
-from lattica.operators import closure, telemetry, temporal, typed, walk
+from lattica.operators import closure, hindsight, telemetry, temporal, typed, walk
 from lattica.session import cut, table
 from lattica.sources.graph import assumption_rows, edge_rows, node_rows
 
@@ -52,10 +52,12 @@ class Mesh:
     def explain_as_of(self, question: str, day: str) -> dict:
         if not self.spark.range(1).select(iso_date(F.lit(day)).isNotNull()).first()[0]:
             return {"error": f"{day!r} is no date"}
-        n, e, _ = temporal.as_of_graph(self.nodes, self.edges, self.assumptions, day)
         q = self.spark.createDataFrame([(0, question)], "walk_id bigint, question string")
-        walks, _ = walk.ask(q, n.drop("down") if "down" in n.columns else n, e, table(self.spark, self.folder, "canonical"))
-        return _rows(walks, 1)[0]
+        walks, placed = hindsight.explain(q, self.nodes, self.edges, self.assumptions, table(self.spark, self.folder, "canonical"), day)
+        out = {"question": question, "as_of": day, "walk": walks.first().asDict(), "then": [], "decision": [], "later": [], "undated": [], "not_yet_known": []}
+        for r in placed.drop("walk_id").withColumn("day", F.col("day").cast("string")).orderBy("bucket", "node").collect():
+            out[r.bucket].append(r.asDict())
+        return out
 
     def reconstruct_decision(self, decision_id: str, depth: int = 3) -> dict:
         if self.nodes.filter((F.col("id") == decision_id) & (F.col("node_type") == "decision")).isEmpty():

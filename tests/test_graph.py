@@ -221,3 +221,28 @@ def test_whole_export_and_edge_lists(spark, tmp_path, monkeypatch):
     lines = [r.value for r in spark.read.text(f"{tmp_path}/out/nodes").collect()]
     assert len(lines) == 12_000 and "<" not in lines[0] and json.loads(lines[0])["label"] == "<b>"
     assert [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/out/edges").collect()] == [{"src": 11000, "edge_type": "cites", "dst": 3, "weight": 1.24}]
+
+
+def test_explained_as_of_a_date(spark):
+    from lattica.operators import hindsight
+
+    n = nodes(spark, [
+        ("s1", "source", "2026-06-10", True), ("s2", "source", "2026-08-01", True), ("s3", "source", "some day", True), ("d1", "decision", "s1", True), ("c1", "claim", "s1", True), ("a", "assumption", None, True), ("x", "entity", None, True),
+        ("c2", "claim", "s2", True), ("ev", "evidence", "s2", True), ("ev0", "evidence", "s3", True), ("ev1", "evidence", "s1", True), ("b", "assumption", None, True), ("new", "entity", None, True), ("d2", "decision", "s2", True)])
+    n = n.withColumn("label", F.when(F.col("id") == "x", "Partitioned Rebuild").when(F.col("id") == "d1", "Partitioned rebuild chosen for shards").otherwise(F.col("label")))
+    e = edges(spark, [
+        ("d1", "cites", "s1"), ("c1", "supports", "d1"), ("c1", "derived_from", "s1"), ("d1", "produces", "x"), ("d1", "depends_on", "a"), ("d1", "depends_on", "b"), ("c2", "contradicts", "c1"), ("ev", "contradicts", "a"), ("ev0", "supports", "c1"), ("ev1", "contradicts", "b"),
+        ("d2", "supersedes", "d1"), ("d2", "produces", "new")])
+    a = spark.createDataFrame([(i, k, i, "active", 1, None) for k, i in enumerate("ab")], "id string, ord long, statement string, status string, version_no long, superseded_by string")
+    canonical = spark.createDataFrame([("x", 0, "Partitioned Rebuild", None), ("new", 1, "Tenant Mixer", None)], "entity_id string, ord long, label string, aliases array<string>")
+    q = spark.createDataFrame([(0, "What about Partitioned Rebuild and Tenant Mixer for shards?")], "walk_id long, question string")
+    got = {}
+    walks, placed = hindsight.explain(q, n.withColumn("live", F.lit(True)), e, a, canonical, "2026-07-01")
+    for r in placed.collect():
+        got.setdefault(r.bucket, set()).add(r.node)
+    # b was rejected by evidence of then, so the decision that stood on it had fallen and no walk passes it
+    assert got == {"not_yet_known": {"new"}} and walks.first().candidate_id is None
+    got = {}
+    for r in hindsight.explain(q, n, e.filter("src != 'ev1'").unionByName(edges(spark, [("c2", "supports", "d1")]).withColumn("id", F.lit("e99"))), a, canonical, "2026-07-01")[1].collect():
+        got.setdefault(r.bucket, set()).add(r.node)
+    assert got == {"then": {"x", "c1", "s1"}, "decision": {"d1", "a", "b"}, "later": {"c2", "ev", "d2"}, "undated": {"ev0"}, "not_yet_known": {"new"}}
