@@ -41,9 +41,9 @@ _END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n\s*\n|(?<=[.!?:\"”»)])\s
 _STOP = re.compile(r"[.!?](?=\s|$)|[。！？]")
 _CAPITAL = r"(?=[^\W\d_a-zß-öø-ÿ][^\W\d_A-ZÀ-ÖØ-Þ])"
 #: Marks that some texts put between sentences instead of stops, and how many of them there must be to a stop; a comma before a word in capitals is common within sentences.
-_MARKS = tuple((re.compile(p), n) for p, n in (
-    (r"\s*;\s+", 1), (r"\s*\|\s+", 1), (r"\s+/{1,2}\s+", 1), (r"\s+[–—]\s+", 1), (r"\s+[·•]\s+", 1), (r"\s+(?:->|=>|→)\s+", 1), (r"[\r\n]+", 1),
-    (rf",\s+(?:and\s+|und\s+|et\s+|y\s+)?{_CAPITAL}", 1), (r",\s+and\s+(?=[^\x00-\u2fff])", 1), (r",\s+(?=[^\W\d_a-zß-öø-ÿ]{2})", 4)))
+_MARKS = tuple((signs, re.compile(p), n) for signs, p, n in (
+    (";", r"\s*;\s+", 1), ("|", r"\s*\|\s+", 1), ("/", r"\s+/{1,2}\s+", 1), ("–—", r"\s+[–—]\s+", 1), ("·•", r"\s+[·•]\s+", 1), (">→", r"\s+(?:->|=>|→)\s+", 1), ("\r\n", r"[\r\n]+", 1),
+    (",", rf",\s+(?:and\s+|und\s+|et\s+|y\s+)?{_CAPITAL}", 1), (",", r",\s+and\s+(?=[^\x00-\u2fff])", 1), (",", r",\s+(?=[^\W\d_a-zß-öø-ÿ]{2})", 4)))
 _UNSEEN = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
 
 
@@ -68,8 +68,8 @@ def sentences(text: str) -> list[str]:
         text = _UNSEEN.sub("", unicodedata.normalize("NFKC", text))
     stops = len(_STOP.findall(text))
     out = _END.split(text)
-    for mark, least in _MARKS:
-        if len(mark.findall(text)) > least * stops:
+    for signs, mark, least in _MARKS:
+        if sum(map(text.count, signs)) > least * stops and len(mark.findall(text)) > least * stops:
             out = [x for s in out for x in mark.split(s)]
     return [" ".join(s.split()) for s in out]
 
@@ -130,21 +130,35 @@ def rarities(found: DataFrame, size: int) -> list[float]:
     return [math.log(1 + n / (df.get(i, 0) + 1)) for i in range(size)]
 
 
-def shares(hits: list[list[int]], weights: list[float], subjects: list[tuple[str, ...]], floors: dict[str, float] | None = None) -> dict[str, float]:
-    """The share of the subject-bearing sentences about each subject."""
-    scored, floors = [], floors or {}
+def scores(hits: list[list[int]], weights: list[float], subjects: list[tuple[str, ...]]) -> list[dict[str, float]]:
+    """Each sentence's score for its subjects."""
+    out = []
     for sentence in hits:
         score: dict[str, float] = {}
         for i in sentence:
             for s in subjects[i]:
                 score[s] = score.get(s, 0.0) + weights[i] / len(subjects[i])
-        score = {s: x for s, x in score.items() if x >= floors.get(s, 0.0)}
         if score:
-            best = max(score.values())
-            scored.append([s for s, x in score.items() if x >= best * (1 - 1e-9)])
-    sure = Counter(c[0] for c in scored if len(c) == 1)
-    about = Counter(max(c, key=lambda s: (sure[s], -c.index(s))) for c in scored)
-    return {s: n / len(scored) for s, n in about.items()}
+            out.append(score)
+    return out
+
+
+def parts(scored: list[dict[str, float]], floors: dict[str, float] | None = None) -> dict[str, float]:
+    """The share of the subject-bearing sentences about each subject."""
+    best, floors = [], floors or {}
+    for score in scored:
+        if floors:
+            score = {s: x for s, x in score.items() if x >= floors.get(s, 0.0)}
+        if score:
+            top = max(score.values()) * (1 - 1e-9)
+            best.append([s for s, x in score.items() if x >= top])
+    sure = Counter(c[0] for c in best if len(c) == 1)
+    about = Counter(c[0] if len(c) == 1 else max(c, key=lambda s: (sure[s], -c.index(s))) for c in best)
+    return {s: n / len(best) for s, n in about.items()}
+
+
+def shares(hits: list[list[int]], weights: list[float], subjects: list[tuple[str, ...]], floors: dict[str, float] | None = None) -> dict[str, float]:
+    return parts(scores(hits, weights, subjects), floors)
 
 
 def assign(found: DataFrame, weights: list[float], vocab: list[tuple[str, tuple[str, ...]]] | None = None, floors: dict[str, float] | None = None) -> DataFrame:
@@ -172,19 +186,21 @@ def labelled(found: DataFrame, labels: DataFrame) -> list[tuple[list[list[int]],
 
 def calibrate(rows: list[tuple[list[list[int]], Counter]], weights: list[float], vocab: list[tuple[str, tuple[str, ...]]] | None = None, floors: tuple[float, ...] = FLOORS) -> tuple[dict[str, float], dict[str, float]]:
     """rows: of labelled(). Each subject's floor, and its F1 with it. Subjects without a label keep the least floor. All floors are tried one at a
-    time for all subjects together, so each row is scored len(floors) times."""
+    time for all subjects together."""
     subjects = [s for _, s in vocab or vocabulary()]
     names = sorted({s for x in subjects for s in x})
     f1: dict[str, list[tuple[float, float]]] = {s: [] for s in names}
+    rows = [(scores(hits, weights, subjects), want) for hits, want in rows]
     for floor in floors:
         hit, said, true = Counter(), Counter(), Counter()
-        for hits, want in rows:
-            got = {s for s, x in shares(hits, weights, subjects, dict.fromkeys(names, floor)).items() if x >= SHARE}
-            for s in names:
-                g, w = s in got, s.strip().lower() in want
-                hit[s], said[s], true[s] = hit[s] + (g and w), said[s] + g, true[s] + w
+        same = dict.fromkeys(names, floor)
+        for scored, want in rows:
+            got = {s for s, x in parts(scored, same).items() if x >= SHARE}
+            said.update(got)
+            hit.update(s for s in got if s.strip().lower() in want)
+            true.update(want.keys())
         for s in names:
-            both = said[s] + true[s]
+            both = said[s] + true[s.strip().lower()]
             f1[s].append((2 * hit[s] / both if both else 0.0, both / 2))
     best = {}
     for s in names:
