@@ -44,7 +44,7 @@ ROWS, MOST, NEAR = 1_000_000, 16_384, 256
 #: Rows the rotations and centres are learned on, at most about; rounds of learning.
 SAMPLE, ROUNDS = 8_000, 15
 #: Vectors a cell has on average, cells at most, share of the cells that is scanned; queries of a unit, rows compared at once.
-CELL_ROWS, CELLS, SCANNED, UNIT, STRIP = 8_192, 64, 1 / 16, 16_384, 1_024
+CELL_ROWS, CELLS, SCANNED, UNIT, STRIP = 8_192, 64, 1 / 16, 8_192, 1_024
 
 
 class Plan(NamedTuple):
@@ -274,10 +274,11 @@ def scan(rest: DataFrame, reps: DataFrame, vectors: DataFrame, k: int, dim: int
                     go = np.flatnonzero(w.max(1) > cos[:, -1])
                     if not len(go):
                         continue
-                    both, names = np.concatenate([cos[go], w[go]], 1), np.concatenate([ids[go], np.broadcast_to(v[z : min(z + STRIP, j)], (len(go), w.shape[1]))], 1)
+                    both = np.concatenate([cos[go], w[go]], 1)
                     top = np.argpartition(-both, k - 1, 1)[:, :k]
                     top = np.take_along_axis(top, np.argsort(-np.take_along_axis(both, top, 1), 1, kind="stable"), 1)
-                    cos[go], ids[go] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
+                    ids[go] = np.where(top < k, np.take_along_axis(ids[go], np.minimum(top, k - 1), 1), v[z + np.maximum(top - k, 0)])
+                    cos[go] = np.take_along_axis(both, top, 1)
         if now is not None:
             yield done()
 
