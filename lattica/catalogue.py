@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.operators import build, closure, decisions, hierarchy, hindsight, mutations, telemetry, temporal, typed, walk
+from lattica.operators import agreement, build, closure, decisions, hierarchy, hindsight, mutations, telemetry, temporal, typed, walk
 from lattica.plans import evidence, ledger
 from lattica.streaming import intake
 
@@ -14,6 +14,6 @@ QUERIES = {
     "p4_task_descendants": hierarchy.p4_task_descendants,
 }
 SQL: dict[str, str] = {}
-for _m in (typed, closure, temporal, build, walk, hindsight, mutations, decisions, telemetry, ledger, evidence, intake):
+for _m in (typed, closure, temporal, build, walk, hindsight, mutations, decisions, telemetry, ledger, agreement, evidence, intake):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL

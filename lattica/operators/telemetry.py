@@ -62,6 +62,30 @@ def last_walks(spark, d):
     return _log(spark, d).orderBy(F.desc("walk_id")).limit(60).select("walk_id", "tokens_walked", "visited")
 
 
+def last_grid(spark, d):
+    """A cell for each of the 1,008 latest walks: 1 resolved, 0 a dead end."""
+    return _log(spark, d).orderBy(F.desc("walk_id")).limit(1008).select("walk_id", F.col("dead_end").isNull().cast("int").alias("cell"))
+
+
+def last_visits(spark, d):
+    """Nodes visited by each of the 40 latest walks."""
+    return _log(spark, d).orderBy(F.desc("walk_id")).limit(40).select("walk_id", "visited")
+
+
+def walk_examples(spark, d):
+    """The first four answered walks and the first four dead ends: two ordered limits."""
+    log = _log(spark, d)
+    return log.filter("dead_end is null").orderBy("walk_id").limit(4).unionByName(log.filter("dead_end is not null").orderBy("walk_id").limit(4)).select("walk_id", "dead_end", "hops", "visited", "tokens_walked", "tokens_flat")
+
+
+def flat_costs_seen(spark, d):
+    """What flat retrieval would have cost: the peak, the typical walk and all of them; and what the walks did."""
+    log = _log(spark, d)
+    total = log.agg(F.max("tokens_flat").alias("flat_peak"), F.sum("tokens_flat").alias("flat_total"), F.sum("tokens_walked").alias("walk_total"))
+    typical = lambda c, rows: upper_median(rows, c).select(F.col("median").alias(f"{c}_typical"))
+    return total.crossJoin(F.broadcast(typical("tokens_flat", log))).crossJoin(F.broadcast(typical("tokens_walked", log.filter("dead_end is null"))))
+
+
 def visit_counts(spark, d):
     return node_rows(spark, d).groupBy("node_type").agg(F.sum("walks").alias("walks"), F.max("walks").alias("most"))
 
@@ -71,9 +95,12 @@ def traversal_ledger(spark, d):
 
 
 def proxy_rates(spark, d):
-    """Display proxies derived from counts; they aren't timings."""
+    """Display proxies derived from counts; they aren't timings: edges by build, the number of walks, and the typical visits times 1.6. One row each is joined."""
     e = edge_rows(spark, d).agg(F.count("*").alias("edges"), F.greatest(F.max("build"), F.lit(1)).alias("build"))
-    return e.select(F.greatest(F.lit(1).cast("long"), F.expr("edges div build div 8")).alias("edges_per_tick"), "edges", "build")
+    log = _log(spark, d)
+    w = log.agg(F.count("*").alias("walks_per_min")).crossJoin(F.broadcast(upper_median(log, "visited")))
+    both = e.crossJoin(F.broadcast(w))
+    return both.select(F.greatest(F.lit(1).cast("long"), F.expr("edges div build div 8")).alias("edges_per_tick"), "edges", "build", "walks_per_min", F.greatest(F.lit(1).cast("long"), F.floor(F.col("median") * 1.6)).alias("traversal_ms"))
 
 
 def health_signals(spark, d):
@@ -124,7 +151,7 @@ HEALTH = O.with_(O.NODES, O.EDGES, O.ASSUMPTIONS, typed.ENDS, O.DEGREE, build.DO
  UNION ALL SELECT 'open_contradictions', 'warn', count(DISTINCT src) FROM e WHERE live AND edge_type = 'contradicts'
  UNION ALL SELECT 'dead_ends', 'warn', count(*) FROM lg WHERE dead_end IS NOT NULL
  UNION ALL SELECT 'invalidated_nodes', 'warn', count(*) FROM n WHERE invalidated)""")
-QUERIES = {f.__name__: f for f in (hop_histogram, median_hops, dead_end_ledger, resolved_rate, last_walks, visit_counts, traversal_ledger, proxy_rates, health_signals, health_status)}
+QUERIES = {f.__name__: f for f in (hop_histogram, median_hops, dead_end_ledger, resolved_rate, last_walks, last_grid, last_visits, walk_examples, flat_costs_seen, visit_counts, traversal_ledger, proxy_rates, health_signals, health_status)}
 SQL = {
     "hop_histogram": O.with_(LOG) + "SELECT b.h AS hops, count(lg.walk_id) AS n FROM (SELECT unnest(range(1, 10)) AS h) b LEFT JOIN lg ON lg.hops = b.h AND dead_end IS NULL GROUP BY b.h",
     "median_hops": O.with_(LOG) + " UNION ALL ".join([_med("hops", "dead_end IS NULL"), _med("tokens_walked", "dead_end IS NULL"), _med("visited"), _med("tokens_flat")]),
@@ -133,7 +160,11 @@ SQL = {
     "last_walks": O.with_(LOG) + "SELECT walk_id, tokens_walked, visited FROM lg ORDER BY walk_id DESC LIMIT 60",
     "visit_counts": O.with_(O.NODES) + "SELECT node_type, sum(walks)::BIGINT AS walks, max(walks) AS most FROM n GROUP BY node_type",
     "traversal_ledger": O.with_(O.EDGES) + f"SELECT t AS edge_type, coalesce(sum(traversals), 0)::BIGINT AS n FROM {O.rows(LEDGER_TYPES, 't')} LEFT JOIN e ON e.edge_type = t GROUP BY t",
-    "proxy_rates": O.with_(O.EDGES) + "SELECT greatest(1, count(*) // greatest(max(build), 1) // 8) AS edges_per_tick, count(*) AS edges, greatest(max(build), 1) AS build FROM e",
+    "proxy_rates": O.with_(O.EDGES, LOG, "md AS (" + _med("visited") + ")") + "SELECT greatest(1, count(*) // greatest(max(build), 1) // 8) AS edges_per_tick, count(*) AS edges, greatest(max(build), 1) AS build, (SELECT count(*) FROM lg) AS walks_per_min, greatest(1, floor((SELECT median FROM md) * 1.6))::BIGINT AS traversal_ms FROM e",
+    "last_grid": O.with_(LOG) + "SELECT walk_id, (dead_end IS NULL)::INT AS cell FROM lg ORDER BY walk_id DESC LIMIT 1008",
+    "last_visits": O.with_(LOG) + "SELECT walk_id, visited FROM lg ORDER BY walk_id DESC LIMIT 40",
+    "walk_examples": O.with_(LOG) + "SELECT walk_id, dead_end, hops, visited, tokens_walked, tokens_flat FROM (SELECT *, row_number() OVER (PARTITION BY dead_end IS NULL ORDER BY walk_id) AS r FROM lg) WHERE r <= 4",
+    "flat_costs_seen": O.with_(LOG, "mf AS (" + _med("tokens_flat") + ")", "mw AS (" + _med("tokens_walked", "dead_end IS NULL") + ")") + "SELECT max(tokens_flat) AS flat_peak, sum(tokens_flat)::BIGINT AS flat_total, sum(tokens_walked)::BIGINT AS walk_total, (SELECT median FROM mf) AS tokens_flat_typical, (SELECT median FROM mw) AS tokens_walked_typical FROM lg",
     "health_signals": HEALTH + "SELECT kind, CASE WHEN n > 0 THEN sev ELSE 'info' END AS severity, n FROM hs",
     "health_status": HEALTH + "SELECT CASE WHEN bool_or(n > 0 AND sev = 'error') THEN 'error' WHEN bool_or(n > 0) THEN 'warn' ELSE 'ok' END AS status, count(*) FILTER (WHERE n > 0) AS signals FROM hs",
 }

@@ -270,6 +270,9 @@ SQL = {
     "live_out_edges": O.with_(N, E, ENDS) + "SELECT src AS id, count(*) AS n, count(DISTINCT edge_type) AS n_types FROM x WHERE live AND dlive GROUP BY src",
     "live_in_edges": O.with_(N, E, ENDS) + "SELECT dst AS id, count(*) AS n, count(DISTINCT edge_type) AS n_types FROM x WHERE live AND slive GROUP BY dst",
     "node_inspect": O.with_(N, E, O.DEGREE) + "SELECT n.id, node_type, label, live, coalesce(degree, 0) AS degree, coalesce(o.n, 0) AS n_out, coalesce(i.n, 0) AS n_in, o.f AS first_out, i.f AS first_in FROM n LEFT JOIN deg ON deg.id = n.id LEFT JOIN (SELECT src, count(*) AS n, min(ord) AS f FROM e GROUP BY src) o ON o.src = n.id LEFT JOIN (SELECT dst, count(*) AS n, min(ord) AS f FROM e GROUP BY dst) i ON i.dst = n.id",
+    "node_edges": O.with_(N, E, "r AS (SELECT src AS id, 'out' AS side, ord, id AS edge, edge_type, dst AS other, live FROM e UNION ALL SELECT dst, 'in', ord, id, edge_type, src, live FROM e)") + "SELECT r.id, side, r.ord, edge, edge_type, other, o.label AS other_label, r.live FROM r JOIN n ON n.id = r.id LEFT JOIN n o ON o.id = r.other",
+    "evidence_rows": O.with_(N, E, ENDS) + "SELECT src AS id, 0 AS side, ord, id AS edge, dst AS other FROM x WHERE live AND dlive AND edge_type IN ('derived_from', 'cites', 'justified_by') UNION ALL SELECT dst, 1, ord, id, src FROM x WHERE live AND slive AND edge_type = 'supports'",
+    "displayed_edges": O.with_(N, E, "k AS (SELECT *, row_number() OVER (ORDER BY ord, id) - 1 AS idx FROM n WHERE live AND node_type IN ('entity', 'claim', 'source', 'decision'))") + "SELECT a.idx AS src, edge_type, b.idx AS dst, round(weight, 2) AS weight FROM e JOIN k a ON a.id = e.src JOIN k b ON b.id = e.dst WHERE e.live",
     "degree": O.with_(E, O.DEGREE) + "SELECT id, degree FROM deg",
     "orphans": O.with_(N, E, O.DEGREE) + "SELECT id, node_type FROM n WHERE live AND id NOT IN (SELECT id FROM deg)",
     "prune_build": O.with_(N, E, O.DEGREE) + "SELECT id FROM n WHERE node_type <> 'source' AND id NOT IN (SELECT id FROM deg)",
