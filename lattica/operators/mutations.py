@@ -95,22 +95,30 @@ def assume(assumptions: DataFrame, statement: str, build: int, by: str = "planne
     known = assumptions.filter(F.col("statement") == statement).select("id").first()
     if known:
         return assumptions, known.id
+    new_id = spark.range(1).select(T.slug(F.lit(statement), "assumption").alias("id")).first().id
+    if not assumptions.filter(F.col("id") == new_id).isEmpty():
+        raise Refused(f"{new_id} is another statement's")
+    return _added(assumptions, new_id, statement, build, by), new_id
+
+
+def _added(assumptions: DataFrame, new_id: str, statement: str, build: int, by: str) -> DataFrame:
     top = assumptions.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("top")).first().top
-    new = spark.createDataFrame([(top + 1, statement, "active", 1, by, build)], "ord long, statement string, status string, version_no long, created_by string, created_at_build long").withColumn("id", T.slug("statement", "assumption"))
-    for c, kind in (("supersedes", "string"), ("superseded_by", "string"), ("rejected_at_build", "bigint"), ("evidence_ids", "array<string>")):
-        new = new.withColumn(c, F.lit(None).cast(kind))
-    new = cut(new, "assume")
-    return assumptions.unionByName(new.select(*assumptions.columns)), new.first().id
+    new = assumptions.sparkSession.createDataFrame([(new_id, top + 1, statement, "active", 1, by, build)], "id string, ord long, statement string, status string, version_no long, created_by string, created_at_build long")
+    for c in set(assumptions.columns) - set(new.columns):
+        new = new.withColumn(c, F.lit(None).cast(assumptions.schema[c].dataType))
+    return assumptions.unionByName(cut(new.select(*assumptions.columns), "assume"))
 
 
 def supersede(assumptions: DataFrame, old_id: str, statement: str, build: int) -> tuple[DataFrame, str]:
-    """A successor: found by its statement or made; both records name each other."""
+    """A successor, named by its statement and version; both records name each other."""
     old = assumptions.filter(F.col("id") == old_id).first()
     if old is None or old.status != "active":
         raise Refused(f"{old_id} isn't an active assumption")
-    out, new_id = assume(assumptions, statement, build)
-    if new_id == old_id:
-        raise Refused("an assumption can't supersede itself")
+    spark, version = assumptions.sparkSession, old.version_no + 1
+    new_id = spark.range(1).select(T.slug(F.lit(f"{statement}|v{version}"), "assumption").alias("id")).first().id
+    if not assumptions.filter(F.col("id") == new_id).isEmpty():
+        raise Refused(f"{new_id} is there already")
+    out = _added(assumptions, new_id, statement, build, old.created_by)
     is_old, is_new = F.col("id") == old_id, F.col("id") == new_id
     out = out.withColumn("status", F.when(is_old, "superseded").otherwise(F.col("status"))).withColumn("superseded_by", F.when(is_old, new_id).otherwise(F.col("superseded_by")))
     return out.withColumn("supersedes", F.when(is_new, old_id).otherwise(F.col("supersedes"))).withColumn("version_no", F.when(is_new, old.version_no + 1).otherwise(F.col("version_no"))), new_id
