@@ -30,7 +30,7 @@ def _none(df: DataFrame, why: str) -> None:
 
 
 def edge_id(src, edge_type, dst):
-    return T.slug(F.concat_ws("|", src, edge_type, dst))
+    return T.slug(F.concat_ws("|", src, edge_type, dst), "edge")
 
 
 def merged_attrs(old: Column | str, new: Column | str) -> Column:

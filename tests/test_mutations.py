@@ -73,11 +73,11 @@ def test_fingerprint():
 
 def test_snapshot_round_trip_and_faults(spark, tmp_path):
     n, e = scenario(spark)
-    a = spark.createDataFrame([("a", 0, "holds", "active", 1, "p", 1, None, None, None, None)], A)
+    a = spark.createDataFrame([("a", 0, "a", "active", 1, "p", 1, None, None, None, None)], A)
     e = e.withColumn("invalidated", ~F.col("live"))
     snapshot.write({"nodes": n, "edges": e, "assumptions": a}, str(tmp_path / "ok"))
     got = snapshot.read(spark, str(tmp_path / "ok"))
-    assert got["nodes"].count() == 9 and {r.id for r in got["edges"].collect()} == {f"e{i}" for i in range(7)} and got["assumptions"].first().statement == "holds"
+    assert got["nodes"].count() == 9 and {r.id for r in got["edges"].collect()} == {f"e{i}" for i in range(7)} and got["assumptions"].first().statement == "a"
     dangling = spark.createDataFrame([("z", 9, "c1", "nobody", "cites", None, 1.0, 1, 0, True)], E)
     cases = {"dangles": (n, e.unionByName(dangling.withColumn("invalidated", F.lit(False)))), "repeated": (n.unionByName(n.limit(1)), e), "unknown": (n.withColumn("node_type", F.lit("thing")), e), "illegal": (n, e.withColumn("edge_type", F.lit("resolves_to")))}
     for why, (n2, e2) in cases.items():
