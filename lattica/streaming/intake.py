@@ -23,13 +23,19 @@ def windowed(events: DataFrame, late: str = "1 hour", width: str = "1 hour") ->
 
 
 def run_once(spark, stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what is there now into a table in the shared folder, and read that."""
+    """Run an aggregating stream over what is there now into a table in the shared folder, and read that: each micro-batch writes the groups whole as they then stand, and the last one's are the result. Windows
+    that no watermark has closed yet are among them."""
     import uuid
 
     out = f"{shared_dir(spark)}/lattica-{name}-{uuid.uuid4().hex}"
-    q = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    last = {}
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/{number}")
+        last["at"] = f"{out}/{number}"
+
+    stream.writeStream.foreachBatch(batch).outputMode("complete").option("checkpointLocation", out + "-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(last["at"]) if last else spark.createDataFrame([], stream.schema)
 
 
 def exists(spark, path: str) -> bool:
@@ -61,7 +67,7 @@ def event_windows(spark, d):
 
 
 def stream_event_windows(spark, d):
-    """The same through a stream: windows closed by the watermark are emitted."""
+    """The same through a stream."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
     reader = spark.readStream.schema(EVENT_SCHEMA)
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
@@ -83,3 +89,4 @@ SQL = {
     "event_sessions": O.with_("g AS (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new, ts, event_id FROM events)", "k AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM g)", "c AS (SELECT user_id, s, count(*) AS n FROM k GROUP BY ALL)")
     + "SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id",
 }
+SQL["stream_event_windows"] = SQL["event_windows"]
