@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lattica import oracle as O
 from lattica.operators import typed
-from lattica.operators.hierarchy import decision_links, forest, task_key, task_needs
+from lattica.operators.hierarchy import decision_links, forest, layers, task_key, task_needs
 from lattica.schema import BACKWARD, FORWARD
 from lattica.session import cut, table
 from lattica.sources.graph import assumption_rows, edge_rows, node_rows
@@ -105,25 +105,9 @@ def decision_history(spark, d):
     return r.select("key", F.when(F.col("depth") >= 0, F.col("depth") + 1).alias("n"), F.when(F.col("depth") >= 0, F.col("root")).alias("oldest"))
 
 
-def topo_layers(keys: DataFrame, needs: DataFrame) -> DataFrame:
-    """(key, layer): a key's layer is one above the highest of its needs; keys on a cycle, or needing one, have layer -1."""
-    left, done, layer = cut(keys.select("key"), "left"), None, 0
-    needs = cut(needs, "needs")
-    while True:
-        free = left.join(needs.join(left.select(F.col("key").alias("parent")), "parent", "left_semi").select("key"), "key", "left_anti")
-        free = cut(free.withColumn("layer", F.lit(layer).cast("long")), "layer")
-        if free.isEmpty():
-            break
-        done = free if done is None else done.unionByName(free)
-        left = cut(left.join(free, "key", "left_anti"), "left")
-        layer += 1
-    rest = left.withColumn("layer", F.lit(-1).cast("long"))
-    return rest if done is None else done.unionByName(rest)
-
-
 def task_layers(spark, d):
     keys, needs = task_needs(table(spark, d, "tasks"))
-    return topo_layers(keys, needs).join(keys, "key").select("node_id", "layer")
+    return layers(keys, needs, keys.select("key", F.col("plan").alias("g"))).join(keys, "key").select("node_id", "layer")
 
 
 def ready_tasks(spark, d):

@@ -174,8 +174,27 @@ def _solve(edges: list[tuple[str, str, int]], inner: set[str]) -> list[tuple[str
     return rows + [(key, CYCLE, -1) for key in up if key not in best]
 
 
-def _solved(edges: DataFrame) -> DataFrame:
-    """edges: (g, key, head, w, inner) of groups that fit a task. Rows of _solve; the groups of a batch are solved together, the last one with the next batch."""
+def _longest(edges: list[tuple[str, str, int]], inner: set[str]) -> list[tuple[str, str | None, int]]:
+    """(key, null, layer) of the heads of one group, -1 where a cycle can be reached: the most steps to any root, w being the most from a head to the next."""
+    up: dict[str, list[tuple[str, int]]] = {}
+    down: dict[str, list[str]] = {}
+    for key, head, w in edges:
+        up.setdefault(key, []).append((head, w))
+        if head in inner:
+            down.setdefault(head, []).append(key)
+    open_ = {key: sum(h in inner or h == CYCLE for h, _ in ups) for key, ups in up.items()}
+    ready, layer = [key for key, n in open_.items() if not n], {}
+    for key in ready:  # grows as heads above are done
+        layer[key] = max(layer.get(h, 0) + w for h, w in up[key])
+        for below in down.get(key, ()):
+            open_[below] -= 1
+            if not open_[below]:
+                ready.append(below)
+    return [(key, None, layer.get(key, -1)) for key in up]
+
+
+def _solved(edges: DataFrame, solve=_solve) -> DataFrame:
+    """edges: (g, key, head, w, inner) of groups that fit a task. Rows of solve; the groups of a batch are solved together, the last one with the next batch."""
 
     def run(batches):
         held = None
@@ -189,7 +208,7 @@ def _solved(edges: DataFrame) -> DataFrame:
             yield rows(held)
 
     def rows(part):
-        return type(part)(_solve(list(zip(part["key"], part["head"], part["w"].tolist())), set(part["head"][part["inner"]])), columns=["key", "root", "depth"])
+        return type(part)(solve(list(zip(part["key"], part["head"], part["w"].tolist())), set(part["head"][part["inner"]])), columns=["key", "root", "depth"])
 
     n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return edges.withColumn("g", F.coalesce("g", F.lit(""))).repartition(n, "g").sortWithinPartitions("g").mapInPandas(run, "key string, root string, depth long")
@@ -228,14 +247,50 @@ def _relaxed(edges: DataFrame, heads: DataFrame) -> DataFrame:
     return best.join(alive, "key", "left_anti").unionByName(state.filter(F.col("depth") < 0))
 
 
-def reached_from(trees: DataFrame, parents: DataFrame, needs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """reached_roots, given parents (of several) and trees (key, root, depth: the forest of head_links)."""
+def _head_edges(trees: DataFrame, parents: DataFrame, needs: DataFrame, groups: DataFrame | None, steps: Column) -> tuple[DataFrame, DataFrame]:
+    """(edges: g, key, head, w, inner; g of the groups too large for a task): from each head with several parents to the next heads up, w being the steps by the aggregate given."""
     heads = parents.filter("n > 1").select("key")
     at = trees.select(F.col("key").alias("parent"), F.col("root").alias("head"), (F.col("depth") + 1).alias("w"))
-    edges = needs.join(heads, "key", "left_semi").join(at, "parent").groupBy("key", "head").agg(F.min("w").alias("w"))
+    edges = needs.join(heads, "key", "left_semi").join(at, "parent").groupBy("key", "head").agg(steps.alias("w"))
     edges = edges.join(groups.select("key", "g"), "key", "left") if groups is not None else edges.withColumn("g", F.lit(""))
     edges = cut(edges.join(heads.select(F.col("key").alias("head"), F.lit(True).alias("inner")), "head", "left").select("g", "key", "head", "w", F.coalesce("inner", F.lit(False)).alias("inner")), "edges")
-    large = edges.groupBy("g").count().filter(F.col("count") > GROUP).select("g")
+    return edges, edges.groupBy("g").count().filter(F.col("count") > GROUP).select("g")
+
+
+def _layered(edges: DataFrame) -> DataFrame:
+    """_longest for edges (key, head, w, inner) of any number: a round does the heads all of whose heads above are done."""
+    left, done = edges, None
+    while True:
+        free = left.groupBy("key").agg(F.max("w").alias("depth"), F.count_if(F.col("inner") | (F.col("head") == CYCLE)).alias("open")).filter("open = 0").select("key", F.lit(None).cast("string").alias("root"), "depth")
+        free = cut(free, "layer")
+        if free.isEmpty():
+            break
+        done = free if done is None else done.unionByName(free)
+        above = free.select(F.col("key").alias("head"), F.col("depth").alias("more"))
+        left = left.join(free.select("key"), "key", "left_anti").join(above, "head", "left")
+        left = cut(left.select("key", "head", (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"), (F.col("inner") & F.col("more").isNull()).alias("inner")), "left")
+    rest = left.select("key").distinct().select("key", F.lit(None).cast("string").alias("root"), F.lit(-1).cast("long").alias("depth"))
+    return rest if done is None else done.unionByName(rest)
+
+
+def layers(keys: DataFrame, needs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """keys, needs and groups as in reached_roots. (key, layer): a key's layer is one above the highest of its needs; keys on a cycle, or needing one, have layer -1. Chains of single needs take
+    no rounds of their own."""
+    needs = cut(needs.select("key", "parent").distinct(), "needs")
+    parents = cut(several(needs), "parents")
+    trees = cut(forest(head_links(keys, parents)).select("key", "root", "depth"), "trees")
+    edges, large = _head_edges(trees, parents, needs, groups, F.max("w"))
+    solved = _solved(edges.join(large, "g", "left_anti"), _longest)
+    if not large.isEmpty():
+        solved = solved.unionByName(_layered(cut(edges.join(large, "g", "left_semi").select("key", "head", "w", "inner"), "rest")))
+    up = cut(solved, "solved").select(F.col("key").alias("root"), F.col("depth").alias("more"))
+    layer = F.when((F.col("root") == CYCLE) | (F.col("more") < 0), -1).otherwise(F.col("depth") + F.coalesce("more", F.lit(0)))
+    return trees.join(up, "root", "left").select("key", layer.cast("long").alias("layer"))
+
+
+def reached_from(trees: DataFrame, parents: DataFrame, needs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """reached_roots, given parents (of several) and trees (key, root, depth: the forest of head_links)."""
+    edges, large = _head_edges(trees, parents, needs, groups, F.min("w"))
     solved = _solved(edges.join(large, "g", "left_anti"))
     if not large.isEmpty():
         rest = cut(edges.join(large, "g", "left_semi").select("key", "head", "w"), "rest")

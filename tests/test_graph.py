@@ -46,7 +46,7 @@ def test_walk_back_and_layers(spark):
     assert got == {("d1", "s1", 1), ("d1", "a", 1)}
     keys = spark.createDataFrame([(x,) for x in "abcdz"], "key string")
     needs = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("d", "z"), ("z", "d")], "key string, parent string")
-    assert {tuple(r) for r in closure.topo_layers(keys, needs).collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", -1), ("z", -1)}
+    assert {tuple(r) for r in closure.layers(keys, needs).collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", -1), ("z", -1)}
 
 
 def test_anchors_and_as_of(spark):

@@ -154,3 +154,17 @@ def test_task_queries_are_registered():
     from lattica import catalogue
 
     assert {"p4_task_paths", "p4_task_descendants"} <= set(catalogue.QUERIES)
+
+
+@pytest.mark.parametrize("group", [1, 1000])
+def test_layers_against_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(H, "GROUP", group)
+    rnd = random.Random(8)
+    needs = {f"t{i:02}": {f"t{rnd.randrange(max(0, i - 4), i):02}" for _ in range(rnd.choice([0, 1, 1, 2, 3]))} if i else set() for i in range(50)}
+    needs |= {"a": {"b", "t05"}, "b": {"a"}, "c": {"a", "t02"}, "d": {"c"}, "self": {"self"}}
+    layer = {}
+    for _ in needs:
+        layer |= {x: max((layer[p] + 1 for p in ps), default=0) for x, ps in needs.items() if all(p in layer for p in ps)}
+    keys = spark.createDataFrame([(k,) for k in needs], "key string")
+    pairs = spark.createDataFrame([(k, p) for k, v in needs.items() for p in v], "key string, parent string")
+    assert {tuple(r) for r in H.layers(keys, pairs).collect()} == {(x, layer.get(x, -1)) for x in needs}
