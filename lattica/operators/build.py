@@ -206,6 +206,13 @@ def collapsed_forms(spark, d):
     return hit.groupBy("entity_id").agg(F.countDistinct("name").alias("forms"), (F.countDistinct("name") - 1).alias("folded"), F.count("*").alias("resolved"))
 
 
+def collapsed_names(spark, d):
+    """The surface forms that fold into each entity, one row each, with how often each was said."""
+    names, reg, norms = _names(spark, d)
+    hit = names.join(reg.resolve(norms).filter("entity_id is not null"), "norm")
+    return hit.groupBy("entity_id", "name").agg(F.count("*").alias("said"))
+
+
 def feature_buckets(spark, d):
     """Sparse unit vectors of assumption labels."""
     n = node_rows(spark, d).filter("node_type = 'assumption'").select("id", "label")
@@ -288,7 +295,7 @@ def _embed(rows: str, key: str, out: str) -> str:
 {out} AS (SELECT key, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY key)) AS w FROM {out}s)"""
 
 
-QUERIES = {f.__name__: f for f in (chunk_spans, assertive_spans, token_counts, normalise_names, block_candidates, resolve_names, unresolved_names, collapsed_forms, feature_buckets, cosine_pairs, text_build_links, stage_report, relation_hints)}
+QUERIES = {f.__name__: f for f in (chunk_spans, assertive_spans, token_counts, normalise_names, block_candidates, resolve_names, unresolved_names, collapsed_forms, collapsed_names, feature_buckets, cosine_pairs, text_build_links, stage_report, relation_hints)}
 _SLUG = "CASE WHEN b = '' THEN 'claim:' || d ELSE 'claim:' || b || '-' || d END"
 SQL = {
     "chunk_spans": O.with_(DOCS, SPANS) + "SELECT key, pos, start, start + length(sentence) AS end_, sha1(sentence) AS digest FROM sp",
@@ -299,6 +306,7 @@ SQL = {
     "block_candidates": O.with_(DOCS, NAMES) + "SELECT norm, entity_id, round(score, 6) AS score FROM ca",
     "resolve_names": O.with_(DOCS, NAMES) + "SELECT norm, entity_id, round(score, 6) AS score, reason FROM rs",
     "unresolved_names": O.with_(DOCS, NAMES) + f"SELECT norm, arg_min(name, doc_id * 100000 + pos) AS first_name, count(*) AS attempts, any_value(score) >= {BORDERLINE} AS borderline FROM nm JOIN rs USING (norm) WHERE entity_id IS NULL GROUP BY norm",
+    "collapsed_names": O.with_(DOCS, NAMES) + "SELECT entity_id, name, count(*) AS said FROM nm JOIN rs USING (norm) WHERE entity_id IS NOT NULL GROUP BY ALL",
     "collapsed_forms": O.with_(DOCS, NAMES) + "SELECT entity_id, count(DISTINCT name) AS forms, count(DISTINCT name) - 1 AS folded, count(*) AS resolved FROM nm JOIN rs USING (norm) WHERE entity_id IS NOT NULL GROUP BY entity_id",
     "feature_buckets": O.with_(O.NODES, "l AS (SELECT id, label FROM n WHERE node_type = 'assumption')", _embed("l", "id", "v")) + "SELECT key AS id, bucket, round(w, 6) AS w FROM v",
     "cosine_pairs": O.with_(O.NODES, "l AS (SELECT id, label FROM n WHERE node_type = 'assumption')", _embed("l", "id", "v"), _embed("canonical", "entity_id", "u")) + "SELECT u.key AS entity_id, v.key AS id, round(sum(u.w * v.w), 5) AS cosine FROM u JOIN v USING (bucket) GROUP BY ALL HAVING sum(u.w * v.w) > 0.2",

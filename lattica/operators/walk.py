@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import text as T
 from lattica.functions import vectors
+from lattica.functions.numbers import round_exact
 from lattica.operators import typed
 from lattica.operators.build import Registry
 from lattica.schema import ANSWERING, FOLLOWED
@@ -150,7 +151,7 @@ def ask(questions: DataFrame, nodes: DataFrame, edges: DataFrame, canonical: Dat
     settled = cut(settle(start, steps), "settled")
     scored = cut(relevance(settled, questions, nodes), "scored")
     good = scored.filter(F.col("score") >= ANSWER_FLOOR)
-    pick = good.groupBy("walk_id").agg(F.max(F.struct(F.round("score", 2).alias("s"), F.size(F.array_distinct("types")).alias("n"), (-F.col("cost")).alias("c"), (-F.col("rank")).alias("r"), "node", "score", "cost", "path", "types", "sides")).alias("m")).select("walk_id", "m.node", "m.score", "m.cost", "m.path", "m.types", "m.sides")
+    pick = good.withColumn("s", round_exact("score", 2)).groupBy("walk_id").agg(F.max(F.struct(F.col("s"), F.size(F.array_distinct("types")).alias("n"), (-F.col("cost")).alias("c"), (-F.col("rank")).alias("r"), "node", "score", "cost", "path", "types", "sides")).alias("m")).select("walk_id", "m.node", "m.score", "m.cost", "m.path", "m.types", "m.sides")
     full = cut(justify(pick, edges, nodes), "full")
     kinds = full.select("walk_id", F.posexplode("path").alias("i", "id")).join(nodes.select("id", "node_type", "label"), "id")
     answer = kinds.groupBy("walk_id").agg(F.max(F.when(F.col("node_type").isin(*ANSWERING), F.struct("i", "id"))).alias("a"), F.sum(T.text_tokens("label")).alias("tokens_walked"))
