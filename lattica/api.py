@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.text import html_safe, iso_date
-from lattica.operators import closure, hindsight, telemetry, temporal, typed, walk
+from lattica.operators import closure, decisions, ground, hindsight, mutations, telemetry, temporal, typed, walk
+from lattica.operators.mutations import Refused
 from lattica.session import cut, table
 from lattica.sources.graph import assumption_rows, edge_rows, node_rows
 
@@ -14,7 +15,7 @@ LIMIT = 200
 
 
 def _rows(df: DataFrame, limit: int = LIMIT) -> list[dict]:
-    """At most `limit` rows for display; totals are counted apart."""
+    """At most `limit` rows for display; whoever shows them gives the total beside them. node_edges and blast_radius_all have all rows as tables."""
     return [r.asDict(recursive=True) for r in df.limit(limit).collect()]
 
 
@@ -33,7 +34,8 @@ class Mesh:
         if not found:
             return {"error": f"no node {node_id!r}"}
         deg = typed.degrees(self.edges.filter((F.col("src") == node_id) | (F.col("dst") == node_id))).filter(F.col("id") == node_id).collect()
-        return found[0] | {"degree": deg[0].degree if deg else 0, "out": _rows(self.edges.filter(F.col("src") == node_id).orderBy("ord")), "in": _rows(self.edges.filter(F.col("dst") == node_id).orderBy("ord"))}
+        out, into = (self.edges.filter(F.col(c) == node_id).orderBy("ord") for c in ("src", "dst"))
+        return found[0] | {"degree": deg[0].degree if deg else 0, "n_out": out.count(), "n_in": into.count(), "out": _rows(out), "in": _rows(into)}
 
     def blast_radius(self, assumption_id: str) -> dict:
         a = _rows(self.assumptions.filter(F.col("id") == assumption_id), 1)
@@ -47,7 +49,7 @@ class Mesh:
     def lineage(self, assumption_id: str) -> list[dict]:
         line = closure.assumption_lineage(self.spark, self.folder)
         root = line.filter(F.col("id") == assumption_id).select("oldest")
-        return _rows(line.join(root, "oldest").orderBy("position"))
+        return _rows(line.join(root, "oldest").orderBy("position"), line.count())
 
     def explain_as_of(self, question: str, day: str) -> dict:
         if not self.spark.range(1).select(iso_date(F.lit(day)).isNotNull()).first()[0]:
@@ -66,6 +68,58 @@ class Mesh:
         rows = temporal.decision_histories(self.spark.createDataFrame([(decision_id,)], "root string"), self.nodes, self.edges, depth)
         return {"decision": decision_id, "day": str(own) if own else None, "nodes": [r.asDict() for r in rows.drop("root", "day").orderBy("hops", "node").collect()]}
 
+    # Writes change what this object holds, never the folder; sources.store keeps versions.
+
+    def _graph(self) -> ground.Graph:
+        build = self.nodes.agg(F.coalesce(F.max("build"), F.lit(0))).first()[0]
+        return ground.Graph(cut(self.nodes, "nodes"), cut(self.edges, "edges"), cut(self.assumptions, "assumptions"), build + 1)
+
+    def _take(self, g: ground.Graph) -> None:
+        self.nodes, self.edges, self.assumptions = g.nodes, g.edges, g.assumptions
+
+    def _tried(self, change) -> dict:
+        """change: graph to (graph, what to say); a refusal changes nothing and comes back as data."""
+        try:
+            g, said = change(self._graph())
+        except Refused as e:
+            return {"error": str(e)}
+        self._take(g)
+        return said
+
+    def assume(self, statement: str, by: str = "agent", evidence_ids: tuple[str, ...] = ()) -> dict:
+        return self._tried(lambda g: (lambda out: (out[0], {"assumption": out[1]}))(ground.assume(g, statement, by, evidence_ids)))
+
+    def supersede(self, assumption_id: str, statement: str) -> dict:
+        return self._tried(lambda g: (lambda out: (out[0], {"assumption": out[1], "supersedes": assumption_id}))(ground.supersede(g, assumption_id, statement)))
+
+    def reject(self, assumption_id: str, evidence_id: str, replacement: str | None = None) -> dict:
+        def change(g):
+            after, radius, new = ground.reject(g, assumption_id, evidence_id, replacement)
+            return after, {"assumption": assumption_id, "radius": radius.count(), "fallen": _rows(radius.orderBy("depth", "node")), "replacement": new}
+
+        return self._tried(change)
+
+    def bind(self, edge_id: str, assumption_id: str) -> dict:
+        return self._tried(lambda g: (ground.Graph(g.nodes, cut(mutations.bind(g.edges, g.assumptions, edge_id, assumption_id), "edges"), g.assumptions, g.build), {"edge": edge_id, "assumption": assumption_id}))
+
+    def submit_evidence(self, *submissions: dict) -> dict:
+        """submissions: text, source_id and, where there are any, external_id and metadata (a JSON object as text)."""
+        def change(g):
+            rows = [tuple(x.get(k) for k in ("text", "source_id", "external_id", "metadata")) for x in submissions]
+            after, out = ground.submit_evidence(g, self.spark.createDataFrame(rows, ground.EVIDENCE))
+            return after, {"outcomes": _rows(out, len(rows))}
+
+        return self._tried(change)
+
+    def decide(self, *requests: dict) -> dict:
+        """requests: title, source_id and, where there are any, id, rationale, supported_by, cites, assumptions, produces, supersedes."""
+        def change(g):
+            names = ("id", "title", "rationale", "source_id", "supported_by", "cites", "assumptions", "produces", "supersedes")
+            n, e, out = decisions.decide(g.nodes, g.edges, self.spark.createDataFrame([(k, *(r.get(c) for c in names)) for k, r in enumerate(requests)], decisions.REQUEST), g.build)
+            return ground.Graph(cut(n, "nodes"), cut(e, "edges"), g.assumptions, g.build), {"decisions": _rows(out.orderBy("request"), len(requests))}
+
+        return self._tried(change)
+
     def health(self) -> list[dict]:
         return _rows(telemetry.health_signals(self.spark, self.folder))
 
