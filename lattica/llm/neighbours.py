@@ -43,6 +43,8 @@ WORDS = tuple(f"w{i}" for i in range(CODE // 64))
 ROWS, MOST, NEAR = 1_000_000, 16_384, 256
 #: Rows the rotations and centres are learned on, at most about; rounds of learning.
 SAMPLE, ROUNDS = 8_000, 15
+#: Candidates a scan keeps beyond k, as single precision may order two of them otherwise.
+SPARE = 2
 #: Vectors a cell has on average, cells at most, share of the cells that is scanned; queries of a unit, rows compared at once.
 CELL_ROWS, CELLS, SCANNED, UNIT, STRIP = 8_192, 64, 1 / 16, 8_192, 1_024
 
@@ -317,7 +319,7 @@ def nearest(nodes: DataFrame, k: int = K, least: float | None = LEAST, dim: int
         rest = rest.unionByName(short).distinct()
     rest = cut(rest, "rest")
     if not rest.isEmpty():
-        found = cut(scan(rest, reps.select("v", "cells"), vectors.dropDuplicates(["v"]), k, dim), "found")
+        found = cut(scan(rest, reps.select("v", "cells"), vectors.dropDuplicates(["v"]), k + SPARE, dim), "found")
         more = rerank(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         links = links.unionByName(more).unionByName(more.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos")).dropDuplicates(["a", "b"])
 
