@@ -194,6 +194,12 @@ SQL = {
     "as_of_invalidated": O.with_(N, E, A, ANCH, KEPT, FELL, ASOFA, "p AS (SELECT dst AS node, src AS nxt, false AS fw FROM e JOIN n s ON s.id = e.src WHERE s.node_type <> 'assumption' AND edge_type IN ('derived_from', 'depends_on') AND src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept) UNION SELECT src, dst, true FROM e WHERE edge_type = 'produces' AND src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept))",
         "r(root, node) AS (SELECT id, id FROM aa WHERE status = 'rejected' UNION SELECT root, nxt FROM r JOIN p ON p.node = r.node WHERE NOT (fw AND r.node = root))", recursive=True) + "SELECT id, node_type FROM n WHERE id IN (SELECT node FROM r)",
     "hindsight": O.with_(N, E, ANCH, f"s AS (SELECT id, {SIDE} AS side FROM an)") + "SELECT e.dst AS id, edge_type, b.side, count(*) AS n FROM e JOIN s a ON a.id = e.dst JOIN s b ON b.id = e.src WHERE edge_type IN ('contradicts', 'supersedes', 'supports') AND a.side = 'then' AND b.side <> 'then' GROUP BY ALL",
+    "decision_history_rows": O.with_(N, E, ANCH, f"bk AS (SELECT src AS node, dst, edge_type, e.ord AS ord FROM e JOIN n ON n.id = e.src WHERE dst IN (SELECT id FROM n) AND edge_type IN {closure.BACK[True]} AND (node_type = 'decision' OR edge_type IN {closure.BACK[False]}))",
+        "w(root, node, hops) AS (SELECT id, id, 0 FROM n WHERE node_type = 'decision' UNION SELECT w.root, bk.dst, hops + 1 FROM w JOIN bk ON bk.node = w.node WHERE hops < 3)", "wb AS (SELECT root, node, min(hops) AS hops FROM w GROUP BY root, node)",
+        "g AS (SELECT b.root, b.node, b.hops, edge_type AS relation, t.node AS through, row_number() OVER (PARTITION BY b.root, b.node ORDER BY ord, edge_type, t.node) AS r FROM wb b JOIN wb t ON t.root = b.root AND t.hops = b.hops - 1 JOIN bk ON bk.node = t.node AND bk.dst = b.node)",
+        "c AS (SELECT t.root, e.src AS node, t.hops + 1 AS hops, edge_type AS relation, t.node AS through, row_number() OVER (PARTITION BY t.root, e.src ORDER BY t.hops, ord, edge_type, t.node) AS r FROM wb t JOIN e ON e.dst = t.node WHERE edge_type IN ('supersedes', 'contradicts') AND e.src IN (SELECT id FROM n) AND NOT EXISTS (SELECT 1 FROM wb x WHERE x.root = t.root AND x.node = e.src))",
+        "a2 AS (SELECT *, false AS came FROM g WHERE r = 1 UNION ALL SELECT *, true FROM c WHERE r = 1)", recursive=True)
+    + "SELECT root, a2.node, hops::BIGINT AS hops, relation, through, x.day::VARCHAR AS day, CASE WHEN x.day IS NULL THEN 'undated' WHEN NOT came AND coalesce(x.day <= o.day, false) THEN 'stood_on' ELSE 'later' END AS side FROM a2 JOIN an x ON x.id = a2.node JOIN an o ON o.id = root",
     "reconstruct_decisions": O.with_(N, E, ANCH, f"bk AS (SELECT DISTINCT src AS node, dst FROM e JOIN n ON n.id = e.src WHERE dst IN (SELECT id FROM n) AND edge_type IN {closure.BACK[True]} AND (node_type = 'decision' OR edge_type IN {closure.BACK[False]}))",
         "w(root, node, hops) AS (SELECT id, id, 0 FROM n WHERE node_type = 'decision' UNION SELECT w.root, bk.dst, hops + 1 FROM w JOIN bk ON bk.node = w.node WHERE hops < 3)", "wb AS (SELECT root, node FROM w GROUP BY root, node HAVING min(hops) > 0)", recursive=True)
     + "SELECT root, CASE WHEN x.day IS NULL THEN 'undated' WHEN r.day IS NULL THEN 'unplaced' WHEN x.day <= r.day THEN 'stood_on' ELSE 'later' END AS side, count(*) AS n FROM wb JOIN an r ON r.id = wb.root JOIN an x ON x.id = wb.node GROUP BY ALL",

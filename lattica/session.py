@@ -24,19 +24,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as a table in the shared folder and read it back: the plan that follows is short, and
-    a lost executor costs one read, not the whole history. The table lives as long as the folder."""
+    a lost executor costs one read, not the whole history. The table lives until discard(), sweep(), or as long as the folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattica-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lattica_path = path
+    _kept.append(path)
     return out
 
 
+#: Tables of this driver that are still there.
+_kept: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _kept:
+        _kept.remove(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by cut() that nothing reads any more."""
-    path = getattr(df, "_lattica_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    if path := getattr(df, "_lattica_path", None):
+        _delete(df.sparkSession, path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all tables that cut() made and nobody discarded; for when the results of all queries so far are written. How many there were."""
+    n = len(_kept)
+    for path in list(_kept):
+        _delete(spark, path)
+    return n

@@ -29,3 +29,13 @@ def test_against_sql(spark, name):
     want = sorted(map(repr, (tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in got.fetchall())))
     rows = df.select(*cols).collect()
     assert sorted(map(repr, (tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows))) == want
+
+
+def test_cut_tables_are_swept(spark):
+    import os
+
+    from lattica import session
+
+    df = session.cut(spark.range(3).toDF("id"))
+    path = df._lattica_path.removeprefix("file:")
+    assert os.path.isdir(path) and session.sweep(spark) >= 1 and not os.path.exists(path) and session.sweep(spark) == 0
