@@ -11,13 +11,14 @@ The number of partitions follows the number of rows (ROWS), so a task doesn't gr
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.session import cut
+from lattica.session import cut, discard
 
 #: Rows of a bucket up to which it is compared at once; rows of a block of a bucket that stays larger; rows of a partition.
 CAP, BLOCK, ROWS = 1024, 16_384, 2_000_000
@@ -107,9 +108,15 @@ def spread(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
     return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS)), *keys)
 
 
-def bucket_pairs(rows: DataFrame, most: int, refine: Callable[[DataFrame], DataFrame] | None = None, n: int = 0) -> DataFrame:
+def bucket_pairs(rows: DataFrame | list[DataFrame], most: int, refine: Callable[[DataFrame], DataFrame | list[DataFrame]] | None = None, n: int = 0) -> DataFrame:
     """rows: (k long, a long, words long ...), a at most once a bucket, about n of them. Pairs (a, b), a < b, each once. refine, if given, takes the rows
-    (k, a, words ...) of buckets above CAP and gives them new keys, any number each; else blocks() compares them."""
+    (k, a, words ...) of buckets above CAP and gives them new keys, any number each; else blocks() compares them. Rows, given or refined, may come as a list of
+    tables that share no bucket: one is shuffled after the other, so that only one lies on disk at a time."""
+    waves = rows if isinstance(rows, list) else [rows]
+    return reduce(DataFrame.unionByName, [_wave(x, most, refine, -(-n // len(waves))) for x in waves]).distinct()
+
+
+def _wave(rows: DataFrame, most: int, refine: Callable[[DataFrame], DataFrame | list[DataFrame]] | None, n: int) -> DataFrame:
     top, words = CAP, [c for c in rows.columns if c not in ("k", "a")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,13 +126,14 @@ def bucket_pairs(rows: DataFrame, most: int, refine: Callable[[DataFrame], DataF
 
     rows = rows.select("k", "a", *words)
     found = cut(spread(rows, "k", rows=n).sortWithinPartitions("k").mapInArrow(run, "a long, b long, over boolean"), "pairs")
-    pairs = found.filter("not over").select("a", "b")
+    pairs = cut(found.filter("not over").select("a", "b").distinct(), "pairs")
     rest = found.filter("over").select(F.col("a").alias("k"), F.col("b").alias("a"))
     if not rest.isEmpty():
         codes = rows.select("a", *words).join(rest.select("a").distinct(), "a", "left_semi").dropDuplicates(["a"])
         rest = cut(rest.join(codes, "a").select("k", "a", *words), "over")
         pairs = pairs.unionByName(bucket_pairs(refine(rest), most, None, n) if refine else blocks(rest, most))
-    return pairs.distinct()
+    discard(found)
+    return pairs
 
 
 def block_units(rows: DataFrame, size: int = 0) -> DataFrame:

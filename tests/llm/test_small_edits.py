@@ -81,3 +81,17 @@ def test_hot_buckets_lose_no_pair(spark, monkeypatch):
     whole = {tuple(r) for r in E.near_classes(df)[1].collect()}
     monkeypatch.setattr(E.buckets, "CAP", 10)
     assert {tuple(r) for r in E.near_classes(df)[1].collect()} == whole and len(whole) > 1700
+
+
+def test_keys_are_shuffled_a_few_segments_at_a_time(spark, monkeypatch):
+    sizes, spread = [], E.buckets.spread
+
+    def counted(df, *by, rows=0):
+        if by:
+            sizes.append(df.count())
+        return spread(df, *by, rows=rows)
+
+    monkeypatch.setattr(E.buckets, "spread", counted)
+    rows = labels(8, 20)
+    E.near_classes(spark.createDataFrame(rows, "id string, label string"))
+    assert sum(sizes) > 40 * len(rows) and max(sizes) < sum(sizes) / 3
