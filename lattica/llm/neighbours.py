@@ -6,7 +6,8 @@ Each substring probes all buckets within PROBE bits of its own. By pigeonhole ev
 for certain; as vectors of cosine c differ in each bit with chance acos(c) / pi, `plan` gives as many tables as it takes to meet a pair at the
 floor in at least one of them but for MISS. What is retrieved and lies within the Hamming radius of the floor is reranked by float cosine.
 
-A task holds one table, or above ROWS rows one table's codes of one prefix; rows are sent to the prefixes they probe, so a task's size is bounded.
+A task holds one table, or above ROWS rows one table's codes of one prefix. A prefix has to agree, only the rest of a substring is probed: each row is sent once a
+table, and `plan` gives as many more tables as that takes (the bound by pigeonhole is then tables - 1). AT_ONCE tables are shuffled at a time, so that no more lie on disk.
 
 Two kinds of vector are left over and are compared exactly with whole cells instead (`scan`): those that probe more than MOST rows or meet
 more than NEAR within the radius (a hot region; its all-pairs list is never made), and, where no floor is given, those with fewer than k
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from typing import NamedTuple
 
@@ -32,15 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.session import cut, table
+from lattica.session import cut, discard, table
 
 #: CLOSE: cosine down to which hashing finds neighbours where the caller names no floor.
 DIM, K, LEAST, CLOSE = 128, 10, 0.85, 0.85
 #: Bits a probed bucket may differ in; bits of the code the radius is measured on; chance to miss a pair at the floor; deviations the radius allows.
 PROBE, CODE, MISS, DEVIATIONS = 2, 256, 0.02, 4
 WORDS = tuple(f"w{i}" for i in range(CODE // 64))
-#: Rows a task holds of one table; rows a vector may probe in a table; of these within the radius.
-ROWS, MOST, NEAR = 1_000_000, 16_384, 256
+#: Rows a task holds of one table; tables that are shuffled at a time; candidates compared at once; rows a vector may probe in a table; of these within the radius.
+ROWS, AT_ONCE, STRIDE, MOST, NEAR = 1_000_000, 6, 1 << 18, 16_384, 256
 #: Rows the rotations and centres are learned on, at most about; rounds of learning.
 SAMPLE, ROUNDS = 8_000, 15
 #: Candidates a scan keeps beyond k, as single precision may order two of them otherwise.
@@ -49,6 +51,12 @@ SPARE = 2
 CELL_ROWS, CELLS, SCANNED, UNIT, STRIP = 8_192, 64, 1 / 16, 8_192, 1_024
 
 
+def waves(tables: int) -> list[range]:
+    """The tables, AT_ONCE at most at a time."""
+    n = -(-tables // AT_ONCE)
+    return [range(tables * i // n, tables * (i + 1) // n) for i in range(n)]
+
+
 class Plan(NamedTuple):
     bits: int
     tables: int
@@ -64,10 +72,11 @@ def plan(n: int, floor: float) -> Plan:
     """Bits of a substring, number of tables, radius over the first word of the code, the first two and so on, prefix bits, cells and cells scanned, for n distinct vectors."""
     p = math.acos(min(1.0, max(0.0, floor))) / math.pi
     bits = min(40, max(8, round(math.log2(max(n, 2)))))
-    met = sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(PROBE + 1))
+    prefix = max(0, math.ceil(math.log2(max(1, n) / ROWS)))
+    local = max(1, bits - prefix)
+    met = (1 - p) ** prefix * sum(math.comb(local, i) * p**i * (1 - p) ** max(0, local - i) for i in range(PROBE + 1))
     tables = max(2, math.ceil(math.log(MISS) / math.log(max(1e-12, 1 - met)))) if met < 1 else 2
     reach = lambda b: math.ceil(b * p + DEVIATIONS * math.sqrt(b * p * (1 - p)))
-    prefix = max(0, math.ceil(math.log2(max(1, n) / ROWS)))
     cells = min(CELLS, max(1, n // CELL_ROWS))
     return Plan(bits, tables, tuple(reach(64 * (i + 1)) for i in range(len(WORDS))), prefix, cells, min(cells, max(2, math.ceil(cells * SCANNED))), MOST, NEAR)
 
@@ -123,28 +132,31 @@ def _ints(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
 
 
 def codes(nodes: DataFrame, how: Plan, n: int, dim: int = DIM) -> DataFrame:
-    """id, v, t (one substring a table), WORDS (the code the radius is measured on), cells (nearest first)."""
+    """id, v, t0, t1, ... (one substring a table, those of a wave together), WORDS (the code the radius is measured on), cells (nearest first)."""
     spark = nodes.sparkSession
     share = F.pmod(F.xxhash64("id", F.lit("itq")), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 20)) + 1
     sample = usable(nodes, dim).filter(share).select("embedding").toArrow().column(0).combine_chunks()
     _, x = unit(sample.chunk(0) if isinstance(sample, pa.ChunkedArray) else sample, dim)
     x = np.unique(x, axis=0)
+    kind, some = ("int", np.int32) if how.bits < 32 else ("long", np.int64), waves(how.tables)
     sent = spark.sparkContext.broadcast((learn(x.astype(np.float64), max(CODE, how.tables * how.bits), dim), centres(x, how.cells, dim)))
 
+    names = [f"t{i}" for i in range(len(some))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         proj, middle = sent.value
         power = np.uint64(1) << np.arange(64, dtype=np.uint64)
         for b in batches:
             at, u = unit(b.column("embedding"), dim)
             sign = (u @ proj >= 0).astype(np.uint64)
-            subs = np.stack([sign[:, i * how.bits : (i + 1) * how.bits] @ power[: how.bits] for i in range(how.tables)], 1)
+            subs = [np.stack([sign[:, i * how.bits : (i + 1) * how.bits] @ power[: how.bits] for i in wave], 1) for wave in some]
             words = [sign[:, i : i + 64] @ power for i in range(0, CODE, 64)]
             top = np.argsort(-(u @ middle.T), 1, kind="stable")[:, : how.probes]
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * z.shape[1], pa.int32()), pa.array(z.ravel().astype(np.int64))) for z in (subs, top)]
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * z.shape[1], pa.int32()), pa.array(z.ravel().astype(x))) for z, x in (*((z, kind[1]) for z in subs), (top, np.int64))]
             take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("v").take(take), lists[0], *(pa.array(w.view(np.int64)) for w in words), lists[1]], ["id", "v", "t", *WORDS, "cells"])
+            yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("v").take(take), *lists[:-1], *(pa.array(w.view(np.int64)) for w in words), lists[-1]], ["id", "v", *names, *WORDS, "cells"])
 
-    return usable(nodes, dim).mapInArrow(run, "id string, v long, t array<long>, " + "".join(f"{w} long, " for w in WORDS) + "cells array<long>")
+    return usable(nodes, dim).mapInArrow(run, "id string, v long, " + "".join(f"{t} array<{kind[0]}>, " for t in names) + "".join(f"{w} long, " for w in WORDS) + "cells array<long>")
 
 
 def masks(bits: int, most: int = PROBE) -> list[int]:
@@ -153,14 +165,15 @@ def masks(bits: int, most: int = PROBE) -> list[int]:
 
 
 def probed(key: np.ndarray, words: list[np.ndarray], own: np.ndarray, reach: np.ndarray, how: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of one table and prefix; own rows are indexed, rows sent from other prefixes (reach < PROBE bits left) only probe. (i, j, hot): pairs of row
-    numbers within the radius, j always an own row; numbers of own or sent rows that are left to the scan."""
+    """Rows of one table and prefix; own rows are indexed, others only probe, each within `reach` bits. (i, j, hot): pairs of row
+    numbers within the radius, j always an own row; numbers of rows that are left to the scan."""
     local = max(1, how.bits - how.prefix)
     low = (key & ((1 << local) - 1)).astype(np.int64)
-    mine = np.flatnonzero(own)
-    order = mine[np.argsort(low[mine], kind="stable")]
-    start = np.zeros((1 << local) + 1, np.int64)
-    np.cumsum(np.bincount(low[mine], minlength=1 << local), out=start[1:])
+    number = np.argsort(low, kind="stable")  # in order of their keys, so that what is looked up lies near
+    low, own, reach, words = low[number], own[number], reach[number], [w[number] for w in words]
+    order, plain = np.flatnonzero(own), bool(own.all() and (reach >= PROBE).all())
+    start = np.zeros((1 << local) + 1, np.int32)
+    np.cumsum(np.bincount(low[order], minlength=1 << local), out=start[1:])
     deltas = masks(local)
     weight = np.array([d.bit_count() for d in deltas])
     total = np.zeros(len(key), np.int64)
@@ -168,30 +181,31 @@ def probed(key: np.ndarray, words: list[np.ndarray], own: np.ndarray, reach: np.
         x = low ^ d
         total += np.where(reach >= w, start[x + 1] - start[x], 0)
     hot = total > how.most
+    fast = plain and not hot.any()
     out_i, out_j = [], []
     for d, w in zip(deltas, weight):
         top = 1 << (d.bit_length() - 1) if d else 0
-        ask = np.flatnonzero(~hot & (reach >= w))
+        ask = np.flatnonzero((low & top) == 0 if fast else ~hot & (reach >= w))
         x = low[ask] ^ d
-        lo, n = start[x], start[x + 1] - start[x]
+        lo, n = start[x].astype(np.int64), (start[x + 1] - start[x]).astype(np.int64)
         ask, lo, n = ask[n > 0], lo[n > 0], n[n > 0]
         if not len(ask):
             continue
         stop = np.cumsum(n)
-        for a in range(0, int(stop[-1]), 1 << 22):  # a strip of candidates at a time
-            p, q = np.searchsorted(stop, [a, a + (1 << 22)], "right")
+        for a in range(0, int(stop[-1]), STRIDE):  # a strip of candidates at a time
+            p, q = np.searchsorted(stop, [a, a + STRIDE], "right")
             q = min(q + 1, len(ask))
             first, many = stop[p:q] - n[p:q], n[p:q]
-            skip, end = np.maximum(a - first, 0), np.minimum(stop[p:q], a + (1 << 22)) - first
+            skip, end = np.maximum(a - first, 0), np.minimum(stop[p:q], a + STRIDE) - first
             m = np.maximum(end - skip, 0)
             i = np.repeat(ask[p:q], m)
             at = np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo[p:q] + skip, m)
-            j = order[at]
-            # both ends would bring the pair: the end without the mask's top bit does, unless the other can't
-            both = own[i] & ~hot[j]
-            once = (low[i] & top) == 0 if d else i < j
-            ok = np.flatnonzero((once | ~both) & (i != j))
-            i, j = i[ok], j[ok]
+            j = at if plain else order[at]
+            if not (fast and d):  # both ends would bring the pair: the end without the mask's top bit does, unless the other can't
+                both = own[i] & ~hot[j]
+                once = (low[i] & top) == 0 if d else i < j
+                ok = np.flatnonzero((once | ~both) & (i != j))
+                i, j = i[ok], j[ok]
             far = np.zeros(len(i), np.int64)
             for word, radius in zip(words, how.radii):
                 far = far + np.bitwise_count(word[i] ^ word[j])
@@ -203,29 +217,32 @@ def probed(key: np.ndarray, words: list[np.ndarray], own: np.ndarray, reach: np.
     i, j = np.concatenate(out_i or [none]), np.concatenate(out_j or [none])
     hot |= np.bincount(np.concatenate([i, j]), minlength=len(key)) > how.near
     ok = ~(hot[i] & hot[j])
-    return i[ok], j[ok], np.flatnonzero(hot)
+    return number[i[ok]], number[j[ok]], number[np.flatnonzero(hot)]
 
 
 def probes(reps: DataFrame, how: Plan) -> DataFrame:
-    """reps: (v, t, WORDS). Rows (a, b): a pair within the radius, a < b; or (a, null): a is left to the scan."""
+    """reps: (v, t0, t1, ..., WORDS). Rows (a, b): a pair within the radius, a < b; or (a, null): a is left to the scan."""
+    found = [cut(_probes(reps, how, i, len(wave)), "probes") for i, wave in enumerate(waves(how.tables))]
+    met = cut(reduce(DataFrame.unionByName, found).distinct(), "met")
+    for x in found:
+        discard(x)
+    return met
+
+
+def _probes(reps: DataFrame, how: Plan, wave: int, tables: int) -> DataFrame:
     local = max(1, how.bits - how.prefix)
-    rows = reps.select("v", *WORDS, F.posexplode("t").alias("table", "key"))
-    if how.prefix:
-        near = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(PROBE - m.bit_count()).alias("reach")) for m in masks(how.prefix)))
-        rows = rows.withColumn("n", F.explode(near)).withColumn("reach", F.col("n.reach")).withColumn("part", F.shiftright("key", local).cast("int").bitwiseXOR(F.col("n.m")))
-    else:
-        rows = rows.withColumn("reach", F.lit(PROBE)).withColumn("part", F.lit(0))
-    rows = rows.select((F.col("table") * (1 << how.prefix) + F.col("part")).cast("int").alias("part"), F.col("reach").cast("long").alias("reach"), "v", "key", *WORDS)
+    rows = reps.select("v", *WORDS, F.posexplode(f"t{wave}").alias("table", "key"))
+    rows = rows.select((F.col("table") * (1 << how.prefix) + F.shiftright("key", local)).cast("int").alias("part"), "v", "key", *WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if not held:
             return
-        part, reach, v, key, *words = (np.concatenate(c) for c in zip(*held))
+        part, v, key, *words = (np.concatenate(c) for c in zip(*held))
         for p in np.unique(part):
             at = np.flatnonzero(part == p)
             ids = v[at]
-            i, j, hot = probed(key[at], [w[at].view(np.uint64) for w in words], reach[at] == PROBE, reach[at], how)
+            i, j, hot = probed(key[at], [w[at].view(np.uint64) for w in words], np.ones(len(at), bool), np.full(len(at), PROBE), how)
             pairs = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
             if len(pairs):
                 yield _ints([pairs[:, 0], pairs[:, 1]], ["a", "b"])
@@ -233,7 +250,7 @@ def probes(reps: DataFrame, how: Plan) -> DataFrame:
                 left = np.unique(ids[hot])
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.nulls(len(left), pa.int64())], ["a", "b"])
 
-    return rows.repartitionById(how.tables << how.prefix, F.col("part")).mapInArrow(run, "a long, b long").distinct()
+    return rows.repartitionById(tables << how.prefix, F.col("part")).mapInArrow(run, "a long, b long")
 
 
 def scan(rest: DataFrame, reps: DataFrame, vectors: DataFrame, k: int, dim: int = DIM) -> DataFrame:
@@ -299,8 +316,10 @@ def nearest(nodes: DataFrame, k: int = K, least: float | None = LEAST, dim: int
     n, floor = nodes.count(), CLOSE if least is None else least
     how = plan(n, floor)
     coded = cut(codes(nodes, how, n, dim), "codes")
-    reps = coded.groupBy("v").agg(*(F.first(c).alias(c) for c in ("t", *WORDS, "cells")))
-    met = cut(probes(reps, how), "met")
+    reps = cut(coded.groupBy("v").agg(*(F.first(c).alias(c) for c in coded.columns[2:])), "reps")
+    members = cut(coded.select("v", "id").distinct(), "members")
+    discard(coded)
+    met = probes(reps, how)
     vectors = usable(nodes, dim).select("v", "embedding")
 
     def rerank(pairs: DataFrame) -> DataFrame:
@@ -313,18 +332,20 @@ def nearest(nodes: DataFrame, k: int = K, least: float | None = LEAST, dim: int
     links = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
     rest = met.filter("b is null").select(F.col("a").alias("v")).distinct()
     if least is None:  # whoever has fewer than k neighbours (members of equal vectors counted) above the floor of the hashing
-        sizes = coded.groupBy("v").agg(F.least(F.count_distinct("id"), F.lit(k + 1)).alias("n"))
+        sizes = members.groupBy("v").agg(F.least(F.count("id"), F.lit(k + 1)).alias("n"))
         near = links.filter(F.col("cos") >= floor).join(sizes.select(F.col("v").alias("b"), "n"), "b").groupBy(F.col("a").alias("v")).agg(F.sum("n").alias("near"))
         short = sizes.join(near, "v", "left").filter(F.col("n") - 1 + F.coalesce("near", F.lit(0)) < k).select("v")
         rest = rest.unionByName(short).distinct()
     rest = cut(rest, "rest")
+    discard(met)
     if not rest.isEmpty():
         found = cut(scan(rest, reps.select("v", "cells"), vectors.dropDuplicates(["v"]), k + SPARE, dim), "found")
         more = rerank(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         links = links.unionByName(more).unionByName(more.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos")).dropDuplicates(["a", "b"])
 
+    discard(reps)
+
     # Each vector's list: other vectors' members (the k + 1 of least id stand for all, since no one needs more), then its own.
-    members = coded.select("v", "id").distinct()
     head = members.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("r") <= k + 1)
     shared = head.filter("r = 2").select(F.col("v").alias("a"), F.col("v").alias("b"), F.lit(1.0).alias("cos"))
     listed = links.unionByName(shared).join(head.select(F.col("v").alias("b"), F.col("id").alias("other")), "b")

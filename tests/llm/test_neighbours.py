@@ -88,3 +88,28 @@ def test_learned_rotation_is_orthogonal():
     x = np.random.default_rng(2).standard_normal((300, 16))
     p = N.learn(x, 40, 16)
     assert p.shape == (16, 40) and p[:, :16].T @ p[:, :16] == pytest.approx(np.eye(16), abs=1e-4)
+
+
+def test_every_vector_is_sent_once_to_each_table(spark, monkeypatch):
+    df, sizes = spark.createDataFrame(data(9, 200), "id string, embedding array<float>"), []
+    spread = type(df).repartitionById
+
+    def counted(rows, *by):
+        sizes.append(rows.count())
+        return spread(rows, *by)
+
+    monkeypatch.setattr(type(df), "repartitionById", counted)
+    monkeypatch.setattr(N, "ROWS", 60)
+    N.nearest(df)
+    how, n = N.plan(df.count(), N.LEAST), df.count()
+    assert how.prefix >= 3 and sum(sizes) == how.tables * n and max(sizes) <= 6 * n
+
+
+@pytest.mark.parametrize("n", [30_000, 1_000_000, 30_000_000, 1_000_000_000])
+def test_pairs_at_the_floor_are_met(n):
+    how, rng = N.plan(n, 0.85), np.random.default_rng(3)
+    miss = np.ones(20_000, bool)
+    for _ in range(how.tables):
+        far = rng.random((20_000, how.bits)) < np.arccos(0.85) / np.pi
+        miss &= far[:, : how.prefix].any(1) | (far[:, how.prefix :].sum(1) > N.PROBE)
+    assert miss.mean() <= N.MISS + 0.005
