@@ -2,9 +2,12 @@
 
 Rows (k, a, words...) are hash-partitioned and sorted by k, so that each bucket is a run of neighbours; numpy compares the words, binary codes of 64 bits each,
 within a run and keeps the pairs (a, b) within a Hamming distance. Buckets above CAP rows are not dropped: a run above it streams through its task without being held, and its
-rows are keyed anew by the caller (refine), so that they part into smaller buckets. What is still above CAP then is compared block
+rows, those of all waves together, are keyed anew by the caller (refine), so that they part into smaller buckets. What is still above CAP then is compared block
 against block, each pair of blocks a unit of its own; such rows share two keys, and nearly all their pairs are results.
 
+New keys cost a row as much as some 50,000 comparisons, so CAP is where a bucket's comparisons would make a task long, not where they begin to cost. Buckets above SMALL rows are
+compared a tile of rows against columns at a time, whose pairs are passed on before the next.
+
 The number of partitions follows the number of rows (ROWS), so a task doesn't grow with the data.
 """
 
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 
 from lattica.session import cut, discard
 
-#: Rows of a bucket up to which it is compared at once; rows of a block of a bucket that stays larger; rows of a partition.
-CAP, BLOCK, ROWS = 1024, 16_384, 2_000_000
+#: Rows of a bucket up to which it is compared in one task; rows of a block of a bucket that stays larger; rows of a partition.
+CAP, BLOCK, ROWS = 16_384, 16_384, 2_000_000
+#: Rows of a bucket up to which it is compared beside its neighbours; pairs and columns of a tile of larger ones; words that are compared before most pairs are left out.
+SMALL, TILE, WIDE, HEAD = 100, 1 << 16, 4096, 3
 
 
 def runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[bool, list[np.ndarray]]]:
@@ -66,31 +71,81 @@ def runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[bool, l
         yield False, held
 
 
-def near(words: list[np.ndarray], i: np.ndarray, j: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+#: How many of the words are codes, and which pairs of the others, left and right, to keep.
+Keep = tuple[int, Callable[[list[np.ndarray], list[np.ndarray]], np.ndarray]]
+
+
+def near(words: list[np.ndarray], i: np.ndarray, j: np.ndarray, most: int, keep: Keep | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of row numbers whose codes differ in at most `most` bits; each word alone already rules most others out."""
+    u = [w.view(np.uint64) for w in words]
+    codes = keep[0] if keep else len(u)
     far = np.zeros(len(i), np.int64)
-    for w in words:
-        u = w.view(np.uint64)
-        far = far + np.bitwise_count(u[i] ^ u[j])
+    for w in u[:codes]:
+        far = far + np.bitwise_count(w[i] ^ w[j])
         ok = np.flatnonzero(far <= most)
         i, j, far = i[ok], j[ok], far[ok]
+    if keep:
+        ok = keep[1]([w[i] for w in u[codes:]], [w[j] for w in u[codes:]])
+        i, j = i[ok], j[ok]
     return i, j
 
 
-def within(k: np.ndarray, a: np.ndarray, words: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a, smaller first, each once, of equal k whose codes differ in at most `most` bits."""
-    x, y = [], []
-    i, d = np.arange(len(k) - 1), 1
-    while len(i):
-        i = i[i < len(k) - d]
-        i = i[k[i] == k[i + d]]
-        p, q = near(words, i, i + d, most)
+def distance(words: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Bits in which the words of each pair differ; at most HEAD words, so that a byte holds the sum."""
+    far = np.bitwise_count(np.bitwise_xor(*words[0]))
+    for x, y in words[1:]:
+        far += np.bitwise_count(np.bitwise_xor(x, y))
+    return far
+
+
+def beside(k: np.ndarray, a: np.ndarray, words: list[np.ndarray], most: int, keep: Keep | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a, smaller first, each once, of equal k whose codes differ in at most `most` bits: the rows against themselves shifted by one, two and so on, without those whose run is through."""
+    start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))[: len(k)]
+    n = np.diff(np.append(start, len(k)))
+    size, run = np.repeat(n, n), np.repeat(np.arange(len(n)), n)
+    x, y, d, u = [], [], 1, [w.view(np.uint64) for w in words]
+    codes = min(HEAD, keep[0] if keep else HEAD)
+    while True:
+        stay = size > d
+        if np.count_nonzero(stay) < 0.8 * len(stay):
+            size, run, a, u = size[stay], run[stay], a[stay], [w[stay] for w in u]
+        if len(a) <= d or not stay.any():
+            break
+        ok = np.flatnonzero((distance([(w[:-d], w[d:]) for w in u[:codes]]) <= most) & (run[:-d] == run[d:]))
+        p, q = near(u, ok, ok + d, most, keep)
         x.append(a[p])
         y.append(a[q])
         d += 1
     return unique(np.concatenate(x) if x else a[:0], np.concatenate(y) if y else a[:0])
 
 
+def tiles(a: np.ndarray, words: list[np.ndarray], most: int, keep: Keep | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of one run, as beside() has them, a few rows at a time."""
+    u = [w.view(np.uint64) for w in words]
+    codes = min(HEAD, keep[0] if keep else HEAD)
+    tall = max(1, min(128, TILE // min(len(a), WIDE)))
+    for i in range(0, len(a), tall):
+        x, y = [], []
+        for j in range(i, len(a), WIDE):
+            far = distance([(w[i : i + tall, None], w[None, j : j + WIDE]) for w in u[:codes]])
+            p, q = np.divmod(np.flatnonzero(far <= most), far.shape[1])
+            p, q = p + i, q + j
+            p, q = near(u, *(z[p < q] for z in (p, q)), most, keep)
+            x.append(a[p])
+            y.append(a[q])
+        yield unique(np.concatenate(x), np.concatenate(y))
+
+
+def within(k: np.ndarray, a: np.ndarray, words: list[np.ndarray], most: int, keep: Keep | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a, smaller first, of equal k whose codes differ in at most `most` bits. k is sorted."""
+    start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))[: len(k)]
+    size = np.diff(np.append(start, len(k)))
+    few = np.repeat(size <= SMALL, size)
+    yield beside(k[few], a[few], [w[few] for w in words], most, keep)
+    for i, n in zip(start[size > SMALL], size[size > SMALL]):
+        yield from tiles(a[i : i + n], [w[i : i + n] for w in words], most, keep)
+
+
 def unique(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ok = x != y
     both = np.stack([np.minimum(x[ok], y[ok]), np.maximum(x[ok], y[ok])], 1)
@@ -98,9 +153,9 @@ def unique(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def _batch(x: np.ndarray, y: np.ndarray, k: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
-    out = [pa.concat_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())]) for p, q in ((x, k), (y, a))]
-    return pa.RecordBatch.from_arrays([*out, pa.array(np.repeat([False, True], [len(x), len(k)]))], ["a", "b", "over"])
+def _batch(x: np.ndarray, y: np.ndarray, over: bool, words: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    code = [pa.array(w, pa.int64()) for w in words] or [pa.nulls(len(x), pa.int64())] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(np.full(len(x), over)), *code], ["a", "b", "over", *names])
 
 
 def spread(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
@@ -108,32 +163,35 @@ def spread(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
     return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS)), *keys)
 
 
-def bucket_pairs(rows: DataFrame | list[DataFrame], most: int, refine: Callable[[DataFrame], DataFrame | list[DataFrame]] | None = None, n: int = 0) -> DataFrame:
+def bucket_pairs(rows: DataFrame | list[DataFrame], most: int, refine: Callable[[DataFrame], DataFrame | list[DataFrame]] | None = None, n: int = 0, each: int = 1, keep: Keep | None = None) -> DataFrame:
     """rows: (k long, a long, words long ...), a at most once a bucket, about n of them. Pairs (a, b), a < b, each once. refine, if given, takes the rows
-    (k, a, words ...) of buckets above CAP and gives them new keys, any number each; else blocks() compares them. Rows, given or refined, may come as a list of
-    tables that share no bucket: one is shuffled after the other, so that only one lies on disk at a time."""
+    (k, a, words ...) of buckets above CAP and gives them new keys, about `each` a row; else blocks() compares them. Rows, given or refined, may come as a list of
+    tables that share no bucket: one is shuffled after the other, so that only one lies on disk at a time, and refine is asked once for all of them. keep: what else a pair has to pass, by words that are no codes."""
     waves = rows if isinstance(rows, list) else [rows]
-    return reduce(DataFrame.unionByName, [_wave(x, most, refine, -(-n // len(waves))) for x in waves]).distinct()
+    words = [c for c in waves[0].columns if c not in ("k", "a")]
+    found = [_wave(x.select("k", "a", *words), most, words, -(-n // len(waves)), keep) for x in waves]
+    pairs = [cut(f.filter("not over").select("a", "b").distinct(), "pairs") for f in found]
+    rest = reduce(DataFrame.unionByName, found).filter("over").select(F.col("a").alias("k"), F.col("b").alias("a"), *words)
+    if over := rest.count():
+        pairs.append(cut(bucket_pairs(refine(rest), most, None, over * each, keep=keep) if refine else blocks(rest, most, keep), "pairs"))
+    for f in found:
+        discard(f)
+    return reduce(DataFrame.unionByName, pairs).distinct()
 
 
-def _wave(rows: DataFrame, most: int, refine: Callable[[DataFrame], DataFrame | list[DataFrame]] | None, n: int) -> DataFrame:
-    top, words = CAP, [c for c in rows.columns if c not in ("k", "a")]
+def _wave(rows: DataFrame, most: int, words: list[str], n: int, keep: Keep | None) -> DataFrame:
+    """(a, b, over, words): pairs, and with over the keys and rows of buckets above CAP."""
+    top, code = CAP, ", ".join(f"{w} long" for w in words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64)
         for big, (k, a, *w) in runs(batches, top):
-            yield _batch(none, none, k, a) if big else _batch(*within(k, a, w, most), none, none)
+            if big:
+                yield _batch(k, a, True, w, words)
+            else:
+                for x, y in within(k, a, w, most, keep):
+                    yield _batch(x, y, False, [], words)
 
-    rows = rows.select("k", "a", *words)
-    found = cut(spread(rows, "k", rows=n).sortWithinPartitions("k").mapInArrow(run, "a long, b long, over boolean"), "pairs")
-    pairs = cut(found.filter("not over").select("a", "b").distinct(), "pairs")
-    rest = found.filter("over").select(F.col("a").alias("k"), F.col("b").alias("a"))
-    if not rest.isEmpty():
-        codes = rows.select("a", *words).join(rest.select("a").distinct(), "a", "left_semi").dropDuplicates(["a"])
-        rest = cut(rest.join(codes, "a").select("k", "a", *words), "over")
-        pairs = pairs.unionByName(bucket_pairs(refine(rest), most, None, n) if refine else blocks(rest, most))
-    discard(found)
-    return pairs
+    return cut(spread(rows, "k", rows=n).sortWithinPartitions("k").mapInArrow(run, f"a long, b long, over boolean, {code}"), "found")
 
 
 def block_units(rows: DataFrame, size: int = 0) -> DataFrame:
@@ -145,7 +203,7 @@ def block_units(rows: DataFrame, size: int = 0) -> DataFrame:
     return rows.withColumn("k2", F.xxhash64("k", lo, hi)).withColumn("side", (F.col("c") == hi).cast("int")).withColumn("same", F.col("c") == F.col("o"))
 
 
-def blocks(rows: DataFrame, most: int) -> DataFrame:
+def blocks(rows: DataFrame, most: int, keep: Keep | None = None) -> DataFrame:
     words = [c for c in rows.columns if c not in ("k", "a")]
     units = block_units(rows).select("k2", "side", "same", "a", *words)
 
@@ -157,7 +215,7 @@ def blocks(rows: DataFrame, most: int) -> DataFrame:
                 left, right = (np.arange(j - i),) * 2 if same[i] else (np.flatnonzero(side[i:j] == 0), np.flatnonzero(side[i:j] == 1))
                 for p in range(0, len(left), 64):
                     some = left[p : p + 64]
-                    x, y = near(u, np.repeat(some, len(right)), np.tile(right, len(some)), most)
+                    x, y = near(u, np.repeat(some, len(right)), np.tile(right, len(some)), most, keep)
                     x, y = unique(names[x], names[y])
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 

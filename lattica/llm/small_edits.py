@@ -6,7 +6,8 @@ nearest codeword, and where that lies three bits off also the five at distance f
 that differ in at most two bits always share an index, in three or four bits more often than not; by pigeonhole some
 segment of a pair has few errors. A segment's keys are its indices joined to a minhash of the label's character GRAM-grams, as 4,096 indices
 alone would make buckets that grow with the collection. Pairs of a bucket whose whole fingerprints lie within the radius of the floor (DEVIATIONS above the
-bits expected to differ, which leaves out 2 of 10,000 pairs at the floor and fewer above) are verified by exact similarity.
+bits expected to differ, which leaves out 2 of 10,000 pairs at the floor and fewer above) are verified by exact similarity. Unlike labels of a bucket that pass the radius
+are more than the similar ones and grow with the square of the collection, so a pair's trigram sets, as bits beside the fingerprint, bound its similarity before it leaves the bucket: no pair of the floor is lost.
 
 Labels are fingerprinted once. Keys are made and shuffled WAVE segments at a time, with the whole fingerprint beside each, so that no more of them lie on disk at once.
 
@@ -39,7 +40,10 @@ from lattica.session import cut, discard, table
 SEGMENTS, BITS, GRAM, LEAST, SHORTEST = 11, 23, 4, 0.6, 20
 #: Words of 64 bits that hold a fingerprint; keys a label has on average; standard deviations by which a pair's differing bits may exceed their mean.
 WORDS, KEYS, DEVIATIONS = -(-SEGMENTS * BITS // 64), 59, 3.5
-NAMES, ANCHORS = tuple(f"w{i}" for i in range(WORDS)), tuple(f"s{i}" for i in range(SEGMENTS))
+#: Bits of a label's trigram set, each trigram in one of them; they and the number of trigrams, below 1 << 16, fill WORDS words.
+SLOTS = WORDS * 64 - 16
+CODES, SETS, ANCHORS = (tuple(f"{c}{i}" for i in range(n)) for c, n in (("w", WORDS), ("g", WORDS), ("s", SEGMENTS)))
+NAMES = CODES + SETS
 #: Segments whose keys are on disk at once.
 WAVE = 2
 #: Fixed value: generator polynomial of the [23, 12, 7] Golay code.
@@ -100,6 +104,7 @@ class Printer:
     def __init__(self) -> None:
         # one 16-bit hash a trigram (37 symbols) and bit
         self.hash = np.random.default_rng(5).integers(0, 1 << 16, (37**3, SEGMENTS * BITS), np.uint16)
+        self.slot = np.random.default_rng(6).integers(0, SLOTS, 37**3)
         self.code = np.zeros(128, np.int64)
         self.code[48:58] = np.arange(1, 11)
         self.code[97:123] = np.arange(11, 37)
@@ -124,6 +129,26 @@ class Printer:
         bits = (low & 1).astype(np.uint64).reshape(len(labels), WORDS, 64)
         return bits @ (np.uint64(1) << np.arange(64, dtype=np.uint64)), anchors
 
+    def sets(self, labels: list[str]) -> np.ndarray:
+        """The trigram set of each label as bits, its size in the last 16."""
+        bits, sizes = np.zeros((len(labels), WORDS * 64), np.uint64), np.zeros(len(labels), np.uint64)
+        for i, x in enumerate(labels):
+            t = np.unique(self.trigrams(x))
+            bits[i, self.slot[t]] = 1
+            sizes[i] = len(t)
+        words = bits.reshape(len(labels), WORDS, 64) @ (np.uint64(1) << np.arange(64, dtype=np.uint64))
+        words[:, -1] |= sizes << np.uint64(48)
+        return words
+
+
+def bounded(left: list[np.ndarray], right: list[np.ndarray], least: float) -> np.ndarray:
+    """The pairs of sets, as Printer.sets() has them, that may have a similarity of at least `least`: a bit that only one of them has stands for one trigram at least that the other lacks."""
+    bits = np.uint64((1 << 48) - 1)
+    m, n = ((x[-1] >> np.uint64(48)).astype(np.int64) for x in (left, right))
+    own = lambda x, y: sum(np.bitwise_count(u & ~v).astype(np.int64) for u, v in zip([*x[:-1], x[-1] & bits], y))
+    both = np.minimum(m - own(left, right), n - own(right, left))
+    return np.flatnonzero(both >= least * (m + n - both) - 1e-6)
+
 
 @cache
 def printer() -> Printer:
@@ -168,22 +193,24 @@ def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
             return np.zeros(0, np.int64)
         row, end = np.repeat(np.arange(len(n)), n), np.repeat(np.cumsum(n), n)
         at = np.flatnonzero(np.arange(len(c)) + 2 < end)
-        return np.unique(row[at] * 37**3 + c[at] * 1369 + c[at + 1] * 37 + c[at + 2])
+        return row[at] * 37**3 + c[at] * 1369 + c[at + 1] * 37 + c[at + 2]
 
-    a, b = grams(left), grams(right)
-    count = lambda x: np.bincount(x // 37**3, minlength=len(left))
-    both = count(np.intersect1d(a, b, assume_unique=True))
-    return both / np.maximum(1, count(a) + count(b) - both)
+    # sorted with the side as the lowest bit, a trigram that both have is two neighbours, and its repeats are left out before
+    x = np.sort(np.concatenate([grams(left) * 2, grams(right) * 2 + 1]))
+    x = x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+    both = np.bincount((x[1:][(x[1:] >> 1) == (x[:-1] >> 1)] >> 1) // 37**3, minlength=len(left))
+    return both / np.maximum(1, np.bincount((x >> 1) // 37**3, minlength=len(left)) - both)
 
 
 def printed(classes: DataFrame) -> DataFrame:
-    """classes: (c long, label). (c, NAMES, ANCHORS): the fingerprint of each class, and a minhash a segment."""
+    """classes: (c long, label). (c, NAMES, ANCHORS): the fingerprint and the trigram set of each class, and a minhash a segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             labels = b.column("label").to_pylist()
             for i in range(0, len(labels), 1000):
                 words, anchors = printer().prints(labels[i : i + 1000])
+                words = np.concatenate([words, printer().sets(labels[i : i + 1000])], 1)
                 yield pa.RecordBatch.from_arrays([b.column("c").slice(i, 1000), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (*words.T, *anchors.T))], ["c", *NAMES, *ANCHORS])
 
     return classes.select("c", "label").mapInArrow(run, ", ".join(f"{x} long" for x in ("c", *NAMES, *ANCHORS)))
@@ -197,7 +224,7 @@ def keyed(prints: DataFrame, segments: range, before: bool = False) -> DataFrame
         for b in batches:
             for i in range(0, b.num_rows, 8000):
                 ids, *cols = (x.slice(i, 8000).to_numpy() for x in b.columns)
-                words, anchors = [x.view(np.uint64) for x in cols[:WORDS]], cols[WORDS : WORDS + len(some)]
+                words, anchors = [x.view(np.uint64) for x in cols[: len(NAMES)]], cols[len(NAMES) : len(NAMES) + len(some)]
                 for s, anchor in zip(some, anchors):
                     row, key = keys(words, anchor.view(np.uint64), s)
                     if before:
@@ -216,7 +243,7 @@ def verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [similarities(b.column("la").slice(i, 2000), b.column("lb").slice(i, 2000)) >= least for i in range(0, b.num_rows, 2000)]
+            ok = [similarities(b.column("la").slice(i, 500), b.column("lb").slice(i, 500)) >= least for i in range(0, b.num_rows, 500)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(np.concatenate(ok) if ok else [], pa.bool_()))
 
     named = pairs.join(classes.select(F.col("c").alias("a"), F.col("label").alias("la")), "a").join(classes.select(F.col("c").alias("b"), F.col("label").alias("lb")), "b")
@@ -233,10 +260,10 @@ def near_classes(nodes: DataFrame, least: float = LEAST) -> tuple[DataFrame, Dat
     prints = cut(printed(buckets.spread(classes)), "prints")
 
     def refine(rows: DataFrame) -> list[DataFrame]:
-        some = rows.select("k", F.col("a").alias("c")).join(prints, "c")
-        return [keyed(some, s, before=True).dropDuplicates(["k", "a"]) for s in waves()]
+        some = cut(rows.select("k", F.col("a").alias("c")).join(prints, "c"), "anew")
+        return [keyed(some, s, before=True) for s in waves()]
 
-    pairs = cut(buckets.bucket_pairs([keyed(prints, s) for s in waves()], radius(least), refine, classes.count() * KEYS), "met")
+    pairs = cut(buckets.bucket_pairs([keyed(prints, s) for s in waves()], radius(least), refine, classes.count() * KEYS, KEYS, (WORDS, lambda x, y: bounded(x, y, least))), "met")
     discard(prints)
     near = cut(verified(pairs, classes, least), "near")
     discard(pairs)

@@ -64,3 +64,28 @@ def test_large_buckets_are_keyed_anew(spark, monkeypatch):
 
 def test_empty(spark):
     assert B.bucket_pairs(spark.createDataFrame([], "k long, a long, s long"), 4).count() == 0
+
+
+def test_waves_are_keyed_anew_together(spark, monkeypatch):
+    monkeypatch.setattr(B, "CAP", 30)
+    k, a, s = rows(5, 100, 3, hot=90)
+    waves = [spark.createDataFrame([(int(x) + 100 * w, int(y), int(z)) for x, y, z in zip(k, a, s)], "k long, a long, s long") for w in range(3)]
+    asked = []
+
+    def refine(over):
+        asked.append(over.count())
+        return over
+
+    assert {tuple(r) for r in B.bucket_pairs(waves, 4, refine).collect()} == brute(k, a, s, 4)
+    assert asked == [3 * sum((k == q).sum() for q in set(k.tolist()) if (k == q).sum() > 30)]
+
+
+@pytest.mark.parametrize("small, tile, wide", [(100, 1 << 16, 4096), (3, 64, 16), (0, 7, 5)])
+def test_tiles_of_any_shape_find_the_same_pairs(monkeypatch, small, tile, wide):
+    for name, v in (("SMALL", small), ("TILE", tile), ("WIDE", wide)):
+        monkeypatch.setattr(B, name, v)
+    k, a, s = (x[np.argsort(rows(3, 300, 6, hot=120)[0], kind="stable")] for x in rows(3, 300, 6, hot=120))
+    found = [p for x, y in B.within(k, a, [s], 4) for p in zip(x.tolist(), y.tolist())]
+    assert len(found) == len(set(found)) and set(found) == brute(k, a, s, 4)
+    odd = (1, lambda x, y: np.flatnonzero((x[0] ^ y[0]) & np.uint64(1)))
+    assert {p for x, y in B.within(k, a, [s, a], 4, odd) for p in zip(x.tolist(), y.tolist())} == {(x, y) for x, y in set(found) if (x ^ y) & 1}

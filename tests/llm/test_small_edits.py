@@ -95,3 +95,15 @@ def test_keys_are_shuffled_a_few_segments_at_a_time(spark, monkeypatch):
     rows = labels(8, 20)
     E.near_classes(spark.createDataFrame(rows, "id string, label string"))
     assert sum(sizes) > 40 * len(rows) and max(sizes) < sum(sizes) / 3
+
+
+def test_sets_lose_no_pair_and_leave_most_unlike_ones_out():
+    rng = np.random.default_rng(3)
+    chars = np.array(list("abcdefghij klmnop"))
+    left = ["".join(rng.choice(chars, 110)) for _ in range(3000)]
+    right = ["".join(np.where(rng.random(110) < rng.random() * 0.3, rng.choice(chars, 110), list(x))) for x in left]
+    left, right = (["abc" * 40, "x" * 5000, "ab", *v] for v in (left, right))
+    sim = E.similarities(E.pa.array(left), E.pa.array(right))
+    kept = np.isin(np.arange(len(left)), E.bounded(*(list(E.printer().sets(v).T) for v in (left, right)), E.LEAST))
+    assert kept[sim >= E.LEAST].all() and (sim >= E.LEAST).sum() > 200
+    assert (sim < 0.35).sum() > 200 and kept[sim < 0.35].mean() < 0.05
